@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import lower_key, trim_key, upper_key
+from ..session import python_tasks
 from ..sources.storage import HadoopFiles, small_side, stash
 from .latest import keep_latest
 from .parquet_blocks import BlockCopier, BlockMismatch, merge_blocks, read_footer, schema_signature
@@ -56,7 +57,7 @@ def clean_fragments(raw: DataFrame) -> DataFrame:
 
 def _encode(table: pa.Table) -> bytes:
     sink = io.BytesIO()
-    pq.write_table(table, sink, compression="zstd", write_statistics=False, use_dictionary=False)
+    pq.write_table(table, sink, compression="zstd", write_statistics=False, use_dictionary=False, store_schema=False)
     return sink.getvalue()
 
 
@@ -83,7 +84,7 @@ def compact_fragments(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     """
     spread = _spread(rows, group)
     work = spread.select(*group, "bin", F.xxhash64(*group, "bin").alias("_g"), F.xxhash64("file_name").alias("_f"), *RECORD)
-    arranged = work.repartition(*group, "bin").sortWithinPartitions("_g", *group, "bin", "_f")
+    arranged = work.repartition(python_tasks(rows.sparkSession), *group, "bin").sortWithinPartitions("_g", *group, "bin", "_f")
     kinds = {f.name: f.dataType.simpleString() for f in work.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*group, "bin", *RECORD]), "files bigint, blocks bigint, file_rows bigint, file_bytes bigint"])
     named = [*group, "bin"]
@@ -101,10 +102,10 @@ def compact_fragments(rows: DataFrame, group: Sequence[str]) -> DataFrame:
 
         def finish() -> Iterator[pa.RecordBatch]:
             out = copier.finish()
-            footer = read_footer(out.data)
-            if footer[3][1] != out.rows or len(footer[4][1][1]) != out.blocks or schema_signature(footer) != copier.signature:
+            made = pq.ParquetFile(io.BytesIO(out.data))
+            if made.metadata.num_rows != out.rows or made.num_row_groups != out.blocks or made.schema_arrow.names != RECORD:
                 raise BlockMismatch("the compacted file doesn't hold what was copied")
-            table = pq.read_table(io.BytesIO(out.data))
+            table = made.read(use_threads=False)
             if table.num_rows != out.rows:
                 raise BlockMismatch("row totals differ")
             n = table.num_rows

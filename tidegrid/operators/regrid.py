@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import frequency_name, lower_key, trim_key, upper_key
+from ..session import python_tasks
 from .latest import keep_latest
 
 GRID_SCHEMA = (
@@ -262,4 +263,4 @@ def regrid(raw: DataFrame, calendar: DataFrame) -> DataFrame:
             "is_missing": readings == 0,
         })
 
-    return daily.groupBy("series_id", "source").applyInPandas(one, GRID_SCHEMA)
+    return daily.repartition(python_tasks(spark), "series_id", "source").groupBy("series_id", "source").applyInPandas(one, GRID_SCHEMA)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lower_key, trim_key, upper_key
+from ..session import python_tasks
 from .latest import keep_latest
 
 FIELDS = ("close", "volume")
@@ -205,7 +206,7 @@ def _by_series(readings: DataFrame) -> DataFrame:
     return (
         readings.select(F.struct("symbol", "source").alias("k"), F.unix_date("event_date").alias("day"), "close", "volume")
         .select(F.xxhash64("k.symbol", "k.source").alias("series"), "k.symbol", "k.source", "day", "close", "volume")
-        .repartition("symbol", "source")
+        .repartition(python_tasks(readings.sparkSession), "symbol", "source")
         .sortWithinPartitions("symbol", "source", "day")
     )
 

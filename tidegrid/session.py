@@ -55,3 +55,8 @@ def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def python_tasks(spark: SparkSession) -> int:
+    """Partitions for stages whose cost is Python time, not bytes: AQE must not coalesce them by size."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
