@@ -61,7 +61,7 @@ def test_replay_equals_brute_force(spark):
     prices = []
     for i in range(400):
         a = random.choice(arrivals)
-        prices.append(bar(random.choice("AB"), a.date() - dt.timedelta(days=random.choice([0, 1, 3, 10, 33, 50])), a, random.randint(1, 9), random.randint(1, 9), random.choice("xy"), f"r{i:04d}"))
+        prices.append(bar(random.choice("AB"), a.date() - dt.timedelta(days=random.choice([0, 1, 3, 10, 33, 50])), a, float(random.randint(1, 9)), random.randint(1, 9), random.choice("xy"), f"r{i:04d}"))
     r = latewindow.replay(spark.createDataFrame(prices, PRICE), spark.createDataFrame(runs, RUN))
     got = {(x.source, x.window_start): (x.records, x.late_arriving_rows, x.close_sum, x.volume_sum) for x in r.current.collect()}
     assert got == brute_current(prices, runs)

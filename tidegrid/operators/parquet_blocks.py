@@ -194,7 +194,10 @@ class BlockCopier:
         elif signature != self.signature:
             raise SchemaMismatch("schema differs from that of the files before")
         rows = 0
+        end = len(data) - 8 - struct.unpack("<i", data[-8:-4])[0]  # where the footer starts
         for group in footer[4][1][1]:
+            if not group[3][1]:
+                continue  # a row group without rows has no blocks
             start = self.size
             for column in group[1][1][1]:
                 if 1 in column:
@@ -204,7 +207,7 @@ class BlockCopier:
                 if 11 in meta and 0 < meta[11][1] < at:
                     at = meta[11][1]
                 length = meta[7][1]
-                if at < 4 or at + length > len(data):
+                if at < 4 or at + length > end:
                     raise BlockMismatch("a column block lies outside its file")
                 moved = self.size - at
                 self.parts.append(data[at : at + length])
