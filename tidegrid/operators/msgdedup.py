@@ -90,7 +90,7 @@ def _ordered_pass(undecided: DataFrame) -> DataFrame:
             kept.append(row.delivery_id)
         return pd.DataFrame({"delivery_id": pd.Series(kept, dtype="int64")})
 
-    return undecided.groupBy(F.lit(1)).applyInPandas(one, "delivery_id bigint")
+    return undecided.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(one, "delivery_id bigint")
 
 
 def greedy_kept(candidates: DataFrame) -> DataFrame:
