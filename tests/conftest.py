@@ -13,7 +13,7 @@ from tidegrid.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    s = get_session("tests", 4, **{"spark.sql.shuffle.partitions": "3", "spark.driver.memory": "3g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
+    s = get_session("tests", 4, **{"spark.sql.shuffle.partitions": "2", "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1", "spark.driver.memory": "3g", "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
 

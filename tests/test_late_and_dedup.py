@@ -124,12 +124,12 @@ def brute_repeats(data):
     return out
 
 
-@pytest.mark.parametrize("seed,loads,small", [(1, 1, 50_000), (2, 2, 0), (3, 3, 50_000), (4, 2, 3)])
+@pytest.mark.parametrize("seed,loads,small", [(2, 2, 0), (3, 2, 50_000)])
 def test_repeats_equal_the_greedy_rule(spark, monkeypatch, seed, loads, small):
     monkeypatch.setattr(msgdedup, "ORDERED_ROWS", small)
     random.seed(seed)
     data = []
-    for i in range(300):
+    for i in range(200):
         eid = random.choice([None, " E1 ", "e1", *(f"e{random.randint(2, 120)}" for _ in range(8))])
         off = random.choice([None, 7, *(random.randint(8, 150) for _ in range(8))])
         data.append(message(i, eid, off, random.choice([None, *(T(2024, 1, 1) + dt.timedelta(hours=random.randint(0, 9)) for _ in range(9))]), random.choice(["t", "u"]), ts=random.choice([None, T(2024, 1, 1), T(2024, 1, 2)])))
@@ -143,8 +143,8 @@ def test_repeats_equal_the_greedy_rule(spark, monkeypatch, seed, loads, small):
 
 def test_chain_of_dependencies(spark, monkeypatch):
     """Each message shares something with the next: every second one stays."""
-    monkeypatch.setattr(msgdedup, "ORDERED_ROWS", 4)
-    data = [message(i, f"e{(i + 1) // 2}", i // 2, T(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(24)]
+    monkeypatch.setattr(msgdedup, "ORDERED_ROWS", 2)
+    data = [message(i, f"e{(i + 1) // 2}", i // 2, T(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(10)]
     df = spark.createDataFrame(data, MESSAGE)
     assert {r.delivery_id for r in msgdedup.repeats(msgdedup.nodes(df)).collect()} == brute_repeats(data)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import strip_all
+from .storage import stash
 
 
 class MissingRequiredFieldError(ValueError):
@@ -135,15 +136,18 @@ def validate(contract: Contract, payloads: DataFrame, source: str) -> DataFrame:
         F.when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", "))),
         F.when(F.size(unknown) > 0, F.concat(F.lit("unexpected columns under quarantine policy: "), F.array_join(unknown, ", "))),
     ]
-    columns: dict[str, Column] = {}
-    for name, spec in contract.fields.items():
+    # values and types first, as columns, so that the checks below stay small expressions
+    taken: list[Column] = []
+    for name in contract.fields:
         options = [name, *[a for a, c in contract.aliases.items() if c == name]]
         value = F.coalesce(*[_get(F.col("_v"), o) for o in options])
-        raw_text = F.try_variant_get(value, "$", "string")
-        kind = F.schema_of_variant(value)
-        normal, message = spec.normalizer(raw_text, kind)
-        absent = ~F.array_contains("_names", name)
-        null = F.is_variant_null(value) | value.isNull()
+        taken += [F.try_variant_get(value, "$", "string").alias(f"_t_{name}"), F.when(~F.is_variant_null(value), F.schema_of_variant(value)).alias(f"_k_{name}")]
+    named = named.select("*", *taken)
+    columns: dict[str, Column] = {}
+    for name, spec in contract.fields.items():
+        kind = F.col(f"_k_{name}")
+        normal, message = spec.normalizer(F.col(f"_t_{name}"), kind)
+        absent, null = ~F.array_contains("_names", name), kind.isNull()
         columns[name] = F.when(~null, normal).cast(spec.kind)
         errors.append(F.when(absent, F.lit(None)).when(null, F.lit(None) if spec.nullable else F.lit(f"{name}: null is not allowed")).when(message.isNotNull(), F.concat(F.lit(f"{name}: "), message)))
     said = named.select(*payloads.columns, F.filter(F.array(*[e.cast("string") for e in errors]), lambda e: e.isNotNull()).alias("errors"), *[c.alias(n) for n, c in columns.items()])
@@ -153,6 +157,7 @@ def validate(contract: Contract, payloads: DataFrame, source: str) -> DataFrame:
         said = said.withColumn("errors", F.when(silent & broken.isNotNull(), F.array(broken)).otherwise(F.col("errors")))
     wrong = F.concat(F.lit(f"source: expected {source!r}, got "), F.col("source"))
     said = said.withColumn("errors", F.when(silent & (F.col("source") != source), F.array(wrong)).otherwise(F.col("errors")))
+    said = stash(said, "validated")  # parsed once; read for the keys and for the rows
     firsts = said.where(silent).groupBy(*contract.key).agg(F.min("position").alias("_first")).select(*[F.col(k).alias(f"_k_{k}") for k in contract.key], "_first")
     on = silent
     for k in contract.key:
