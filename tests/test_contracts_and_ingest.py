@@ -191,7 +191,7 @@ def test_compaction_archive_build_and_time_travel(spark, lake):
     assert lake_mod.time_travel(lake, build["build_id"])["prices"].count() == 3
     with pytest.raises(lake_mod.CompactionError):
         lake_mod.compact_partition(lake, "prices", 2026, 7)
-    lake.files.create_exclusive(f"{lake.raw}/prices/year=2026/month=08.compaction.lock")
+    lake.files.create_exclusive(lake.lock("prices/year=2026/month=08"))
     with pytest.raises(lake_mod.CompactionError):
         lake_mod.compact_partition(lake, "prices", 2026, 8)
     with pytest.raises(ingest.PartitionLockedError):

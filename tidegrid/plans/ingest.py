@@ -51,6 +51,10 @@ class Lake:
     def raw(self) -> str:
         return f"{self.root}/raw"
 
+    def lock(self, partition: str) -> str:
+        """Lock file of a partition (dataset/year=…/month=…); outside the data, where readers would take it for a file of theirs."""
+        return f"{self.root}/_locks/{partition.replace('/', '--')}.lock"
+
     @property
     def runs(self) -> str:
         return f"{self.root}/metadata/ingestion_runs"
@@ -166,7 +170,7 @@ def backfill(
     for _, month in partitions:
         inner = "/".join(month.rsplit("/", 2)[1:])
         into = f"{lake.raw}/{dataset}/{inner}"
-        if files.exists(f"{into}.compaction.lock"):
+        if files.exists(lake.lock(f"{dataset}/{inner}")):
             raise PartitionLockedError(into)
         files.mkdirs(into)
         for i, (path, _, _) in enumerate(files.list(month)):
