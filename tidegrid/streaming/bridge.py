@@ -86,7 +86,7 @@ class EventLake:
         if n_bad:
             bad.select("topic", "partition", "offset", "error", F.col("value").alias("raw_value"), F.lit(started.isoformat()).alias("received_at")).coalesce(1).write.mode("overwrite").json(f"{self.root}/quarantine/stream/run={run_id}")
         columns = [c.split()[0] for c in EVENT.split(", ")]
-        good = decoded.where("error is null").select(*columns).withColumn("delivery_id", F.monotonically_increasing_id())
+        good = decoded.where("error is null").select(*columns).orderBy("source_topic", "kafka_partition", "kafka_offset").withColumn("delivery_id", F.monotonically_increasing_id())  # the first in the order of the log wins
         held = self.events()
         fresh_ids = small_side(stash(good.select(F.lower(F.trim("event_id")).alias("e")).distinct(), "batch-ids"))
         known_ids = held.select(F.lower(F.trim("event_id")).alias("e")).join(fresh_ids, "e", "left_semi").distinct()
