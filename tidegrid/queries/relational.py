@@ -362,7 +362,7 @@ def event_window_filter(s, d):
 def one_year_history(s, d):
     p = table(s, d, "prices")
     latest = p.agg(F.max("date").alias("latest"))
-    return p.join(F.broadcast(latest), (F.col("date") > F.add_months("latest", -3)) & (F.col("date") <= F.col("latest"))).where("close > 100").select("symbol", "date", "close")
+    return p.join(F.broadcast(latest), (F.col("date") > F.add_months("latest", -12)) & (F.col("date") <= F.col("latest"))).select("symbol", "date", "close")
 
 
 @query(f"with {_VOL} select (select count(*) from stg_prices) as staged, (select count(*) from daily_) as mart, (select count(*) from stg_prices) = (select count(*) from daily_) as equal")
