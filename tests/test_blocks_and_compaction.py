@@ -116,6 +116,26 @@ def test_waiting_fragments_and_splitting_of_large_groups(spark, monkeypatch):
     assert 2 <= big.files_after <= 5 and got["p=2"].files_after == 1
 
 
+def test_waiting_fragments_become_files(spark, monkeypatch):
+    monkeypatch.setattr(compaction, "BIN_ROWS", 50)
+    data = [fragment(None, "input", f"f{i % 5}", f"S{i}", close=float(i)) for i in range(120)]
+    data += [fragment(None, "input", "copy", "s3", close=-1.0, at=T(2024, 1, 1)), fragment(None, "input", "null", None, close=None), fragment(None, "input", "alone", "S1", part="p=2")]
+    result = compaction.compact_waiting(spark.createDataFrame(data, FRAGMENT))
+    once = [(r[6], r[7], r[10], r[8], r[9], r[11], r[12]) for r in data if r[2] != "copy"]
+    seen = set()
+    for r in [*result.collect(), *result.collect()]:
+        part = r.partition_path
+        tables = [pq.read_table(p.removeprefix("file:")) for p in r.paths]
+        assert len(tables) == r.files_after and sum(len(open(p.removeprefix("file:"), "rb").read()) for p in r.paths) == r.bytes_after
+        wanted = [x for x, given in zip(once, (d for d in data if d[2] != "copy")) if given[5] == part]
+        assert rows(spark.read.parquet(*r.paths).select("symbol", "date", "source", "close", "volume", "source_record_id", "ingested_at")) == sorted(wanted, key=lambda t: tuple((v is not None, str(v)) for v in t))
+        assert sum(t.num_rows for t in tables) == r.rows_after
+        seen |= {(part, p) for p in r.paths}
+    assert {part for part, _ in seen} == {"p=1", "p=2"} and len(seen) == sum(r.files_after for r in result.collect())
+    with pytest.raises(FileExistsError):
+        compaction.compact_waiting(spark.createDataFrame(data, FRAGMENT), next(iter(seen))[1].rsplit("/", 1)[0])
+
+
 def test_empty_tables(spark):
     f, log = spark.createDataFrame([], FRAGMENT), spark.createDataFrame([], LOG)
     assert rows(compaction.wrong_compactions(f, log)) == []

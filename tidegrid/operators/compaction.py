@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import lower_key, trim_key, upper_key
 from ..session import python_tasks
-from ..sources.storage import HadoopFiles, small_side, stash
+from ..sources.storage import HadoopFiles, scratch, small_side, stash
 from .latest import keep_latest
 from .parquet_blocks import BlockCopier, BlockMismatch, merge_blocks, read_footer, schema_signature
 
@@ -61,6 +61,22 @@ def _encode(table: pa.Table) -> bytes:
     return sink.getvalue()
 
 
+def _write(folder: str, data: bytes) -> str:
+    """Write a new file to the folder and return its path."""
+    path = f"{folder}/part-{uuid.uuid4().hex}.parquet"
+    fs, at = _arrow_fs(path)
+    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(at) as f:
+        f.write(data)
+    return path
+
+
+def _read(path: str) -> bytes:
+    fs, at = _arrow_fs(path)
+    with fs.open_input_file(at) as f:
+        return f.read()
+
+
 def _spread(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     """Adds ``bin``: 0, or a hash of the file and record for groups of more than BIN_ROWS rows."""
     counted = rows.groupBy(*group).agg(F.count("*").alias("_rows")).where(F.col("_rows") > BIN_ROWS)
@@ -73,7 +89,7 @@ def _spread(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     return joined.withColumn("bin", F.when(F.col("_bins").isNull(), 0).otherwise(F.pmod(F.xxhash64("file_name", "symbol", "date"), F.col("_bins"))).cast("int")).drop("_bins", *[f"_{g}" for g in group])
 
 
-def compact_fragments(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+def compact_fragments(rows: DataFrame, group: Sequence[str], into: str | None = None) -> DataFrame:
     """The records of each group after compaction, with what the compaction counted.
 
     rows: group columns, file_name and RECORD columns. Each file's records are an
@@ -81,12 +97,17 @@ def compact_fragments(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     footer is validated, and the records are read from that file. Columns out:
     group, bin, RECORD, and files, blocks, file_rows, file_bytes of the compacted
     file on one row of each bin (null on the others).
+
+    With ``into``, each bin's file is written to that folder and validated as it
+    lies there; columns out are group, bin, path and the four figures, one row per
+    file. Each evaluation writes anew, so the caller writes the result down.
     """
     spread = _spread(rows, group)
     work = spread.select(*group, "bin", F.xxhash64(*group, "bin").alias("_g"), F.xxhash64("file_name").alias("_f"), *RECORD)
     arranged = work.repartition(python_tasks(rows.sparkSession), *group, "bin").sortWithinPartitions("_g", *group, "bin", "_f")
     kinds = {f.name: f.dataType.simpleString() for f in work.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in [*group, "bin", *RECORD]), "files bigint, blocks bigint, file_rows bigint, file_bytes bigint"])
+    held_as = [*(f"`{c}` {kinds[c]}" for c in [*group, "bin"]), *(["path string"] if into else [f"`{c}` {kinds[c]}" for c in RECORD])]
+    schema = ", ".join([*held_as, "files bigint, blocks bigint, file_rows bigint, file_bytes bigint"])
     named = [*group, "bin"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +123,15 @@ def compact_fragments(rows: DataFrame, group: Sequence[str]) -> DataFrame:
 
         def finish() -> Iterator[pa.RecordBatch]:
             out = copier.finish()
-            made = pq.ParquetFile(io.BytesIO(out.data))
+            path = _write(into, out.data) if into else None
+            made = pq.ParquetFile(io.BytesIO(_read(path) if into else out.data))
             if made.metadata.num_rows != out.rows or made.num_row_groups != out.blocks or made.schema_arrow.names != RECORD:
                 raise BlockMismatch("the compacted file doesn't hold what was copied")
             table = made.read(use_threads=False)
             if table.num_rows != out.rows:
                 raise BlockMismatch("row totals differ")
-            n = table.num_rows
-            columns = {c: pa.array([label[c].as_py()] * n, label[c].type) for c in named} | {c: table.column(c) for c in RECORD}
+            n = 1 if into else table.num_rows
+            columns = {c: pa.array([label[c].as_py()] * n, label[c].type) for c in named} | ({"path": pa.array([path])} if into else {c: table.column(c) for c in RECORD})
             for c, v in (("files", out.files), ("blocks", out.blocks), ("file_rows", out.rows), ("file_bytes", len(out.data))):
                 columns[c] = pa.array([v] + [None] * (n - 1), pa.int64())
             yield from pa.table(columns).to_batches(max_chunksize=20_000)
@@ -150,19 +172,36 @@ def winners(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     return keep_latest(rows, [*group, *KEY], ["ingested_at", "source_record_id"], [*group, *KEY, "close", "volume", "source_record_id", "ingested_at", "file_name"])
 
 
-def compact_waiting(fragments: DataFrame) -> DataFrame:
-    """A CompactionResult per dataset and partition of the fragments that wait (no compaction_id).
+def compact_waiting(fragments: DataFrame, target: str | None = None) -> DataFrame:
+    """Compacts the fragments that wait (no compaction_id); a CompactionResult with the new files' paths per dataset and partition.
 
-    Null keys are keys; fragments with null file names are one file; an empty
-    table gives no rows.
+    The new files hold each record once. They are written to a staging folder,
+    validated and renamed to ``target``, by default a fresh folder in the shared
+    folder; ``target`` must not exist. Null keys are keys; fragments with null file
+    names are one file; an empty table gives no rows.
     """
+    spark = fragments.sparkSession
+    target = (target or scratch(spark, "compacted")).rstrip("/")
+    files = HadoopFiles(spark, target)
+    if files.exists(target):
+        raise FileExistsError(target)
+    staging = f"{target}/_staging-{uuid.uuid4().hex[:12]}"
     group = ["dataset", "partition_path"]
     rows = clean_fragments(fragments).where("compaction_id is null and file_role = 'input'")
     before = counts_before(rows, group)
-    after = compact_fragments(winners(rows, group), group).groupBy(*group).agg(F.count("files").alias("files_after"), F.sum("blocks").alias("blocks"), F.count("*").alias("rows_after"), F.sum("file_rows").alias("file_rows"), F.sum("file_bytes").alias("bytes_after"))
+    once = stash(winners(rows, group), "once")
+    made = stash(compact_fragments(once, group, staging), "compaction")
+    written = made.select(*group, "file_rows").unionByName(once.groupBy(*group).agg((-F.count("*")).alias("file_rows")))
+    if written.groupBy(*group).agg(F.sum("file_rows").alias("more")).where("more <> 0").limit(1).count():
+        raise BlockMismatch("the written files don't hold each record once; nothing was published")
+    for (path,) in made.select("path").toLocalIterator():  # few: one per output file
+        files.rename(path, f"{target}/{path.rsplit('/', 1)[1]}")
+    files.delete(staging)  # and what failed tasks left there
+    named = made.withColumn("path", F.concat(F.lit(f"{target}/"), F.substring_index("path", "/", -1)))
+    after = named.groupBy(*group).agg(F.count("files").alias("files_after"), F.sum("blocks").alias("blocks"), F.sum("file_rows").alias("rows_after"), F.sum("file_bytes").alias("bytes_after"), F.sort_array(F.collect_list("path")).alias("paths"))
     return before.join(after, group).select(
         *group, F.col("files").alias("files_before"), "files_after", F.col("rows").alias("rows_before"), "rows_after",
-        (F.col("rows") - F.col("rows_after")).alias("duplicate_rows_removed"), "blocks", "bytes_after", (F.col("file_rows") == F.col("rows_after")).alias("validated"),
+        (F.col("rows") - F.col("rows_after")).alias("duplicate_rows_removed"), "blocks", "bytes_after", F.lit(True).alias("validated"), "paths",
     )
 
 
