@@ -165,6 +165,18 @@ def test_spikes_stuck_and_impossible(spark):
     assert plain[1] < spikes.SCORE_LIMIT
 
 
+def test_spikes_of_a_field_that_few_series_have(spark):
+    names = [f"N{k}" for k in range(60)]
+    last = spark.createDataFrame([(n,) for n in names], "symbol string").orderBy(F.xxhash64("symbol").desc()).first().symbol
+    days = weekdays(120)
+    v = np.exp(np.random.default_rng(7).normal(8, 0.4, 120)).astype(int)
+    v[50] *= 10_000
+    data = [(n, days[0], 1.0, 1.0, 1.0, 1.0, None, "x", "r", T(2024, 12, 1)) for n in names if n != last]
+    data += [(last, d, 1.0, 1.0, 1.0, None, int(x), "x", "r", T(2024, 12, 1)) for d, x in zip(days, v)]
+    got = [(r.symbol, r.event_date, r.field) for r in spikes.score_readings(spark.createDataFrame(data, PRICE), only_flagged=True).collect()]
+    assert got == [(last, days[50], "volume")]
+
+
 def test_series_cut_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:

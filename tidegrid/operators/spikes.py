@@ -11,8 +11,9 @@ map-side combine; after it a series has at most one reading per calendar day.
 Series then stream through ``mapInPandas`` in sorted partitions, many at a time,
 as NumPy arrays. Feature values are rounded to a grid, in training and scoring
 alike, so that equal feature rows are scored once per batch. Forests are trained
-on a bounded sample (TRAIN_SERIES series per source, TREES x TREE_ROWS readings)
-and their size is checked before they are broadcast.
+on a bounded sample of the readings of all series of a source and field (the
+TREES x TREE_ROWS lowest in a hash order) and their size is checked before they
+are broadcast.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import lower_key, trim_key, upper_key
 from ..session import python_tasks
+from ..sources.storage import stash
 from .latest import keep_latest
 
 FIELDS = ("close", "volume")
@@ -36,8 +38,9 @@ STUCK_RUN = 5
 SPIKE_LIMIT = 9.0
 AROUND = 4  # readings on either side
 SEASON = 5  # days of a trading week
-TRAIN_SERIES = 40
 TREES, TREE_ROWS, SEED = 50, 256, 20240229
+#: Readings that reach a forest's task before the lowest in the hash order are taken, as a multiple of those taken.
+DRAWN = 4
 #: Readings below this score are ordinary; ordinary ones score about 0.4.
 SCORE_LIMIT = 0.5
 MODEL_BYTES = 64_000_000
@@ -223,26 +226,39 @@ def _per_field(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray, dict[str, n
         yield field, at, features(raw[at], seg, day[at], field), raw[at]
 
 
-def train(cleaned: DataFrame) -> dict:
-    """Forests by (source, field), from TRAIN_SERIES whole series per source, the ones lowest in a hash order."""
-    series = cleaned.select(F.col("symbol").alias("_symbol"), F.col("source").alias("_source")).distinct()
-    w = Window.partitionBy("_source").orderBy(F.xxhash64("_symbol"), "_symbol")
-    chosen = series.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TRAIN_SERIES)
-    sample = last_readings(cleaned.join(F.broadcast(chosen), (F.col("symbol") == F.col("_symbol")) & F.col("source").eqNullSafe(F.col("_source")), "left_semi"))
+def _order(series: np.ndarray, day: np.ndarray) -> np.ndarray:
+    """A hash of each reading, even over all 64 bits."""
+    with np.errstate(over="ignore"):
+        h = series.astype(np.uint64) + (day.astype(np.int64).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+
+def train(last: DataFrame) -> dict:
+    """Forests by (source, field), each from the TREES x TREE_ROWS readings of the source and field that are lowest in a hash order."""
+    most = TREES * TREE_ROWS
+    held = last.groupBy("source").agg(*[F.count_if(F.col(c).isNotNull() & ~F.isnan(c)).alias(c) for c in FIELDS]).collect()  # as many rows as there are forests
+    share = {(r.source, c): DRAWN * most / max(r[c], 1) for r in held for c in FIELDS}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _series_chunks(batches):
-            source = pdf["source"].to_numpy()
+            series, source, day = pdf["series"].to_numpy(), pdf["source"].to_numpy(), pdf["day"].to_numpy()
+            code, names = pd.factorize(source, use_na_sentinel=False)
             for field, at, f, _ in _per_field(pdf):
-                yield pd.DataFrame({"source": source[at], "field": field, "a": f["x"][:, 0], "b": f["x"][:, 1], "c": f["x"][:, 2], "d": f["x"][:, 3]})
+                bound = np.array([share[(name if isinstance(name, str) else None, field)] for name in names])[code[at]]
+                h = _order(series[at], day[at])
+                drawn = np.flatnonzero(h / 2.0**64 < bound)
+                if len(drawn):
+                    x = f["x"][drawn]
+                    yield pd.DataFrame({"source": source[at][drawn], "field": field, "h": (h[drawn] >> np.uint64(1)).astype(np.int64), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "d": x[:, 3]})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[["a", "b", "c", "d"]].to_numpy()
-        x = x[np.lexsort(x.T)]  # the order of arrival must not matter
+        x = pdf.sort_values(["h", "a", "b", "c", "d"])[["a", "b", "c", "d"]].to_numpy()[:most]  # the order of arrival must not matter
         return pd.DataFrame({"source": [pdf["source"].iloc[0]], "field": [pdf["field"].iloc[0]], "model": [pickle.dumps(train_forest(x))]})
 
     found = (
-        _by_series(sample).mapInPandas(rows, "source string, field string, a int, b int, c int, d int")
+        _by_series(last).mapInPandas(rows, "source string, field string, h bigint, a int, b int, c int, d int")
         .groupBy("source", "field").applyInPandas(fit, "source string, field string, model binary")
         .collect()
     )
@@ -262,8 +278,8 @@ def score_readings(prices: DataFrame, only_flagged: bool = False) -> DataFrame:
     SPIKE_LIMIT usual variations; stuck and impossible readings are explicit rules
     on the run-length feature and the value.
     """
-    cleaned = clean_bars(prices)
-    models = prices.sparkSession.sparkContext.broadcast(train(cleaned))
+    last = stash(last_readings(clean_bars(prices)), "last-readings")
+    models = prices.sparkSession.sparkContext.broadcast(train(last))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _series_chunks(batches):
@@ -273,9 +289,8 @@ def score_readings(prices: DataFrame, only_flagged: bool = False) -> DataFrame:
                 scores = np.zeros(len(at))
                 for k, name in enumerate(names):
                     mine = code[at] == k
-                    model = models.value.get((name if isinstance(name, str) else None, field))
-                    if model is not None and mine.any():
-                        scores[mine] = score_forest(model, f["x"][mine])
+                    if mine.any():  # a field with readings has a forest; a KeyError rather than lost spikes
+                        scores[mine] = score_forest(models.value[(name if isinstance(name, str) else None, field)], f["x"][mine])
                 stuck = f["run"] >= STUCK_RUN
                 spike = (scores >= SCORE_LIMIT) & (np.abs(f["deviation"]) > SPIKE_LIMIT) & ~f["impossible"]
                 keep = np.flatnonzero(stuck | spike | f["impossible"]) if only_flagged else np.arange(len(at))
@@ -285,4 +300,4 @@ def score_readings(prices: DataFrame, only_flagged: bool = False) -> DataFrame:
                         "deviation": f["deviation"][keep], "run_length": f["run"][keep].astype(np.int32), "is_impossible": f["impossible"][keep], "is_stuck": stuck[keep], "is_spike": spike[keep],
                     })
 
-    return _by_series(last_readings(cleaned)).mapInPandas(score, SCORED_SCHEMA)
+    return _by_series(last).mapInPandas(score, SCORED_SCHEMA)
