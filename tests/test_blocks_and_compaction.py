@@ -136,6 +136,12 @@ def test_waiting_fragments_become_files(spark, monkeypatch):
         compaction.compact_waiting(spark.createDataFrame(data, FRAGMENT), next(iter(seen))[1].rsplit("/", 1)[0])
 
 
+def test_waiting_fragments_with_null_keys_stay(spark):
+    data = [fragment(None, "input", "f1", part=None), fragment(None, "input", "f2", "B", part=None), fragment(None, "input", "f3"), (*fragment(None, "input", "f4")[:4], None, *fragment(None, "input", "f4")[5:])]
+    got = {(r.dataset, r.partition_path): r for r in compaction.compact_waiting(spark.createDataFrame(data, FRAGMENT)).collect()}
+    assert {k: (r.files_before, r.rows_before, r.rows_after) for k, r in got.items()} == {("prices", None): (2, 2, 2), ("prices", "p=1"): (1, 1, 1), (None, "p=1"): (1, 1, 1)}
+
+
 def test_empty_tables(spark):
     f, log = spark.createDataFrame([], FRAGMENT), spark.createDataFrame([], LOG)
     assert rows(compaction.wrong_compactions(f, log)) == []

@@ -199,8 +199,11 @@ def compact_waiting(fragments: DataFrame, target: str | None = None) -> DataFram
     files.delete(staging)  # and what failed tasks left there
     named = made.withColumn("path", F.concat(F.lit(f"{target}/"), F.substring_index("path", "/", -1)))
     after = named.groupBy(*group).agg(F.count("files").alias("files_after"), F.sum("blocks").alias("blocks"), F.sum("file_rows").alias("rows_after"), F.sum("file_bytes").alias("bytes_after"), F.sort_array(F.collect_list("path")).alias("paths"))
-    return before.join(after, group).select(
-        *group, F.col("files").alias("files_before"), "files_after", F.col("rows").alias("rows_before"), "rows_after",
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(f"b.{g}").eqNullSafe(F.col(f"a.{g}"))
+    return before.alias("b").join(after.alias("a"), same).select(
+        *[f"b.{g}" for g in group], F.col("files").alias("files_before"), "files_after", F.col("rows").alias("rows_before"), "rows_after",
         (F.col("rows") - F.col("rows_after")).alias("duplicate_rows_removed"), "blocks", "bytes_after", F.lit(True).alias("validated"), "paths",
     )
 
