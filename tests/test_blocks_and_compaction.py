@@ -84,6 +84,18 @@ def test_compact_files_drops_copies_and_separates_schemas(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "once")).collect()) == [0, 1, 2, 3, 4, 5, 6, 100]
 
 
+def test_files_with_copies_keep_their_own_columns(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    src.mkdir()
+    pq.write_table(pa.table({"k": [1, 3], "v": [1.0, 3.0]}), src / "a.parquet")
+    pq.write_table(pa.table({"k": [1, 2], "v": [1.0, 2.0], "w": ["x", "y"]}), src / "b.parquet")
+    pq.write_table(pa.table({"k": [3, 4], "v": [3.0, 4.0]}), src / "c.parquet")
+    r = compaction.compact_files(spark, str(src), str(out), dedup_keys=["k"]).first()
+    assert (r.rows_before, r.rows_after) == (4 + 2, 4)
+    assert rows(spark.read.option("mergeSchema", "true").parquet(str(out)).select("k", "v", "w")) == [(1, 1.0, None), (2, 2.0, "y"), (3, 3.0, None), (4, 4.0, None)]
+    assert all(p.parent == out for p in out.rglob("*.parquet"))
+
+
 def fragment(cid, role, name, symbol="A", day=D(2024, 1, 1), close=1.0, volume=10, source="x", rid="r", at=T(2024, 1, 2), part="p=1"):
     return (cid, role, name, 100, "prices", part, symbol, day, close, volume, source, rid, at)
 

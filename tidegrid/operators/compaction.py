@@ -13,9 +13,11 @@ one target size each. Contents never pass through the driver or a shuffle in
 
 from __future__ import annotations
 
+import hashlib
 import io
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -267,9 +269,9 @@ def compact_files(spark: SparkSession, source: str, target: str, target_bytes: i
     listing = stash(listing, "file-list")
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    work = listing
+    work, surplus = listing, None
     if dedup_keys:
-        work = _without_copies(spark, source, listing, staging, list(dedup_keys))
+        work, surplus = _without_copies(spark, listing, staging, list(dedup_keys))
     sizes = work.groupBy("folder").agg(F.sum("length").alias("_total"))
     plan = (
         work.join(sizes, "folder")
@@ -311,7 +313,8 @@ def compact_files(spark: SparkSession, source: str, target: str, target_bytes: i
         .na.fill(0),
         "compaction-result",
     )
-    if not dedup_keys and result.where("rows_before <> rows_after").limit(1).count():
+    expected = result.withColumn("_surplus", F.lit(0)) if surplus is None else result.join(surplus, "folder", "left").na.fill(0, ["_surplus"])
+    if expected.where("rows_before - _surplus <> rows_after").limit(1).count():
         raise BlockMismatch("rows before and after differ; nothing was published")
     for folder, staged in made.select("folder", "staged").toLocalIterator():  # few: one per output file
         inner = folder[len(base):].lstrip("/")
@@ -319,22 +322,57 @@ def compact_files(spark: SparkSession, source: str, target: str, target_bytes: i
         files.mkdirs(into)
         files.rename(staged, f"{into}/part-{staged.rsplit('/', 1)[1]}")
     files.delete(staging)
+    files.delete(_rewritten(staging))
     return result
 
 
-def _without_copies(spark: SparkSession, source: str, listing: DataFrame, staging: str, keys: list[str]) -> DataFrame:
-    """The listing with files that hold a surplus copy replaced by rewritten ones."""
-    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(source)
-    placed = read.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    rows = placed.select(*keys, "_path", "_row", F.regexp_extract("_path", r"^(.*)/[^/]+$", 1).alias("_folder"))
+def _rewritten(staging: str) -> str:
+    return staging.replace("_staging-", "_rewritten-")
+
+
+def _schemas(listing: DataFrame) -> DataFrame:
+    """path, schema: the hash of the schema in each file's footer."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for p in pdf["path"]:
+                fs, at = _arrow_fs(p)
+                with fs.open_input_file(at) as f:
+                    n = f.size()
+                    f.seek(max(0, n - 8))
+                    size = int.from_bytes(f.read(8)[:4], "little")
+                    f.seek(max(0, n - 8 - size))
+                    found.append(hashlib.sha256(schema_signature(read_footer(b"\0" * 4 + f.read()))).hexdigest())
+            yield pd.DataFrame({"path": pdf["path"], "schema": found})
+
+    return stash(listing.select("path").repartition(python_tasks(listing.sparkSession)).mapInPandas(run, "path string, schema string"), "schemas")
+
+
+def _without_copies(spark: SparkSession, listing: DataFrame, staging: str, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The listing with files that hold a surplus copy replaced by rewritten ones, and the surplus rows per folder.
+
+    Files are read and rewritten schema by schema, so that none loses a column
+    which others lack; a file without a key column is an error.
+    """
+    schemas = _schemas(listing)
+    placed = {}
+    for (schema,) in schemas.select("schema").distinct().collect():  # few
+        paths = [r.path for r in schemas.where(F.col("schema") == schema).toLocalIterator()]
+        placed[schema] = spark.read.option("recursiveFileLookup", "true").parquet(*paths).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
+    if not placed:
+        return listing, None
+    rows = reduce(DataFrame.unionByName, [p.select(*keys, "_path", "_row") for p in placed.values()]).withColumn("_folder", F.regexp_extract("_path", r"^(.*)/[^/]+$", 1))
     first = rows.groupBy("_folder", *keys).agg(F.min(F.struct("_path", "_row")).alias("_keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     on = (F.col("a._folder") == F.col("b._folder"))
     for k in keys:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    surplus = stash(rows.alias("a").join(first.alias("b"), on).where("a._path <> b._keep._path or a._row <> b._keep._row").select("a._path", "a._row"), "surplus")
+    surplus = stash(rows.alias("a").join(first.alias("b"), on).where("a._path <> b._keep._path or a._row <> b._keep._row").select("a._path", "a._row", "a._folder"), "surplus")
     dirty = small_side(surplus.select("_path").distinct())
-    parts = staging.replace("_staging-", "_rewritten-")
-    placed.join(dirty, "_path", "left_semi").join(surplus, ["_path", "_row"], "left_anti").withColumn("_folder", F.regexp_extract("_path", r"^(.*)/[^/]+$", 1)).withColumn("_dir", F.sha2("_folder", 256)).drop("_path", "_row", "_folder").write.partitionBy("_dir").parquet(parts)
+    parts = _rewritten(staging)
+    for schema, held in placed.items():
+        held.join(dirty, "_path", "left_semi").join(surplus, ["_path", "_row"], "left_anti").withColumn("_dir", F.sha2(F.regexp_extract("_path", r"^(.*)/[^/]+$", 1), 256)).drop("_path", "_row").write.partitionBy("_dir").parquet(f"{parts}/{schema}")
     folders = listing.select("folder", F.sha2("folder", 256).alias("_dir")).distinct()
     again = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(parts).select("path", "length", F.regexp_extract("path", r"_dir=([0-9a-f]+)/", 1).alias("_dir")).join(folders, "_dir").select("path", "length", "folder")
-    return stash(listing.join(dirty.withColumnRenamed("_path", "path"), "path", "left_anti").unionByName(again), "file-list")
+    kept = stash(listing.join(dirty.withColumnRenamed("_path", "path"), "path", "left_anti").unionByName(again), "file-list")
+    return kept, surplus.groupBy(F.col("_folder").alias("folder")).agg(F.count("*").alias("_surplus"))
