@@ -4,6 +4,7 @@ import json
 import random
 import urllib.error
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
@@ -202,6 +203,21 @@ def test_compaction_archive_build_and_time_travel(spark, lake):
         lake_mod.load_build(lake, "build-1")
 
 
+def test_compaction_copies_the_files_without_surplus_copies(spark, lake):
+    for d in ("2026-08-03", "2026-08-04", "2026-08-05"):
+        take(spark, lake, bars(d))
+    at = f"{lake.raw}/prices/year=2026/month=08"
+    first = spark.read.parquet(at).where("date = date'2026-08-03'")
+    first.withColumn("ingested_at", F.expr("ingested_at + interval 1 day")).coalesce(1).write.mode("append").parquet(at)
+    newest = spark.read.parquet(at).agg(F.max("ingested_at")).first()[0]
+    r = lake_mod.compact_partition(lake, "prices", 2026, 8)
+    assert (r.rows_before, r.rows_after, r.duplicate_rows_removed) == (4, 3, 1)
+    after = spark.read.parquet(at).orderBy("date").collect()
+    assert [x.date.day for x in after] == [3, 4, 5] and after[0].ingested_at == newest
+    made = [p for p, _, _ in lake.files.list(at) if p.endswith(".parquet")]
+    assert sum(pq.ParquetFile(p.removeprefix("file:")).num_row_groups for p in made) == 3  # one decoded file would have one
+
+
 def test_compaction_rolls_back(spark, lake):
     for d in ("2026-08-03", "2026-08-04"):
         take(spark, lake, bars(d))

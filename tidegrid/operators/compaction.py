@@ -246,13 +246,14 @@ def _arrow_fs(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def compact_files(spark: SparkSession, source: str, target: str, target_bytes: int = TARGET_BYTES, dedup_keys: Sequence[str] | None = None) -> DataFrame:
+def compact_files(spark: SparkSession, source: str, target: str, target_bytes: int = TARGET_BYTES, dedup_keys: Sequence[str] | None = None, latest: Sequence[str] = ()) -> DataFrame:
     """Merge the Parquet files below ``source``, folder by folder, into files of about target_bytes below ``target``.
 
     Files whose schemas differ go to different files of the folder. With
     dedup_keys, files that hold a record of which another file holds a copy are
     rewritten without it first (only those are decoded), the others copied as they
-    are. Work goes to a staging folder; after totals are validated the new files
+    are; the copy with the greatest ``latest`` tuple stays (nulls lowest), without
+    latest the first by path. Work goes to a staging folder; after totals are validated the new files
     are renamed into place. Returns one CompactionResult row per folder; ``target``
     must not exist. Files without rows vanish; other files in ``source`` are left
     alone.
@@ -271,7 +272,7 @@ def compact_files(spark: SparkSession, source: str, target: str, target_bytes: i
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     work, surplus = listing, None
     if dedup_keys:
-        work, surplus = _without_copies(spark, listing, staging, list(dedup_keys))
+        work, surplus = _without_copies(spark, listing, staging, list(dedup_keys), list(latest))
     sizes = work.groupBy("folder").agg(F.sum("length").alias("_total"))
     plan = (
         work.join(sizes, "folder")
@@ -349,7 +350,7 @@ def _schemas(listing: DataFrame) -> DataFrame:
     return stash(listing.select("path").repartition(python_tasks(listing.sparkSession)).mapInPandas(run, "path string, schema string"), "schemas")
 
 
-def _without_copies(spark: SparkSession, listing: DataFrame, staging: str, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+def _without_copies(spark: SparkSession, listing: DataFrame, staging: str, keys: list[str], latest: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """The listing with files that hold a surplus copy replaced by rewritten ones, and the surplus rows per folder.
 
     Files are read and rewritten schema by schema, so that none loses a column
@@ -362,8 +363,8 @@ def _without_copies(spark: SparkSession, listing: DataFrame, staging: str, keys:
         placed[schema] = spark.read.option("recursiveFileLookup", "true").parquet(*paths).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
     if not placed:
         return listing, None
-    rows = reduce(DataFrame.unionByName, [p.select(*keys, "_path", "_row") for p in placed.values()]).withColumn("_folder", F.regexp_extract("_path", r"^(.*)/[^/]+$", 1))
-    first = rows.groupBy("_folder", *keys).agg(F.min(F.struct("_path", "_row")).alias("_keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    rows = reduce(DataFrame.unionByName, [p.select(*keys, F.struct(*latest, "_path", "_row").alias("_place"), "_path", "_row") for p in placed.values()]).withColumn("_folder", F.regexp_extract("_path", r"^(.*)/[^/]+$", 1))
+    first = rows.groupBy("_folder", *keys).agg((F.max if latest else F.min)("_place").alias("_keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     on = (F.col("a._folder") == F.col("b._folder"))
     for k in keys:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
