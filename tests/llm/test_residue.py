@@ -62,3 +62,9 @@ def test_tables(spark):
 def test_other_columns_survive_exclusion(spark):
     df = spark.sql("select 1L as doc_id, 'fine text here' as text, timestamp_ntz'2024-01-01 00:00:00' as at, array(1, 2) as a, map('k', 1) as m, struct(1 as x) as s, date'2024-01-01' as d, cast(null as string) as n")
     assert residue.exclude(df).collect() == df.collect()
+
+
+@pytest.mark.parametrize("text", ["An error occurred while processing your request. Please reload the page.", "Es ist ein Fehler aufgetreten. Bitte versuchen Sie es später erneut.", "Une erreur est survenue. Veuillez recharger la page.", "Se ha producido un error. Vuelva a cargar la página.", "Enter your text here."])
+def test_general_messages_are_found(text):
+    assert residue.classify(text)[0] in ("error_page", "filler")
+    assert residue.classify(f"{text} Revenue of the quarter rose by a tenth, as the new plant reached its planned output and sold all of it to three long-standing customers, while the costs of transport fell.")[0] != "error_page"

@@ -67,6 +67,15 @@ NOTICES = (
     "cette application a besoin de javascript", "les scripts sont désactivés dans votre navigateur", "activez-les puis rechargez", "veuillez activer javascript pour afficher cette page", "veuillez activer javascript",
     "los scripts están desactivados en su navegador", "actívelos y recargue", "active javascript para ver esta página", "esta aplicación necesita javascript para funcionar", "habilite javascript",
 )
+#: General messages of servers, browsers and content systems, not collected from the given documents.
+GENERAL = (
+    "the server encountered an internal error", "was unable to complete your request", "an unexpected error occurred", "an unexpected error has occurred", "an error occurred while processing your request", "while loading the page", "please reload the page", "please reload", "reload the page",
+    "can't be reached", "cannot be reached", "check your connection", "check your internet connection", "you are not authorized to view", "contact your administrator", "you have been blocked", "you are unable to access", "access to this page has been denied", "checking your browser before accessing",
+    "the website is under maintenance", "under maintenance", "we will be back shortly", "we'll be back soon", "please try again", "the request timed out", "invalid request", "method not allowed", "too many redirects",
+    "es ist ein fehler aufgetreten", "es ist ein unerwarteter fehler aufgetreten", "bitte laden sie die seite neu", "bitte versuchen sie es später erneut", "sie haben keine berechtigung", "interner serverfehler", "die website wird gewartet", "zeitüberschreitung der anfrage",
+    "une erreur est survenue", "une erreur s'est produite", "une erreur inattendue s'est produite", "veuillez réessayer plus tard", "veuillez recharger la page", "vous n'avez pas l'autorisation d'accéder à", "erreur interne du serveur", "site en maintenance",
+    "se ha producido un error", "se ha producido un error inesperado", "vuelva a intentarlo más tarde", "vuelva a cargar la página", "no tiene permiso para ver", "no tiene permiso para acceder", "error interno del servidor", "sitio en mantenimiento",
+)
 #: Weak phrases fill in coverage, but a text of them alone is no error page.
 WEAK = frozenset(("error", "status", "path", "notes", "trace", "minutes", "seconds", "reference", "node", "err", "utc", "ray", "file", "line", "in article", "has moved", "to continue", "vorgang", "fehler", "référence", "erreur", "referencia", "oops", "contact support", "to read this note", "loading", *SUBJECTS, *BROWSERS, *SCRIPTS))
 
@@ -78,6 +87,11 @@ FILLER = (
     "content coming soon", "coming soon", "this is placeholder text for the", "section and will be replaced before publication", "dummy entry created by the layout check", "nothing to read in this", "sample headline", "sample subhead", "sample body copy that only shows the layout",
     "text goes here", "your text here", "insert text here", "and delete this line", "write your", "draft - body to be supplied by the", "desk", "add a description of the", "add a second sentence about the", "add a source", "keep it to two short paragraphs", "asdf asdf jkl asdf", "asdf", "test test test", "lorem ipsum dolor sit amet", "lorem ipsum",
 )
+#: General filler of content systems, not collected from the given documents.
+GENERAL_FILLER = (
+    "add your content here", "add your text here", "enter your text here", "your content here", "this is dummy text", "dummy text for demonstration purposes only", "this is a sample page", "just another placeholder",
+    "fügen sie hier ihren inhalt ein", "fügen sie hier ihren text ein", "geben sie hier ihren text ein", "insérez votre contenu ici", "insérez votre texte ici", "ajoutez votre texte ici", "inserte su contenido aquí", "inserte su texto aquí", "añada su texto aquí",
+)
 FILLER_WEAK = frozenset(("desk", "write your", "for the", "coming soon", "für den abschnitt", "add a source"))
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur "
@@ -135,9 +149,9 @@ def _expand(patterns: tuple[str, ...]) -> list[str]:
 def automaton() -> ahocorasick.Automaton:
     """One automaton over all phrases; a value is (length, kinds): e error, s subject or other weak part, f filler, w weak filler."""
     found: dict[str, str] = {}
-    for p in (*SUBJECTS, *BROWSERS, *SCRIPTS, *STATES, *MESSAGES, *_expand(NOTICES)):
+    for p in (*SUBJECTS, *BROWSERS, *SCRIPTS, *STATES, *MESSAGES, *GENERAL, *_expand(NOTICES)):
         found[p] = found.get(p, "") + ("s" if p in WEAK else "e")
-    for p in FILLER:
+    for p in (*FILLER, *GENERAL_FILLER):
         found[p] = found.get(p, "") + ("w" if p in FILLER_WEAK else "f")
     a = ahocorasick.Automaton()
     for p, kinds in found.items():
