@@ -139,21 +139,52 @@ def test_checks(spark):
     assert checks.stale(loaded.limit(0), "at", now, 12, 48).first().freshness == "error"
 
 
-def test_quality_ladder(spark):
-    first = D(2024, 1, 1)
+def bar_days(spark, days=31, odd=None):
+    """Two symbols a day of ordinary bars; odd(i, symbol, row) may change a row or leave it out."""
     data = []
-    for i in range(31):
+    for i in range(days):
         for s in ("AAPL", "MSFT"):
-            if i == 30 and s == "MSFT":
-                continue
-            c = 100 + (i % 3)
-            data.append((s, first + dt.timedelta(days=i), c, c, c, float(c), 0 if i == 30 else 100 + i % 5, "s", f"{s}{i}", T(2024, 3, 1)))
-    p = quality.daily_profile(spark.createDataFrame(data, PRICE))
-    assert quality.evaluate(p, first + dt.timedelta(days=29), 2).first().status == "HEALTHY"
-    assert quality.evaluate(p, first + dt.timedelta(days=29), 2).first().baseline_days == 29
-    last = quality.evaluate(p, first + dt.timedelta(days=30), 2).first()
+            c = 100.0 + i % 3
+            row = [s, D(2024, 1, 1) + dt.timedelta(days=i), c, c, c, c, 100 + i % 5, "s", f"{s}{i}", T(2024, 3, 1)]
+            row = odd(i, s, row) if odd else row
+            if row:
+                data.append(tuple(row))
+    return quality.daily_profile(spark.createDataFrame(data, PRICE))
+
+
+def test_quality_ladder(spark):
+    p = bar_days(spark)
+    held = quality.evaluate(p, D(2024, 1, 30), 2).first()
+    assert (held.status, held.baseline_days, held.findings, held.reason) == ("HEALTHY", 29, [], "nothing found")
+    assert quality.evaluate(p, D(2024, 1, 6), 2).first().status == "UNKNOWN"
+    assert quality.evaluate(p, D(2024, 3, 6)).count() == 0 and quality.evaluate(p).first().event_date == D(2024, 1, 31)
+
+    def zero_and_missing(i, s, row):
+        if i == 30:
+            row[6] = 0
+        return None if i == 30 and s == "MSFT" else row
+
+    last = quality.evaluate(bar_days(spark, odd=zero_and_missing), D(2024, 1, 31), 2).first()
     assert (last.status, last.missing_symbols) == ("FAILED", 1)
-    assert quality.evaluate(p, first + dt.timedelta(days=5), 2).first().status == "UNKNOWN"
+    assert {"zero_volume_fraction", "missing_symbol_fraction", "row_count", "median_volume"} == {f.metric for f in last.findings}
+    by = {f.metric: f for f in last.findings}
+    assert by["row_count"].baseline_median == 2 and by["row_count"].baseline_mad == 0 and by["row_count"].robust_z == 50
+
+
+def test_quality_rates_have_limits_not_scores(spark):
+    """A null close on one of two rows fails by its rate; a rate has no robust score, and a short metric isn't compared."""
+
+    def one_null(i, s, row):
+        if i == 30 and s == "MSFT":
+            row[5] = None
+        return row
+
+    last = quality.evaluate(bar_days(spark, odd=one_null)).first()
+    assert [(f.metric, f.severity, f.robust_z) for f in last.findings] == [("null_rate", "FAILED", None)]
+    mild = quality.evaluate(bar_days(spark, odd=one_null), thresholds={"null_rate_fail": 0.9}).first()
+    assert mild.status == "DEGRADED"
+    none = quality.evaluate(bar_days(spark, odd=lambda i, s, row: [*row[:6], None if i < 15 else row[6], *row[7:]])).first()
+    assert not [f for f in none.findings if f.metric == "median_volume"]
 
 
 def test_small_driver_utilities():

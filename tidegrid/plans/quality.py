@@ -3,71 +3,134 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import lower_key, upper_key
 
-# Thresholds of the quality ladder.
+# The quality ladder's thresholds.
 MAD_SCALE = 1.4826
 RELATIVE_FLOOR = 0.01
 ABSOLUTE_FLOOR = 1e-9
-WARN_Z, FAIL_Z = 4.0, 8.0
-BASELINE_DAYS, MINIMUM_BASELINE_DAYS = 60, 20
-METRICS = ("row_count", "null_rate", "median_close", "median_volume", "zero_volume_fraction", "return_dispersion")
+THRESHOLDS = {
+    "robust_z_warn": 4.0,
+    "robust_z_fail": 8.0,
+    "null_rate_warn": 0.001,
+    "null_rate_fail": 0.01,
+    "zero_volume_warn": 0.05,
+    "zero_volume_fail": 0.20,
+    "missing_symbol_warn": 0.01,
+    "missing_symbol_fail": 0.05,
+    "minimum_baseline_days": 20,
+    "baseline_days": 60,
+}
+#: Metrics compared with the days before; rates have limits of their own.
+COMPARED = ("row_count", "median_volume", "median_close", "return_dispersion")
 
 
 def daily_profile(prices: DataFrame) -> DataFrame:
     """Per source and day: rows, null rate, medians, share of zero volumes, dispersion of returns, symbols.
 
-    Rows without a date are left out; the previous close is that of the symbol's row before in the source.
+    Rows without a date are left out. Returns are between the last delivered
+    closes of a symbol's consecutive days: deliveries fold to one row per day, with
+    map-side combine, before the window, so that it holds one symbol's calendar and
+    never the rows without a symbol, which have no return.
     """
-    rows = prices.select(lower_key("source").alias("source"), F.col("date").alias("event_date"), upper_key("symbol").alias("symbol"), "close", "volume", "ingested_at", "source_record_id").where("event_date is not null")
-    w = Window.partitionBy("source", "symbol").orderBy("event_date", "ingested_at", "source_record_id")
-    prior = F.lag("close").over(w)
-    lagged = rows.withColumn("change", F.when(prior > 0, F.col("close") / prior - 1))
-    return lagged.groupBy("source", "event_date").agg(
+    wanted = prices.select(
+        lower_key("source").alias("source"), F.col("date").alias("event_date"), upper_key("symbol").alias("symbol"), F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"),
+        F.greatest(*[F.when(F.col(c).isNull(), 1.0).otherwise(0.0) for c in ("symbol", "close", "volume", "open", "high", "low")]).alias("_null"), "ingested_at", "source_record_id",
+    ).where("event_date is not null")
+    counted = wanted.groupBy("source", "event_date").agg(
         F.count("*").alias("row_count"),
-        F.avg(F.when(F.expr("symbol is null or close is null or volume is null"), 1.0).otherwise(0.0)).alias("null_rate"),
+        F.avg("_null").alias("null_rate"),
         F.median("close").alias("median_close"),
         F.median("volume").alias("median_volume"),
         F.avg(F.when(F.col("volume") == 0, 1.0).otherwise(0.0)).alias("zero_volume_fraction"),
-        F.stddev_pop("change").alias("return_dispersion"),
-        F.count_distinct("symbol").alias("symbols"),
     )
+    last = wanted.where("symbol is not null").groupBy("source", "symbol", "event_date").agg(F.max_by("close", F.struct("ingested_at", F.trim("source_record_id"), "close")).alias("close"))
+    prior = F.lag("close").over(Window.partitionBy("source", "symbol").orderBy("event_date"))
+    moved = last.withColumn("change", F.when(prior > 0, F.col("close") / prior - 1)).groupBy("source", "event_date").agg(F.stddev_pop("change").alias("return_dispersion"), F.count("*").alias("symbols"))
+    same = F.col("c.source").eqNullSafe(F.col("m.source")) & (F.col("c.event_date") == F.col("m.event_date"))
+    return counted.alias("c").join(moved.alias("m"), same, "left").select("c.*", "return_dispersion", F.coalesce("symbols", F.lit(0)).alias("symbols"))
 
 
-def robust_scores(profile: DataFrame, metric: str) -> DataFrame:
-    """Adds robust_z: distance from the source's median in scaled MADs, the scale floored."""
-    centre = profile.groupBy("source").agg(F.median(metric).alias("_m"))
-    spread = profile.join(centre, "source").groupBy("source").agg(F.max("_m").alias("_centre"), F.median(F.abs(F.col(metric) - F.col("_m"))).alias("_mad"))
-    scale = F.greatest(MAD_SCALE * F.col("_mad"), RELATIVE_FLOOR * F.abs("_centre"), F.lit(ABSOLUTE_FLOOR))
-    return profile.join(spread, "source").withColumn("robust_z", F.abs(F.col(metric) - F.col("_centre")) / scale).drop("_centre", "_mad")
-
-
-def evaluate(profile: DataFrame, day: dt.date, expected_symbols: int | None = None, max_null_rate: float = 0.05, max_zero_volume: float = 0.25, max_missing: int = 1) -> DataFrame:
-    """Per source the day's status against up to BASELINE_DAYS earlier days: FAILED > DEGRADED > HEALTHY, UNKNOWN if history is short."""
-    earlier = Window.partitionBy("source").orderBy(F.desc("event_date"))
-    base = profile.where(F.col("event_date") < F.lit(day)).withColumn("_r", F.row_number().over(earlier)).where(F.col("_r") <= BASELINE_DAYS)
-    agg = []
-    for m in METRICS:
-        agg += [F.median(m).alias(f"{m}_m")]
-    centre = base.groupBy("source").agg(F.count("*").alias("baseline_days"), *agg)
-    mads = base.join(centre, "source").groupBy("source").agg(*[F.median(F.abs(F.col(m) - F.col(f"{m}_m"))).alias(f"{m}_d") for m in METRICS])
-    j = profile.where(F.col("event_date") == F.lit(day)).join(centre, "source", "left").join(mads, "source", "left")
-    worst = F.lit(0.0)
-    for m in METRICS:
-        scale = F.greatest(MAD_SCALE * F.col(f"{m}_d"), RELATIVE_FLOOR * F.abs(f"{m}_m"), F.lit(ABSOLUTE_FLOOR))
-        worst = F.greatest(worst, F.coalesce(F.abs(F.col(m) - F.col(f"{m}_m")) / scale, F.lit(0.0)))
-    missing = F.lit(expected_symbols) - F.col("symbols") if expected_symbols is not None else F.lit(0)
-    enough = F.coalesce(F.col("baseline_days"), F.lit(0)) >= MINIMUM_BASELINE_DAYS
-    hard = (F.col("null_rate") >= max_null_rate) | (F.col("zero_volume_fraction") >= max_zero_volume) | (missing >= max_missing)
-    status = F.when(hard | (enough & (worst >= FAIL_Z)), "FAILED").when(enough & (worst >= WARN_Z), "DEGRADED").when(~enough, "UNKNOWN").otherwise("HEALTHY")
-    return j.select("source", "event_date", F.coalesce("baseline_days", F.lit(0)).alias("baseline_days"), F.when(enough, worst).alias("worst_robust_z"), missing.alias("missing_symbols"), status.alias("status"))
+def _middle(values: Column) -> Column:
+    """Median of an array; null if it is empty."""
+    s, n = F.sort_array(values), F.size(values)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+
+def _apart(values: Column, centre: Column) -> Column:
+    return F.transform(values, lambda x: F.abs(x - centre))
+
+
+def with_baseline(profile: DataFrame, metrics: Sequence[str], days: int = THRESHOLDS["baseline_days"]) -> DataFrame:
+    """Adds, per metric m, m_n, m_median, m_mad and m_z against up to ``days`` profiled days before, and baseline_days.
+
+    A window holds one source's days. Values that are null or not finite are no baseline.
+    """
+    w = Window.partitionBy("source").orderBy("event_date").rowsBetween(-int(days), -1)
+    out = profile.withColumn("baseline_days", F.count("*").over(w))
+    for m in metrics:
+        v = F.col(m).cast("double")
+        out = out.withColumn("_held", F.collect_list(F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)).over(w))
+        out = out.withColumn(f"{m}_n", F.size("_held")).withColumn(f"{m}_median", _middle(F.col("_held")))
+        out = out.withColumn(f"{m}_mad", _middle(_apart(F.col("_held"), F.col(f"{m}_median")))).drop("_held")
+        scale = F.greatest(MAD_SCALE * F.col(f"{m}_mad"), RELATIVE_FLOOR * F.abs(f"{m}_median"), F.lit(ABSOLUTE_FLOOR))
+        out = out.withColumn(f"{m}_z", F.abs(v - F.col(f"{m}_median")) / scale)
+    return out
+
+
+def _worse(value: Column, warn: float, fail: float) -> Column:
+    return F.when(value >= fail, "FAILED").when(value >= warn, "DEGRADED")
+
+
+FINDING = "struct<metric:string,severity:string,value:double,reason:string,baseline_median:double,baseline_mad:double,robust_z:double>"
+
+
+def judge_days(profile: DataFrame, expected_symbols: int | None = None, thresholds: Mapping[str, float] | None = None) -> DataFrame:
+    """The status of every source and day, with the findings behind it.
+
+    Rates are held against absolute limits, COMPARED metrics against the median
+    and scaled MAD of up to ``baseline_days`` profiled days before, each only where
+    it has ``minimum_baseline_days`` finite values. The worst finding gives the status;
+    without any, a short history is UNKNOWN and a sufficient one HEALTHY. Columns:
+    source, event_date, status, reason, baseline_days, symbols, missing_symbols,
+    findings (FINDING).
+    """
+    t = {**THRESHOLDS, **(thresholds or {})}
+    least = int(t["minimum_baseline_days"])
+    nothing = F.lit(None).cast("double")
+    missing = F.greatest(F.lit(expected_symbols) - F.col("symbols"), F.lit(0)) if expected_symbols else F.lit(0)
+
+    def rate(metric: str, value: Column, limit: str) -> Column:
+        level = _worse(value, t[f"{limit}_warn"], t[f"{limit}_fail"])
+        return F.when(level.isNotNull(), F.struct(F.lit(metric), level, value, F.format_string(f"{metric} of %.4f is past the limit", value), nothing, nothing, nothing).cast(FINDING))
+
+    def compared(m: str) -> Column:
+        z = F.col(f"{m}_z")
+        level = F.when((F.col("baseline_days") >= least) & (F.col(f"{m}_n") >= least), _worse(z, t["robust_z_warn"], t["robust_z_fail"]))
+        return F.when(level.isNotNull(), F.struct(F.lit(m), level, F.col(m).cast("double"), F.format_string(f"{m} lies %.2f robust deviations off", z), F.col(f"{m}_median"), F.col(f"{m}_mad"), z).cast(FINDING))
+
+    rates = [rate("null_rate", F.col("null_rate"), "null_rate"), rate("zero_volume_fraction", F.col("zero_volume_fraction"), "zero_volume"), rate("missing_symbol_fraction", missing / F.lit(float(expected_symbols or 1)), "missing_symbol")]
+    judged = with_baseline(profile, COMPARED, int(t["baseline_days"])).withColumn("findings", F.array_compact(F.array(*rates, *[compared(m) for m in COMPARED])))
+    worst = F.array_max(F.transform("findings", lambda f: f.severity))  # FAILED sorts after DEGRADED
+    status = F.coalesce(worst, F.when(F.col("baseline_days") < least, "UNKNOWN").otherwise("HEALTHY"))
+    reason = F.when(worst.isNotNull(), F.concat_ws("; ", F.transform("findings", lambda f: f.reason))).when(status == "UNKNOWN", F.format_string("%d days before, too few to compare with", "baseline_days")).otherwise("nothing found")
+    return judged.select("source", "event_date", status.alias("status"), reason.alias("reason"), "baseline_days", "symbols", missing.cast("bigint").alias("missing_symbols"), "findings")
+
+
+def evaluate(profile: DataFrame, day: dt.date | None = None, expected_symbols: int | None = None, thresholds: Mapping[str, float] | None = None) -> DataFrame:
+    """``judge_days`` of one day, by default each source's last; a source without a profile of the day gives no row."""
+    all_days = judge_days(profile, expected_symbols, thresholds)
+    if day is not None:
+        return all_days.where(F.col("event_date") == F.lit(day))
+    newest = F.max("event_date").over(Window.partitionBy("source"))
+    return all_days.withColumn("_newest", newest).where("event_date = _newest").drop("_newest")
 
 
 def unknown_symbols(records: DataFrame, known: DataFrame) -> DataFrame:

@@ -3,8 +3,7 @@
 Inputs: prices, fundamentals, macro_readings, ingestion_runs, stream_events and
 documents feed the models directly; where a model needs a dataset the tables lack
 (earnings, a sector dimension, news urls), a small adapter makes it from the
-order tables, in the same way on both sides (for news the SQL still cuts, see the
-README).
+order tables, in the same way on both sides.
 """
 
 from __future__ import annotations
@@ -60,7 +59,7 @@ def sectors(s: SparkSession, d: str) -> DataFrame:
 
 def raw_earnings(s: SparkSession, d: str) -> DataFrame:
     """Earnings events made of fundamentals: the filing is the event, the prior value of the metric the estimate."""
-    f = table(s, d, "fundamentals").where("lower(trim(metric_name)) = 'net_income' and filed_at is not null")
+    f = table(s, d, "fundamentals")
     return f.select("symbol", F.col("filed_at").alias("event_timestamp"), F.col("period_end").alias("fiscal_period_end"), F.when(F.col("currency").isNull(), "estimate").otherwise(" reported ").alias("event_status"), F.when(F.month("period_end") != 3, F.round(F.col("value") / 1e6, 2)).alias("eps_estimate"), F.round(F.col("value") / 9e5, 2).alias("eps_actual"), "source", "source_record_id", "ingested_at")
 
 
@@ -98,7 +97,7 @@ stg_fund as (select * exclude (rn) from (select *, row_number() over (partition
   where symbol is not null and metric_name is not null and period_end is not null and (period_start is null or period_end >= period_start) and (filed_at is null or filed_at <= ingested_at)) where rn = 1)"""
 _EARN = """
 e_raw as (select symbol, filed_at as event_timestamp, period_end as fiscal_period_end, case when currency is null then 'estimate' else ' reported ' end as event_status, case when month(period_end) <> 3 then round(value / 1e6, 2) end as eps_estimate, round(value / 9e5, 2) as eps_actual, source, source_record_id, ingested_at
-  from fundamentals where lower(trim(metric_name)) = 'net_income' and filed_at is not null),
+  from fundamentals),
 e_rows as (select upper(trim(symbol)) as symbol, event_timestamp, fiscal_period_end, case upper(trim(event_status)) when 'ESTIMATE' then 'SCHEDULED' else upper(trim(event_status)) end as event_status, eps_estimate, eps_actual, lower(trim(source)) as source, trim(source_record_id) as source_record_id, ingested_at from e_raw),
 stg_earn as (select * exclude (rn) from (select *, row_number() over (partition by source, source_record_id order by ingested_at desc, symbol desc, event_timestamp desc, fiscal_period_end desc, event_status desc, eps_estimate desc nulls last, eps_actual desc) as rn from e_rows where symbol is not null and event_timestamp is not null and event_status is not null) where rn = 1),
 surp as (select *, eps_actual - eps_estimate as eps_surprise, case when eps_estimate is not null and abs(eps_estimate) > 0.000000001 then (eps_actual - eps_estimate) / abs(eps_estimate) end as eps_surprise_percent from stg_earn)"""
@@ -108,7 +107,7 @@ m_rows as (select upper(trim(series_id)) as series_id, observation_date, release
 stg_mac as (select md5(source || '|' || source_record_id) as macro_observation_key, * exclude (rn) from (select *, row_number() over (partition by source, source_record_id order by ingested_at desc, series_id desc, observation_date desc, released_at desc nulls last, value desc nulls last, unit desc nulls last, frequency desc nulls last) as rn from m_rows
   where series_id is not null and observation_date is not null and (released_at is null or released_at <= ingested_at)) where rn = 1)"""
 _NEWS = """
-n_raw as (select published_at as event_timestamp, substring(text, 1, 60) as headline, case when doc_id % 7 = 0 then null when doc_id % 5 = 0 then 'ftp://n/' || doc_id else 'https://n/' || doc_id end as url, lang as publisher, source, cast(doc_id as varchar) as source_record_id, published_at as ingested_at from documents),
+n_raw as (select published_at as event_timestamp, text as headline, 'https://n/' || doc_id as url, lang as publisher, source, cast(doc_id as varchar) as source_record_id, published_at as ingested_at from documents),
 n_rows as (select event_timestamp, trim(headline) as headline, trim(url) as url, trim(publisher) as publisher, lower(trim(source)) as source, trim(source_record_id) as source_record_id, ingested_at from n_raw),
 stg_new as (select * exclude (rn) from (select *, row_number() over (partition by source, source_record_id order by ingested_at desc) as rn from n_rows where event_timestamp is not null and headline is not null and length(headline) > 0 and (url is null or starts_with(url, 'http://') or starts_with(url, 'https://'))) where rn = 1)"""
 
@@ -360,7 +359,7 @@ def event_window_filter(s, d):
     return table(s, d, "prices").where("date is null or date between date'2025-03-01' and date'2025-03-31'").select("symbol", "date", "source_record_id")
 
 
-@query("select symbol, date, close from prices, (select max(date) as latest from prices) where date > latest - interval 3 month and date <= latest and close > 100")
+@query("select symbol, date, close from prices, (select max(date) as latest from prices) where date > latest - interval 12 month and date <= latest")
 def one_year_history(s, d):
     p = table(s, d, "prices")
     latest = p.agg(F.max("date").alias("latest"))
@@ -501,9 +500,12 @@ def compound_return(s, d):
     return m.groupBy(F.to_date(F.date_trunc("month", "trade_date")).alias("month")).agg(F.round(F.product(1.0 + F.col("mean_return")) - 1.0, 6).alias("compounded"))
 
 
-_PROFILE = """with rows_ as (select lower(trim(source)) as source, date as event_date, upper(trim(symbol)) as symbol, close, volume, lag(close) over (partition by lower(trim(source)), upper(trim(symbol)) order by date, ingested_at, source_record_id) as previous from prices where date is not null),
-profile as (select source, event_date, count(*) as row_count, avg(case when symbol is null or close is null or volume is null then 1.0 else 0.0 end) as null_rate, median(close) as median_close, median(volume) as median_volume, avg(case when volume = 0 then 1.0 else 0.0 end) as zero_volume_fraction,
-  stddev_pop(case when previous > 0 then close / previous - 1 end) as return_dispersion, count(distinct symbol) as symbols from rows_ group by source, event_date)"""
+_PROFILE = """with rows_ as (select lower(trim(source)) as source, date as event_date, upper(trim(symbol)) as symbol, open, high, low, close, volume, ingested_at, trim(source_record_id) as rid from prices where date is not null),
+counted as (select source, event_date, count(*) as row_count, avg(case when symbol is null or close is null or volume is null or open is null or high is null or low is null then 1.0 else 0.0 end) as null_rate, median(close) as median_close, median(volume) as median_volume, avg(case when volume = 0 then 1.0 else 0.0 end) as zero_volume_fraction from rows_ group by source, event_date),
+last_ as (select source, symbol, event_date, close from (select *, row_number() over (partition by source, symbol, event_date order by ingested_at desc, rid desc, close desc nulls last) as r from rows_ where symbol is not null) where r = 1),
+before as (select *, lag(close) over (partition by source, symbol order by event_date) as previous from last_),
+moved as (select source, event_date, stddev_pop(case when previous > 0 then close / previous - 1 end) as return_dispersion, count(*) as symbols from before group by source, event_date),
+profile as (select c.*, return_dispersion, coalesce(symbols, 0) as symbols from counted c left join moved m on c.source is not distinct from m.source and c.event_date = m.event_date)"""
 
 
 @query(_PROFILE + " select source, event_date, row_count, round(null_rate, 6) as null_rate, round(median_close, 6) as median_close, round(median_volume, 2) as median_volume, round(zero_volume_fraction, 6) as zero_volume_fraction, round(return_dispersion, 4) as return_dispersion, symbols from profile")
@@ -514,12 +516,29 @@ def daily_profile(s, d):
     return out.select("source", "event_date", "row_count", F.round("null_rate", 6).alias("null_rate"), F.round("median_close", 6).alias("median_close"), F.round("median_volume", 2).alias("median_volume"), F.round("zero_volume_fraction", 6).alias("zero_volume_fraction"), F.round("return_dispersion", 4).alias("return_dispersion"), "symbols")
 
 
-@query(_PROFILE + """, med as (select source, median(row_count) as m from profile group by source), mad as (select p.source, max(m) as m, median(abs(row_count - m)) as d, count(*) as days from profile p join med using (source) group by p.source)
-select source, event_date, round(abs(row_count - m) / greatest(1.4826 * d, 0.01 * abs(m), 1e-9), 6) as robust_z from profile join mad using (source)""")
+_BASELINE = _PROFILE + """, numbered as (select *, row_number() over (partition by source order by event_date) as n from profile),
+medians as (select a.source, a.event_date, count(*) as days, median(b.row_count) as rc, count(b.median_volume) as nv, median(b.median_volume) as mv, count(b.median_close) as nc, median(b.median_close) as mc, count(b.return_dispersion) as nd, median(b.return_dispersion) as rd
+  from numbered a join numbered b on a.source is not distinct from b.source and b.n between a.n - 60 and a.n - 1 group by a.source, a.event_date),
+mads as (select a.source, a.event_date, median(abs(b.row_count - rc)) as rc_d, median(abs(b.median_volume - mv)) as mv_d, median(abs(b.median_close - mc)) as mc_d, median(abs(b.return_dispersion - rd)) as rd_d
+  from numbered a join medians m on a.source is not distinct from m.source and a.event_date = m.event_date join numbered b on a.source is not distinct from b.source and b.n between a.n - 60 and a.n - 1 group by a.source, a.event_date),
+scored as (select p.*, coalesce(days, 0) as baseline_days, abs(row_count - rc) / greatest(1.4826 * rc_d, 0.01 * abs(rc), 1e-9) as z_rows, case when nv >= 20 then abs(p.median_volume - mv) / greatest(1.4826 * mv_d, 0.01 * abs(mv), 1e-9) end as z_volume,
+  case when nc >= 20 then abs(p.median_close - mc) / greatest(1.4826 * mc_d, 0.01 * abs(mc), 1e-9) end as z_close, case when nd >= 20 then abs(p.return_dispersion - rd) / greatest(1.4826 * rd_d, 0.01 * abs(rd), 1e-9) end as z_dispersion
+  from profile p left join medians m on p.source is not distinct from m.source and p.event_date = m.event_date left join mads d on p.source is not distinct from d.source and p.event_date = d.event_date)"""
+
+
+@query(_BASELINE + " select source, event_date, baseline_days, round(z_rows, 6) as robust_z from scored")
 def robust_z(s, d):
     from ..plans import quality
 
-    return quality.robust_scores(quality.daily_profile(table(s, d, "prices")), "row_count").select("source", "event_date", F.round("robust_z", 6).alias("robust_z"))
+    return quality.with_baseline(quality.daily_profile(table(s, d, "prices")), ["row_count"]).select("source", "event_date", "baseline_days", F.round("row_count_z", 6).alias("robust_z"))
+
+
+@query(_BASELINE + """ select source, event_date, baseline_days, symbols, case when null_rate >= 0.01 or zero_volume_fraction >= 0.2 or (baseline_days >= 20 and greatest(z_rows, z_volume, z_close, z_dispersion) >= 8) then 'FAILED'
+  when null_rate >= 0.001 or zero_volume_fraction >= 0.05 or (baseline_days >= 20 and greatest(z_rows, z_volume, z_close, z_dispersion) >= 4) then 'DEGRADED' when baseline_days < 20 then 'UNKNOWN' else 'HEALTHY' end as status from scored""")
+def quality_status(s, d):
+    from ..plans import quality
+
+    return quality.judge_days(quality.daily_profile(table(s, d, "prices"))).select("source", "event_date", "baseline_days", "symbols", "status")
 
 
 @query("select lower(trim(source)) as source, percentile_disc(0.95) within group (order by close) as p95 from (select source, close from prices where close is not null) group by 1")
