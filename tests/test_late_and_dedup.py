@@ -29,47 +29,63 @@ def test_first_delivery_decides(spark):
         bar("d", D(2024, 3, 19), a3),  # 31 days before
         bar(None, D(2024, 3, 1), a2), bar("e", None, a2), bar("f", D(2024, 3, 1), T(2020, 1, 1)), bar("g", D(2024, 3, 1), a2, source=None),
     ], PRICE).withColumn("watermark", F.lit("clash")).withColumn("timing", F.lit(1))
-    got = rows(latewindow.first_deliveries(prices, runs).where("timing = 'late'").select("symbol", "event_date", "source"))
+    out = latewindow.replay(prices, runs)
+    got = rows(out.first.where("timing = 'late'").select("symbol", "event_date", "source"))
+    assert out.current.agg(F.sum("late_arriving_rows")).first()[0] == len(got)
     assert got == [("B", D(2024, 3, 1), "s"), ("C", D(2024, 3, 20), "s"), ("G", D(2024, 3, 1), None)]
 
 
-def brute_current(prices, runs, lateness=30):
+def brute_replay(prices, runs, lateness=30):
+    """Aggregates in force, keys whose first delivery was late, and diverted deliveries, one delivery after the other."""
     marks = {}
     for _, a, w in runs:
         marks[a] = max(filter(None, [marks.get(a), w]), default=None)
-    state, late, revised, by_day = {}, {}, {}, {}
+    state, verdict, dropped = {}, {}, 0
     for r in sorted(prices, key=lambda r: (r[9], r[8])):
-        key, at = (r[0], r[1], r[7]), r[9]
-        w = marks.get(at)
-        if w and r[1] < w - dt.timedelta(days=lateness):
-            continue
-        if key not in state and w and r[1] <= w:
-            late[key] = True
-        state[key] = r
+        key, w = (r[0], r[1], r[7]), marks.get(r[9])
+        timing = "on_time" if not w or r[1] > w else "late" if r[1] >= w - dt.timedelta(days=lateness) else "too_late"
+        verdict.setdefault(key, timing)
+        if timing == "too_late":
+            dropped += 1
+        else:
+            state[key] = r
     out = {}
     for key, r in state.items():
         k = (key[2], key[1].replace(day=1))
         n, l, c, v = out.get(k, (0, 0, 0.0, 0.0))
-        out[k] = (n + 1, l + (key in late), c + r[5], v + r[6])
-    return out
+        out[k] = (n + 1, l + (verdict[key] == "late"), c + r[5], v + r[6])
+    return out, {k for k, v in verdict.items() if v == "late"}, dropped
 
 
-def test_replay_equals_brute_force(spark):
-    random.seed(5)
-    arrivals = [T(2024, 3, 1) + dt.timedelta(days=i) for i in range(40)]
-    runs = [(f"r{i}", a, None if i == 0 else (a - dt.timedelta(days=2)).date()) for i, a in enumerate(arrivals)]
+@pytest.mark.parametrize("runs_a_day", [1, 3])
+def test_replay_equals_brute_force(spark, runs_a_day):
+    """Also with several runs, and so several watermarks, on one day."""
+    random.seed(5 + runs_a_day)
+    arrivals = [T(2024, 3, 1) + dt.timedelta(hours=24 * i // runs_a_day) for i in range(40)]
+    runs = [(f"r{i}", a, None if i % 13 == 0 else a.date() + dt.timedelta(days=random.choice([-20, -2, 0, 12]))) for i, a in enumerate(arrivals)]
     prices = []
-    for i in range(400):
+    for i in range(600):
         a = random.choice(arrivals)
-        prices.append(bar(random.choice("AB"), a.date() - dt.timedelta(days=random.choice([0, 1, 3, 10, 33, 50])), a, float(random.randint(1, 9)), random.randint(1, 9), random.choice("xy"), f"r{i:04d}"))
+        prices.append(bar(random.choice("AB"), a.date() - dt.timedelta(days=random.choice([0, 1, 3, 10, 29, 33, 50])), a, float(random.randint(1, 9)), random.randint(1, 9), random.choice("xy"), f"r{i:04d}"))
+    current, late, dropped = brute_replay(prices, runs)
     r = latewindow.replay(spark.createDataFrame(prices, PRICE), spark.createDataFrame(runs, RUN))
     got = {(x.source, x.window_start): (x.records, x.late_arriving_rows, x.close_sum, x.volume_sum) for x in r.current.collect()}
-    assert got == brute_current(prices, runs)
+    assert got == current and late and dropped
+    assert {(x.symbol, x.event_date, x.source) for x in r.first.where("timing = 'late'").collect()} == late
+    assert sum(x[1] for x in got.values()) == len(late) and r.dropped.count() == dropped
     versions = {}
     for x in r.updates.orderBy("source", "window_start", "version").collect():
         versions.setdefault((x.source, x.window_start), []).append(x.version)
     assert all(v == list(range(1, len(v) + 1)) for v in versions.values())
-    assert r.dropped.count() == len({(p[0], p[1], p[7], p[9].date()) for p in prices if (w := dict((a, m) for _, a, m in runs)[p[9]]) and p[1] < w - dt.timedelta(days=30)})
+
+
+def test_two_watermarks_on_one_day(spark):
+    """On time in the morning, too late by the evening's watermark: the record stays in force with its first value; the reverse enters, but not as a late one."""
+    a, b = T(2024, 5, 1, 8), T(2024, 5, 1, 20)
+    runs = spark.createDataFrame([("m", a, D(2024, 4, 1)), ("e", b, D(2024, 6, 20))], RUN)
+    out = latewindow.replay(spark.createDataFrame([bar("A", D(2024, 4, 2), a, 3.0), bar("A", D(2024, 4, 2), b, 9.0), bar("B", D(2024, 3, 20), a, 5.0), bar("B", D(2024, 3, 20), b, 7.0)], PRICE), runs)
+    assert rows(out.current.select("window_start", "records", "late_arriving_rows", "close_sum")) == [(D(2024, 3, 1), 1, 1, 5.0), (D(2024, 4, 1), 1, 0, 3.0)]
+    assert rows(out.first.select("symbol", "timing")) == [("A", "on_time"), ("B", "late")] and out.dropped.count() == 2
 
 
 def test_late_empty_tables(spark):

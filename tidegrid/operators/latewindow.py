@@ -1,17 +1,20 @@
 """Late and out-of-order events: per-period aggregates corrected as records arrive.
 
-Method: event-time windows with a watermark and an allowed lateness. Each record
-is judged against the watermark that held when its run arrived: on time, late
-(kept and counted) or beyond the cut-off (diverted for reporting). The keyed state
-is the value in force per record key; a change emits the difference it makes, the
-differences per window and arrival day are folded, and their running sums are
-the upserts a downstream table receives, the last one per window being current.
+Method: event-time windows with a watermark and an allowed lateness. Each delivery
+is judged, before anything is folded, against the watermark that held when its run
+arrived: on time, late (kept and counted) or beyond the cut-off (diverted, as it
+is, for reporting). The keyed state per record key is its first delivery's verdict
+and the value in force after each arrival day; a change emits the difference it
+makes, the differences per window and arrival day are folded, and their running
+sums are the upserts a downstream table receives, the last one per window being
+current.
 
 ``streaming.late_stream`` runs the same steps as a Structured Streaming query.
 
-Scale: deliveries of one key on one arrival day fold with map-side combine, so a
-key's history has at most one row per arrival day; a window's history has one row
-per arrival day as well. The watermark of a run is joined after the fold.
+Scale: runs are few beside deliveries, so Catalyst broadcasts their watermarks while
+they are small and AQE splits a hot run otherwise. Judged deliveries of one key and
+arrival day then fold to one row with map-side combine, so a key's history and a
+window's history have at most one row per arrival day.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ LATENESS_DAYS = 30
 
 @dataclass(frozen=True)
 class LateReplay:
-    """first: one row per key with its first arrival and class. dropped: deliveries beyond the cut-off.
+    """first: one row per key with its first arrival and that delivery's verdict. dropped: every delivery beyond the cut-off.
     updates: upserts per window and arrival day. current: the last upsert per window."""
 
     first: DataFrame
@@ -59,59 +62,74 @@ def judged(df: DataFrame, lateness_days: int = LATENESS_DAYS) -> DataFrame:
     )
 
 
-def first_deliveries(prices: DataFrame, runs: DataFrame, lateness_days: int = LATENESS_DAYS) -> DataFrame:
-    """The keyed state's entry of each key: its first arrival, the watermark then and its timing.
+def deliveries(prices: DataFrame, runs: DataFrame, lateness_days: int = LATENESS_DAYS) -> DataFrame:
+    """Every delivery that has a key and an arrival, judged against its own run's watermark.
 
     Rows without a symbol or date have no key; a null source is a source; an
     arrival without a run, or a run without a watermark, is on time.
     """
-    first = (
-        prices.select(upper_key("symbol").alias("symbol"), F.col("date").cast("date").alias("event_date"), lower_key("source").alias("source"), F.col("ingested_at").cast("timestamp").alias("arrival"))
-        .where("symbol is not null and event_date is not null")
-        .groupBy(*KEYS)
-        .agg(F.min("arrival").alias("arrival"))
+    cleaned = prices.select(
+        upper_key("symbol").alias("symbol"),
+        F.col("date").cast("date").alias("event_date"),
+        lower_key("source").alias("source"),
+        F.col("close").cast("double").alias("close"),
+        F.col("volume").cast("double").alias("volume"),
+        trim_key("source_record_id").alias("source_record_id"),
+        F.col("ingested_at").cast("timestamp").alias("arrival"),
+    ).where("symbol is not null and event_date is not null and arrival is not null")
+    return judged(cleaned.join(watermarks(runs), "arrival", "left"), lateness_days)
+
+
+def keyed_state(timed: DataFrame) -> DataFrame:
+    """The state of each key after each of its arrival days.
+
+    first_arrival and first_timing are those of the key's first delivery of all;
+    kept: whether the day brought one within the cut-off; close and volume: the last
+    of these; was: the value in force before the day (null: none).
+    """
+    kept = F.col("timing") != "too_late"
+    held = F.struct("arrival", "source_record_id", "close", "volume")
+    days = (
+        timed.withColumn("arrival_date", F.to_date("arrival"))
+        .groupBy(*KEYS, "arrival_date")
+        .agg(F.min(F.struct("arrival", "timing")).alias("_first"), F.max(F.when(kept, held)).alias("_last"))
     )
-    return judged(first.join(watermarks(runs), "arrival", "left"), lateness_days)
+    order = Window.partitionBy(*KEYS).orderBy("arrival_date")
+    value = F.when(F.col("_last").isNotNull(), F.struct("_last.close", "_last.volume"))
+    return days.select(
+        *KEYS,
+        "arrival_date",
+        (F.row_number().over(order) == 1).alias("is_entry"),
+        F.first("_first").over(order).alias("_entry"),
+        F.col("_last").isNotNull().alias("kept"),
+        F.col("_last.close").alias("close"),
+        F.col("_last.volume").alias("volume"),
+        F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("was"),
+    ).select("*", F.col("_entry.arrival").alias("first_arrival"), F.col("_entry.timing").alias("first_timing")).drop("_entry")
 
 
 def replay(prices: DataFrame, runs: DataFrame, lateness_days: int = LATENESS_DAYS, window: str = "month") -> LateReplay:
     """Replay all deliveries in order of arrival.
 
-    A later delivery of a key revises it, unless it is too late itself. Null
-    closes and volumes count as 0 in sums. window: a unit ``date_trunc`` knows.
+    A later delivery of a key revises it, unless it is too late itself.
+    late_arriving_rows counts the records whose first delivery was late, so over all
+    windows it equals the late rows of ``first``; revised_rows counts keys and arrival
+    days. Null closes and volumes count as 0 in sums. window: a unit ``date_trunc``
+    knows. Empty tables give empty results; other columns are ignored.
     """
-    day_rows = keep_latest(
-        prices.select(
-            upper_key("symbol").alias("symbol"),
-            F.col("date").cast("date").alias("event_date"),
-            lower_key("source").alias("source"),
-            F.col("close").cast("double").alias("close"),
-            F.col("volume").cast("double").alias("volume"),
-            trim_key("source_record_id").alias("source_record_id"),
-            F.col("ingested_at").cast("timestamp").alias("arrival"),
-        )
-        .where("symbol is not null and event_date is not null and arrival is not null")
-        .withColumn("arrival_date", F.to_date("arrival")),
-        [*KEYS, "arrival_date"],
-        ["arrival", "source_record_id"],
-    )
-    timed = judged(day_rows.join(watermarks(runs), "arrival", "left"), lateness_days)
-    kept = timed.where("timing <> 'too_late'")
-    w = Window.partitionBy(*KEYS).orderBy("arrival_date")
-    state = (
-        kept.withColumn("_first", F.row_number().over(w) == 1)
-        .withColumn("_close", F.lag("close").over(w))
-        .withColumn("_volume", F.lag("volume").over(w))
-    )
+    timed = deliveries(prices, runs, lateness_days)
+    state = keyed_state(timed)
     zero = F.lit(0.0)
+    new = F.col("was").isNull()
     changes = (
-        state.groupBy("source", F.to_date(F.date_trunc(window, "event_date")).alias("window_start"), "arrival_date")
+        state.where("kept")
+        .groupBy("source", F.to_date(F.date_trunc(window, "event_date")).alias("window_start"), "arrival_date")
         .agg(
-            F.count_if("_first").alias("d_records"),
-            F.count_if(F.col("_first") & (F.col("timing") == "late")).alias("d_late"),
-            F.count_if(~F.col("_first")).alias("d_revised"),
-            F.sum(F.coalesce("close", zero) - F.coalesce("_close", zero)).alias("d_close"),
-            F.sum(F.coalesce("volume", zero) - F.coalesce("_volume", zero)).alias("d_volume"),
+            F.count_if(new).alias("d_records"),
+            F.count_if(new & (F.col("first_timing") == "late")).alias("d_late"),
+            F.count_if(~new).alias("d_revised"),
+            F.sum(F.coalesce("close", zero) - F.coalesce("was.close", zero)).alias("d_close"),
+            F.sum(F.coalesce("volume", zero) - F.coalesce("was.volume", zero)).alias("d_volume"),
         )
     )
     by_window = Window.partitionBy("source", "window_start").orderBy("arrival_date")
@@ -128,4 +146,5 @@ def replay(prices: DataFrame, runs: DataFrame, lateness_days: int = LATENESS_DAY
         F.sum("d_volume").over(running).alias("volume_sum"),
     )
     current = keep_latest(updates, ["source", "window_start"], ["version"])
-    return LateReplay(first_deliveries(prices, runs, lateness_days), timed.where("timing = 'too_late'"), updates, current)
+    first = state.where("is_entry").select(*KEYS, F.col("first_arrival").alias("arrival"), F.col("first_timing").alias("timing"))
+    return LateReplay(first, timed.where("timing = 'too_late'"), updates, current)

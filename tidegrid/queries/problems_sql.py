@@ -53,6 +53,27 @@ P3_FOUND = """with runs as (select arrival_time, max(prior_event_watermark) as w
 first as (select upper(trim(symbol)) as symbol, date as d, lower(trim(source)) as source, min(ingested_at) as a from prices where symbol is not null and date is not null group by all)
 select symbol, strftime(d, '%Y-%m-%d') as event_date, source from first join runs on a = arrival_time where d <= w and d >= w - 30"""
 
+_P3 = """with runs as (select arrival_time, max(prior_event_watermark) as w from ingestion_runs where arrival_time is not null group by 1),
+timed as (
+  select upper(trim(symbol)) as symbol, date as event_date, lower(trim(source)) as source, close, cast(volume as double) as volume, trim(source_record_id) as source_record_id, ingested_at as arrival, w as watermark,
+         case when w is null or date > w then 'on_time' when date >= w - 30 then 'late' else 'too_late' end as timing
+  from prices left join runs on ingested_at = arrival_time where symbol is not null and date is not null and ingested_at is not null),
+entry as (select symbol, event_date, source, timing as first_timing from (select *, row_number() over (partition by symbol, event_date, source order by arrival, timing) as r from timed) where r = 1),
+kept as (select * from (
+  select *, cast(arrival as date) as day, row_number() over (partition by symbol, event_date, source, cast(arrival as date) order by arrival desc, source_record_id desc nulls last, close desc nulls last, volume desc nulls last) as r from timed where timing <> 'too_late') where r = 1),
+state as (select *, lag(close) over w as was_close, lag(volume) over w as was_volume, row_number() over w = 1 as fresh from kept window w as (partition by symbol, event_date, source order by day)),
+changes as (
+  select s.source, cast(date_trunc('month', s.event_date) as date) as window_start, day as arrival_date, count(*) filter (where fresh) as a, count(*) filter (where fresh and first_timing = 'late') as b, count(*) filter (where not fresh) as c,
+         sum(coalesce(close, 0) - coalesce(was_close, 0)) as e, sum(coalesce(volume, 0) - coalesce(was_volume, 0)) as f
+  from state s join entry y on s.symbol = y.symbol and s.event_date = y.event_date and s.source is not distinct from y.source group by 1, 2, 3),
+updates as (
+  select source, window_start, arrival_date, cast(row_number() over w as int) as version, cast(sum(a) over w as bigint) as records, cast(sum(b) over w as bigint) as late_arriving_rows, cast(sum(c) over w as bigint) as revised_rows,
+         round(sum(e) over w, 4) as close_sum, round(sum(f) over w, 4) as volume_sum
+  from changes window w as (partition by source, window_start order by arrival_date rows unbounded preceding))"""
+P3_UPDATES = f"{_P3} select * from updates"
+P3_CURRENT = f"{_P3} select * exclude (r) from (select *, row_number() over (partition by source, window_start order by version desc) as r from updates) where r = 1"
+P3_DROPPED = f"{_P3} select * from timed where timing = 'too_late'"
+
 P4_AS_KNOWN = """with rows_ as (
   select upper(trim(symbol)) as symbol, lower(trim(metric_name)) as metric_name, period_start, period_end, filed_at, value, lower(trim(source)) as source, trim(source_record_id) as source_record_id, ingested_at
   from fundamentals),
@@ -117,4 +138,4 @@ window w7 as (partition by symbol, source order by trade_date rows between 6 pre
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p4_as_known": P4_ALL, "p7_found": P7_FOUND, "p7_totals": P7_TOTALS}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_updates": P3_UPDATES, "p3_current": P3_CURRENT, "p3_dropped": P3_DROPPED, "p4_found": P4_FOUND, "p4_as_known": P4_ALL, "p7_found": P7_FOUND, "p7_totals": P7_TOTALS}
