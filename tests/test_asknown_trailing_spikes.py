@@ -148,7 +148,8 @@ def test_spikes_stuck_and_impossible(spark):
         want.add((f"S{k}", days[40], "volume"))
         v[90:95] = 777
         want |= {(f"S{k}", days[i], "volume") for i in range(90, 95)}
-        v[50] = 0  # possible
+        v[50] = 0  # possible, but nowhere near the others on a log scale
+        want.add((f"S{k}", days[50], "volume"))
         c[100] = 0.0
         want.add((f"S{k}", days[100], "close"))
         for d, x, y in zip(days, c, v):
@@ -161,8 +162,31 @@ def test_spikes_stuck_and_impossible(spark):
     assert got == want
     every = spikes.score_readings(df)
     assert every.count() == 6 * 240 + 4
-    plain = every.where("not (is_spike or is_stuck or is_impossible)").agg(F.max("score"), F.avg("score")).first()
-    assert plain[1] < spikes.SCORE_LIMIT
+    plain = every.where("not (is_spike or is_stuck or is_impossible)").agg(F.avg(F.when(F.col("score") >= F.col("score_limit"), 1.0).otherwise(0.0)), F.avg("score"), F.avg("score_limit")).first()
+    assert plain[0] < 0.05 and plain[1] < plain[2]
+    assert every.where("is_spike and score < score_limit").count() == 0
+
+
+@pytest.mark.parametrize("at", [(0,), (0, 1, 2), (119,), (117, 118, 119), (1, 2), (116, 117)])
+def test_spikes_at_the_ends_of_a_series(at):
+    """Also where most of the near readings are the spike; a trend or a level that stays is none."""
+    day = np.arange(120)
+    x = series(scale=0.01)
+    x[list(at)] *= 1.6
+    calm = series(seed=3, scale=0.01)
+    trend = np.exp(4 + np.r_[np.zeros(110), np.arange(10) * 0.03] + np.random.default_rng(1).normal(0, 0.004, 120))
+    level = calm.copy()
+    level[112:] *= 2
+    value, seg = np.concatenate([x, calm, trend, level]), np.repeat([0, 1, 2, 3], 120)
+    f = spikes.features(value, seg, np.tile(day, 4), "close")
+    assert np.flatnonzero(f["brief"]).tolist() == list(at)
+
+
+def test_zeros_among_zeros_are_ordinary():
+    v = np.where(np.arange(60) % 2, 0.0, 1000.0 + np.arange(60))
+    v[40:45] = 500.0, 0.0, 0.0, 0.0, 0.0
+    f = spikes.features(v, np.zeros(60, int), np.arange(60), "volume")
+    assert not f["impossible"].any() and np.isfinite(f["deviation"]).all() and f["x"].max() < 100
 
 
 def test_spikes_of_a_field_that_few_series_have(spark):

@@ -1,10 +1,11 @@
 """Implausible spikes, stuck values and impossible readings, judged per series.
 
-Method: an isolation forest per source on level, difference, seasonal and
+Method: an isolation forest per source and field on level, difference, seasonal and
 run-length features that are scaled by each series' own usual variation; every
-reading is scored. Explicit limits follow: a reading is impossible by its
-physical limit, stuck by the length of its run, a spike by its distance from the
-readings around it.
+reading is scored. A reading is a spike if its score reaches the least score its own
+forest gives to readings SPIKE_LIMIT or more usual variations away; the exact
+distance and duration are checked after that. Explicit limits find the
+impossible (by their value) and the stuck (by the length of their run).
 
 Scale: the last delivery per (symbol, date, source) is an aggregation with
 map-side combine; after it a series has at most one reading per calendar day.
@@ -12,14 +13,15 @@ Series then stream through ``mapInPandas`` in sorted partitions, many at a time,
 as NumPy arrays. Feature values are rounded to a grid, in training and scoring
 alike, so that equal feature rows are scored once per batch. Forests are trained
 on a bounded sample of the readings of all series of a source and field (the
-TREES x TREE_ROWS lowest in a hash order) and their size is checked before they
-are broadcast.
+TREES x TREE_ROWS lowest in a hash order). Sources are taken in groups of about
+SOURCES_AT_ONCE, so that the forests broadcast at once are bounded too.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,13 +43,16 @@ SEASON = 5  # days of a trading week
 TREES, TREE_ROWS, SEED = 50, 256, 20240229
 #: Readings that reach a forest's task before the lowest in the hash order are taken, as a multiple of those taken.
 DRAWN = 4
-#: Readings below this score are ordinary; ordinary ones score about 0.4.
-SCORE_LIMIT = 0.5
-MODEL_BYTES = 64_000_000
+#: A spike is over after so many readings.
+SPIKE_READINGS = 3
+#: Usual variations at which distances end, those of a 0 on the log scale among them.
+FAR = 1000.0
+#: Sources whose forests (about 0.4 MB a field) are broadcast together.
+SOURCES_AT_ONCE = 64
 #: The mean absolute change of normal noise over its median absolute change.
 MEAN_OVER_MEDIAN = 0.7979 / 0.6745
 LEAST_VARIATION = 1e-4
-SCORED_SCHEMA = "symbol string, event_date date, source string, field string, value double, score double, deviation double, run_length int, is_impossible boolean, is_stuck boolean, is_spike boolean"
+SCORED_SCHEMA = "symbol string, event_date date, source string, field string, value double, score double, score_limit double, deviation double, run_length int, is_impossible boolean, is_stuck boolean, is_spike boolean"
 
 
 def clean_bars(prices: DataFrame) -> DataFrame:
@@ -82,22 +87,51 @@ def _segment_median(values: np.ndarray, seg: np.ndarray, n_seg: int) -> np.ndarr
 
 
 def _around_median(values: np.ndarray, seg: np.ndarray) -> np.ndarray:
-    """Median of the up to 2 x AROUND + 1 readings of the same series around each; itself where there are under AROUND + 1."""
-    n = len(values)
-    columns = np.full((n, 2 * AROUND + 1), np.nan)
-    for k in range(-AROUND, AROUND + 1):
-        a, b = max(0, -k), n - max(0, k)
-        if b <= a:
-            continue
-        same = seg[a:b] == seg[a + k : b + k]
-        columns[a:b, k + AROUND][same] = values[a + k : b + k][same]
+    """Median of the 2 x AROUND + 1 readings of the same series nearest to each: at the ends of a series the window moves inwards
+    and keeps its size, so that a spike there doesn't fill most of it. Itself where a series has under AROUND + 1 readings."""
+    n, width = len(values), 2 * AROUND + 1
+    first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+    length = np.diff(np.r_[first, n])
+    begin, size = np.repeat(first, length), np.repeat(length, length)
+    start = begin + np.clip(np.arange(n) - begin - AROUND, 0, np.maximum(size - width, 0))
+    columns = np.full((n, width), np.nan)
+    for k in range(width):
+        inside = start + k < begin + size
+        columns[inside, k] = values[start[inside] + k]
     columns.sort(axis=1)  # NaN last
-    count = np.sum(~np.isnan(columns), axis=1)
+    count = np.minimum(size, width)
     rows = np.arange(n)
     median = 0.5 * (columns[rows, (count - 1) // 2] + columns[rows, count // 2])
     return np.where(count > AROUND, median, values)
 
 
+def _grid(level: np.ndarray, difference: np.ndarray, seasonal: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Feature rows on the grid that training and scoring share."""
+    return np.column_stack([np.round(np.arcsinh(np.abs(level)) * 4), np.round(np.arcsinh(np.abs(difference)) * 4), np.round(np.arcsinh(np.abs(seasonal)) * 3), np.round(np.log2(np.minimum(run, 64)) * 2)]).astype(np.int16)
+
+
+def _brief(x: np.ndarray, away: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """Readings further away than SPIKE_LIMIT, in runs on one side of at most SPIKE_READINGS.
+
+    Within AROUND readings of an end of the series the surroundings lie on one side, as
+    in a trend; there the reading next to the run must also be back by more than two thirds.
+    """
+    n = len(x)
+    side = np.sign(away) * (np.abs(away) > SPIKE_LIMIT)
+    start = np.flatnonzero(np.r_[True, (side[1:] != side[:-1]) | (seg[1:] != seg[:-1])])
+    size = np.diff(np.r_[start, n])
+    keep = (side[start] != 0) & (size <= SPIKE_READINGS)
+    series = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+    ends = np.r_[series[1:], n]
+    for k in np.flatnonzero(keep):
+        a, b = int(start[k]), int(start[k] + size[k])
+        j = int(np.searchsorted(series, a, side="right")) - 1
+        if a - series[j] < AROUND or ends[j] - b < AROUND:
+            beside = [(x[a] - x[a - 1]) if a > series[j] else None, (x[b - 1] - x[b]) if b < ends[j] else None]
+            keep[k] = all(v is None or v * side[a] * 1.5 > np.abs(away[a:b]).min() for v in beside)
+    return np.repeat(keep, size)
+
+
 def features(value: np.ndarray, seg: np.ndarray, day: np.ndarray, field: str) -> dict[str, np.ndarray]:
     """Features of the readings of one field (no nulls), ordered by series and day. seg: 0, 1, … per series."""
     n, n_seg = len(value), int(seg[-1]) + 1 if len(seg) else 0
@@ -106,29 +140,33 @@ def features(value: np.ndarray, seg: np.ndarray, day: np.ndarray, field: str) ->
     run = np.bincount(run_id)[run_id] if n else np.array([], dtype=int)
     limit, included = PHYSICAL[field]
     impossible = (value < limit) | ((value == limit) & included)
-    out = {"run": run, "impossible": impossible, "deviation": np.zeros(n)}
-    level, difference, seasonal = np.full(n, 50.0), np.full(n, 50.0), np.full(n, 50.0)
-    at = np.flatnonzero(value > 0)
+    out = {"run": run, "impossible": impossible, "deviation": np.zeros(n), "brief": np.zeros(n, dtype=bool)}
+    level, difference, seasonal = np.full(n, FAR), np.full(n, FAR), np.full(n, FAR)
+    at = np.flatnonzero(~impossible)
     if len(at):
-        x, s = np.log(value[at]), seg[at]
-        change = np.diff(x, prepend=x[0])
-        change[np.r_[True, s[1:] != s[:-1]]] = 0.0
-        within = np.r_[False, s[1:] == s[:-1]]
-        size = np.abs(change[within])
-        usual = _segment_median(size, s[within], n_seg)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x, s = np.log(value[at]), seg[at]  # an allowed 0 lies infinitely low
+            within = np.r_[False, s[1:] == s[:-1]]
+            change = np.where(within, np.diff(x, prepend=x[0]), 0.0)
+            away = x - _around_median(x, s)
+        change[np.isnan(change)], away[np.isnan(away)] = 0.0, 0.0  # 0 among zeros
+        real = within & np.isfinite(change)
+        usual = _segment_median(np.abs(change[real]), s[real], n_seg)
         flat = np.isnan(usual) | (usual == 0)
         if flat.any():  # mostly unchanged series: the usual size of a change that isn't zero
-            moved = within & (change != 0) & flat[s]
+            moved = real & (change != 0) & flat[s]
             usual = np.where(flat, np.minimum(_segment_median(np.abs(change[moved]), s[moved], n_seg), 0.01), usual)
         usual = np.maximum(np.nan_to_num(usual, nan=LEAST_VARIATION) * MEAN_OVER_MEDIAN, LEAST_VARIATION)[s]
-        away = (x - _around_median(x, s)) / usual
+        away, change = np.clip(away / usual, -FAR, FAR), np.clip(change / usual, -FAR, FAR)
         week = s * SEASON + (day[at] % 7) % SEASON
         mean = np.bincount(week, away.clip(-3, 3), n_seg * SEASON) / np.maximum(np.bincount(week, minlength=n_seg * SEASON), 1)
-        level[at], difference[at], seasonal[at] = away, change / usual, away - mean[week]
+        after = np.r_[np.where(within[1:], change[1:], change[:-1]), change[-1]]  # the change to the next reading, at the end of a series the one before
+        before = np.where(within, change, after)
+        # the return from a spike is as large a change as the spike: what sets a reading off is the smaller of its two changes
+        level[at], difference[at], seasonal[at] = away, np.minimum(np.abs(before), np.abs(after)), away - mean[week]
         out["deviation"][at] = away
-    zero = (value <= 0) & ~impossible  # allowed, but without a logarithm
-    level[zero] = difference[zero] = seasonal[zero] = 0.0
-    out["x"] = np.column_stack([np.round(np.arcsinh(np.abs(level)) * 4), np.round(np.arcsinh(np.abs(difference)) * 4), np.round(np.arcsinh(np.abs(seasonal)) * 3), np.round(np.log2(np.minimum(run, 64)) * 2)]).astype(np.int16) if n else np.zeros((0, 4), dtype=np.int16)
+        out["brief"][at] = _brief(np.nan_to_num(x, neginf=-1e6) / usual, away, s)
+    out["x"] = _grid(level, difference, seasonal, run) if n else np.zeros((0, 4), dtype=np.int16)
     return out
 
 
@@ -235,10 +273,28 @@ def _order(series: np.ndarray, day: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def score_limit(model: dict) -> float:
+    """The least score the forest gives to a reading SPIKE_LIMIT or more usual variations away.
+
+    Tried are all levels of the grid from there on, with a season that agrees, runs
+    too short to be stuck and all differences up to one as large as the level.
+    """
+    tried = []
+    for cell in range(int(np.round(np.arcsinh(SPIKE_LIMIT) * 4)), int(np.round(np.arcsinh(FAR) * 4)) + 1):
+        away = np.sinh(cell / 4)
+        for season in {int(np.round(np.arcsinh(max(away + d, 0)) * 3)) for d in (-3, 0, 3)}:
+            for run in range(1, STUCK_RUN):
+                tried += [(cell, difference, season, int(np.round(np.log2(run) * 2))) for difference in range(cell + 1)]
+    return float(score_forest(model, np.unique(np.array(tried, dtype=np.int16), axis=0)).min())
+
+
 def train(last: DataFrame) -> dict:
-    """Forests by (source, field), each from the TREES x TREE_ROWS readings of the source and field that are lowest in a hash order."""
+    """Forests by (source, field), each from the TREES x TREE_ROWS readings of the source and field that are lowest in a hash order.
+
+    last: the readings of about SOURCES_AT_ONCE sources at most, as all forests come to the driver.
+    """
     most = TREES * TREE_ROWS
-    held = last.groupBy("source").agg(*[F.count_if(F.col(c).isNotNull() & ~F.isnan(c)).alias(c) for c in FIELDS]).collect()  # as many rows as there are forests
+    held = last.groupBy("source").agg(*[F.count_if(F.col(c).isNotNull() & ~F.isnan(c)).alias(c) for c in FIELDS]).collect()
     share = {(r.source, c): DRAWN * most / max(r[c], 1) for r in held for c in FIELDS}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,49 +311,61 @@ def train(last: DataFrame) -> dict:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(["h", "a", "b", "c", "d"])[["a", "b", "c", "d"]].to_numpy()[:most]  # the order of arrival must not matter
-        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "field": [pdf["field"].iloc[0]], "model": [pickle.dumps(train_forest(x))]})
+        model = train_forest(x)
+        return pd.DataFrame({"source": [pdf["source"].iloc[0]], "field": [pdf["field"].iloc[0]], "model": [pickle.dumps({**model, "limit": score_limit(model)})]})
 
     found = (
         _by_series(last).mapInPandas(rows, "source string, field string, h bigint, a int, b int, c int, d int")
         .groupBy("source", "field").applyInPandas(fit, "source string, field string, model binary")
         .collect()
     )
-    if sum(len(r.model) for r in found) > MODEL_BYTES:
-        raise ValueError("more sources than forests can be broadcast for")
     return {(r.source, r.field): pickle.loads(bytes(r.model)) for r in found}
 
 
-def score_readings(prices: DataFrame, only_flagged: bool = False) -> DataFrame:
-    """Every reading of close and volume with its score and flags (SCORED_SCHEMA), or the flagged ones.
-
-    Defined cases: rows without symbol or date are left out, a null source is a
-    source, null and NaN readings are no readings; a volume of 0 is possible and
-    no spike, as it has no logarithm; a series of under AROUND + 1 readings has no
-    spikes; an empty table gives no rows; other columns are ignored. A spike needs
-    a forest score of SCORE_LIMIT and, as exact check, a distance of more than
-    SPIKE_LIMIT usual variations; stuck and impossible readings are explicit rules
-    on the run-length feature and the value.
-    """
-    last = stash(last_readings(clean_bars(prices)), "last-readings")
-    models = prices.sparkSession.sparkContext.broadcast(train(last))
+def _scored(last: DataFrame, only_flagged: bool) -> DataFrame:
+    """SCORED_SCHEMA rows of the readings of one group of sources."""
+    models = last.sparkSession.sparkContext.broadcast(train(last))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _series_chunks(batches):
             symbol, source, day = pdf["symbol"].to_numpy(), pdf["source"].to_numpy(), pdf["day"].to_numpy()
             code, names = pd.factorize(source, use_na_sentinel=False)
             for field, at, f, value in _per_field(pdf):
-                scores = np.zeros(len(at))
+                scores, limits = np.zeros(len(at)), np.zeros(len(at))
                 for k, name in enumerate(names):
                     mine = code[at] == k
                     if mine.any():  # a field with readings has a forest; a KeyError rather than lost spikes
-                        scores[mine] = score_forest(models.value[(name if isinstance(name, str) else None, field)], f["x"][mine])
+                        model = models.value[(name if isinstance(name, str) else None, field)]
+                        scores[mine], limits[mine] = score_forest(model, f["x"][mine]), model["limit"]
                 stuck = f["run"] >= STUCK_RUN
-                spike = (scores >= SCORE_LIMIT) & (np.abs(f["deviation"]) > SPIKE_LIMIT) & ~f["impossible"]
+                spike = (scores >= limits) & f["brief"] & ~f["impossible"]
                 keep = np.flatnonzero(stuck | spike | f["impossible"]) if only_flagged else np.arange(len(at))
                 if len(keep):
                     yield pd.DataFrame({
-                        "symbol": symbol[at][keep], "event_date": day[at][keep].astype("datetime64[D]").astype(object), "source": source[at][keep], "field": field, "value": value[keep], "score": scores[keep],
+                        "symbol": symbol[at][keep], "event_date": day[at][keep].astype("datetime64[D]").astype(object), "source": source[at][keep], "field": field, "value": value[keep], "score": scores[keep], "score_limit": limits[keep],
                         "deviation": f["deviation"][keep], "run_length": f["run"][keep].astype(np.int32), "is_impossible": f["impossible"][keep], "is_stuck": stuck[keep], "is_spike": spike[keep],
                     })
 
     return _by_series(last).mapInPandas(score, SCORED_SCHEMA)
+
+
+def score_readings(prices: DataFrame, only_flagged: bool = False) -> DataFrame:
+    """Every reading of close and volume with its score and flags (SCORED_SCHEMA), or the flagged ones.
+
+    Defined cases: rows without symbol or date are left out, a null source is a
+    source, null and NaN readings are no readings; a volume of 0 is possible,
+    but infinitely low on the log scale, so a spike unless the readings around it are
+    mostly 0 as well; a series of under AROUND + 1 readings has no
+    spikes; an empty table gives no rows; other columns are ignored. A spike is a
+    reading whose score reaches the score_limit of its source and field and which, as
+    exact check, is one of at most SPIKE_READINGS in a row that lie more than
+    SPIKE_LIMIT usual variations off to one side; stuck and impossible readings are
+    explicit rules on the run-length feature and the value.
+    """
+    last = stash(last_readings(clean_bars(prices)), "last-readings")
+    sources = last.agg(F.approx_count_distinct("source")).first()[0]
+    groups = 1 + sources // SOURCES_AT_ONCE
+    if groups == 1:
+        return _scored(last, only_flagged)
+    mine = F.pmod(F.xxhash64(F.coalesce("source", F.lit("\u0000"))), F.lit(groups))
+    return reduce(DataFrame.unionByName, [_scored(last.where(mine == g), only_flagged) for g in range(groups)])
