@@ -38,6 +38,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 #: Share of the content letters that phrases and vocabulary must cover.
 ERROR_COVERAGE = 0.6
 FILLER_COVERAGE = 0.6
+#: Coverage by vocabulary that needs no phrase, and the words it takes.
+VOCABULARY_ALONE, VOCABULARY_WORDS = 0.85, 3
 #: Letters that error phrases must hold, as a share of all letters, for a text to be measured at all.
 LEAST_PHRASES = 0.04
 LATIN_WORDS, LATIN_SHARE = 4, 0.7
@@ -46,18 +48,18 @@ LATIN_WORDS, LATIN_SHARE = 4, 0.7
 
 ERROR_PHRASES = {
     "en": """
-        page not found|not found|could not be found|couldn't be found|can't be found|cannot be found|can't find|cannot find|could not find|couldn't find|were unable to find|unable to find
+        page not found|not found|could not be found|couldn't be found|can't be found|cannot be found|can't find|cannot find|could not find|couldn't find|were unable to find|unable to find|seem to find|isn't working|is not working|redirected you|object moved|be verified|being verified|failed to start|execution time|connect error|connection failure
         does not exist|doesn't exist|no longer exists|no longer available|not available|isn't available|currently unavailable|temporarily unavailable|service unavailable|is unavailable|been removed|been deleted|been moved|has moved|has expired|may have moved
         bad request|bad gateway|gateway timeout|gateway time-out|internal server error|internal error|server error|not implemented|method not allowed|too many requests|too many redirects|request entity too large|payload too large|unsupported media type|precondition failed|http error|error code
         access denied|access is denied|permission denied|access forbidden|forbidden|unauthorized|unauthorised|not authorized|not authorised|not allowed|don't have permission|do not have permission|no permission|been blocked|is blocked|been denied|is denied|authentication required|authorization required|login required
         timed out|took too long|can't be reached|cannot be reached|could not be reached|can't reach|unable to connect|could not connect|can't connect|failed to connect|refused to connect|connection refused|connection was reset|connection reset|connection closed|connection failed|lost connection|no internet|dns_probe|err_connection|err_name|server is down|server not responding|not responding|host not found|name not resolved
         failed to load|could not be loaded|couldn't be loaded|could not load|couldn't load|unable to load|could not be displayed|cannot be displayed|can't be displayed|cannot be shown|can't be shown|could not be rendered|could not be opened|could not be processed|could not be completed|unable to complete|unable to process|unable to display|failed to fetch|request failed|query failed|loading failed
-        session has expired|session expired|session timed out|logged out|log in first|please log in|please login|please sign in|sign in again|log in again|sign in to continue|log in to continue|must be logged in|must be signed in|sign in with|only open to members|only available to subscribers|only available to members|for subscribers only|members only|subscribe to continue|subscribe to read|to continue reading
+        session has expired|session expired|session timed out|logged out|log in first|please log in|please login|please sign in|sign in again|log in again|sign in to continue|log in to continue|must be logged in|must be signed in|only open to members|only available to subscribers|only available to members|for subscribers only|members only|subscribe to continue|subscribe to read|to continue reading
         went wrong|error occurred|error has occurred|unexpected error|unknown error|fatal error|application error|runtime error|critical error|parse error|syntax error|database error|database connection|unhandled exception|uncaught exception|exception occurred|exception in thread|stack trace|traceback (most recent call last)|segmentation fault|out of memory|try again later|please try again|try again in|retry after|refresh to retry|something broke|encountered an error|encountered a problem|experiencing technical|"error":|'error':|"status": "error"|error:|exception:
         under maintenance|down for maintenance|scheduled maintenance|undergoing maintenance|maintenance mode|be back soon|be back shortly|back online|over capacity|rate limit|quota exceeded|limit exceeded|limit reached|bandwidth limit|request limit
-        not a robot|are human|you are a human|you're human|unusual traffic|unusual activity|suspicious activity|automated queries|automated requests|checking your browser|security check|complete the captcha|solve the captcha|ddos protection|verifying you|verify you
+        not a robot|are human|you are a human|you're human|unusual traffic|unusual activity|suspicious activity|automated queries|automated requests|checking your browser|security check|complete the captcha|solve the captcha|ddos protection|verifying you|verify you|connection is not private|connection is not secure|been suspended|err_cert|err_ssl|err_timed
         in your region|in your country|from your location
-        enable javascript|javascript enabled|javascript is disabled|javascript disabled|javascript is turned off|javascript is not enabled|javascript is required|javascript required|requires javascript|require javascript|needs javascript|need javascript|without javascript|javascript activated|activate javascript|javascript turned on|turn on javascript|allow javascript|support javascript|javascript to run|javascript to be enabled|javascript must be|javascript to view|supports javascript|browser supports|device supports|nothing appears|nothing loads
+        enable javascript|javascript enabled|javascript is disabled|javascript disabled|javascript is turned off|javascript turned off|javascript is switched off|javascript switched off|javascript is not enabled|javascript is required|javascript required|requires javascript|require javascript|needs javascript|need javascript|without javascript|javascript activated|activate javascript|javascript turned on|turn on javascript|allow javascript|support javascript|javascript to run|javascript to be enabled|javascript must be|javascript to view|supports javascript|browser supports|device supports|nothing appears|nothing loads
         enable scripts|scripts enabled|scripts are disabled|scripts are blocked|scripts disabled|allow scripts|enable scripting|scripting is disabled|scripts are turned off|scripts to run|js enabled|enable js|js to run|js is turned off|js must be|js is disabled|allow js|without js|js to view|requires js|needs js|scripts must be|scripting must be|scripts is turned off|scripting is turned off|scripts enabled|scripting enabled|scripting to run|allow scripting|enable cookies|cookies enabled|cookies are disabled|cookies must be|cookies are blocked|allow cookies|cookies is turned off|cookies to run|disable your ad blocker|turn off your ad blocker|disable any blocker|ad blocker detected|browser is not supported|unsupported browser|browser not supported|update your browser|upgrade your browser|outdated browser""",
     "de": """
         nicht gefunden|nicht mehr verfügbar|nicht verfügbar|nicht erreichbar|existiert nicht|nicht vorhanden|nicht geladen werden|nicht angezeigt werden|nicht geöffnet werden|nicht bearbeitet werden|nicht verarbeitet werden|nicht hergestellt werden|wurde entfernt|wurde gelöscht|wurde verschoben
@@ -66,19 +68,19 @@ ERROR_PHRASES = {
         wartungsarbeiten|wird gewartet|im wartungsmodus|kein roboter|ungewöhnlicher datenverkehr|ungewöhnliche aktivität|in ihrem land|in ihrer region
         javascript aktivieren|aktivieren sie javascript|javascript ist deaktiviert|javascript deaktiviert|javascript ist ausgeschaltet|benötigt javascript|erfordert javascript|javascript erforderlich|ohne javascript|javascript einschalten|skripte ausgeschaltet|skripte deaktiviert|skripte sind|aktivieren sie cookies|cookies aktivieren|cookies akzeptieren|browser wird nicht unterstützt""",
     "fr": """
-        page introuvable|introuvable|n'existe pas|n'existe plus|n'est plus disponible|n'est pas disponible|pas disponible|indisponible|inaccessible|a été supprimée|a été supprimé|a été déplacée|n'a pas été trouvée|n'a pas été trouvé|pas pu être chargée|pas pu être chargé|pas pu être affichée|pas pu être affiché|ne peut pas être affichée|ne peut pas être affiché|n'a pas pu aboutir|n'a pas pu être|pas pu trouver
+        page introuvable|introuvable|n'existe pas|n'existe plus|n'est plus disponible|n'est pas disponible|pas disponible|indisponible|inaccessible|a été supprimée|a été supprimé|a été déplacée|n'a pas été trouvée|n'a pas été trouvé|pas pu être chargée|pas pu être chargé|pas pu être affichée|pas pu être affiché|ne peut pas être affichée|ne peut pas être affiché|n'a pas pu aboutir|n'a pas pu être|pas pu trouver|impossible de se connecter|impossible d'afficher|impossible de charger|impossible d'accéder|impossible de trouver
         accès refusé|accès interdit|accès non autorisé|non autorisé|pas autorisé|pas l'autorisation|autorisation requise|a été bloqué|est bloqué|erreur interne|erreur serveur|erreur du serveur|requête incorrecte|mauvaise requête|trop de requêtes|délai d'attente|délai dépassé
         erreur est survenue|erreur s'est produite|erreur inattendue|quelque chose s'est mal passé|un problème est survenu|session a expiré|session expirée|veuillez vous reconnecter|veuillez vous connecter|reconnectez-vous|connectez-vous|réservée aux abonnés|réservé aux abonnés|réservé aux membres|réessayez plus tard|veuillez réessayer|réessayer plus tard|réessayez
         en maintenance|cause de maintenance|maintenance en cours|pas un robot|trafic inhabituel|activité inhabituelle|dans votre pays|dans votre région
         activer javascript|activez javascript|javascript est désactivé|javascript désactivé|besoin de javascript|nécessite javascript|requiert javascript|sans javascript|scripts sont désactivés|activer les scripts|activez les scripts|activer les cookies|activez les cookies|navigateur n'est pas pris en charge""",
     "es": """
-        página no encontrada|no encontrada|no encontrado|no se encuentra|no se ha encontrado|no se encontró|no existe|ya no existe|no está disponible|no disponible|ya no está|ha sido eliminada|ha sido eliminado|ha sido movida|no se ha podido cargar|no se pudo cargar|no se puede mostrar|no se pudo mostrar|no se pudo completar|no se pudo procesar|no se puede acceder|no se puede conectar|no podemos encontrar
+        página no encontrada|no encontrada|no encontrado|no se encuentra|no se ha encontrado|no se encontró|no existe|ya no existe|no está disponible|no disponible|ya no está|ha sido eliminada|ha sido eliminado|ha sido movida|no se ha podido cargar|no se pudo cargar|no se puede mostrar|no se pudo mostrar|no se pudo completar|no se pudo procesar|no se puede acceder|no se puede conectar|no podemos encontrar|podido encontrar|pudimos encontrar|podido cargar|podido completar
         acceso denegado|acceso prohibido|acceso restringido|no autorizado|no está autorizado|no tiene permiso|sin permiso|ha sido bloqueado|está bloqueado|error interno|error del servidor|solicitud incorrecta|demasiadas solicitudes|demasiadas peticiones|tiempo de espera
         se ha producido un error|ha ocurrido un error|ocurrió un error|error inesperado|algo salió mal|algo ha ido mal|ha habido un problema|sesión ha caducado|sesión ha expirado|sesión caducada|inicie sesión|iniciar sesión|inicia sesión|solo para suscriptores|a suscriptores|solo para socios|inténtelo más tarde|inténtelo de nuevo|inténtalo de nuevo|intente más tarde|más tarde
         en mantenimiento|tareas de mantenimiento|por mantenimiento|no es un robot|no eres un robot|tráfico inusual|actividad inusual|en su país|en su región
         active javascript|activar javascript|habilite javascript|habilitar javascript|javascript está desactivado|javascript desactivado|javascript deshabilitado|necesita javascript|requiere javascript|sin javascript|scripts están desactivados|active los scripts|habilite los scripts|active las cookies|habilite las cookies|navegador no es compatible""",
     "it": """
-        pagina non trovata|non trovata|non trovato|non esiste|non è disponibile|non è più disponibile|non disponibile|non raggiungibile|è stata rimossa|è stato rimosso|impossibile caricare|impossibile trovare|impossibile visualizzare|impossibile raggiungere|impossibile stabilire|accesso negato|accesso vietato|non autorizzato|non hai i permessi|non dispone dell'autorizzazione|errore interno|errore del server|richiesta non valida|troppe richieste|tempo scaduto
+        pagina non trovata|non trovata|non trovato|stata trovata|stato trovato|non esiste|non è disponibile|non è più disponibile|non disponibile|non raggiungibile|è stata rimossa|è stato rimosso|impossibile caricare|impossibile trovare|impossibile visualizzare|impossibile raggiungere|impossibile stabilire|accesso negato|accesso vietato|non autorizzato|non hai i permessi|non dispone dell'autorizzazione|errore interno|errore del server|richiesta non valida|troppe richieste|tempo scaduto
         si è verificato un errore|errore imprevisto|qualcosa è andato storto|sessione scaduta|sessione è scaduta|effettua l'accesso|effettuare l'accesso|accedi di nuovo|solo per abbonati|riservato agli abbonati|riprova più tardi|riprovare più tardi|in manutenzione|non sei un robot|traffico insolito|nel tuo paese
         abilita javascript|abilitare javascript|attiva javascript|attivare javascript|javascript è disattivato|javascript disabilitato|richiede javascript|abilita i cookie|abilitare i cookie|browser non è supportato""",
     "pt": """
@@ -86,7 +88,7 @@ ERROR_PHRASES = {
         ocorreu um erro|erro inesperado|algo deu errado|algo correu mal|sessão expirou|sessão expirada|faça login|inicie sessão|apenas para assinantes|exclusivo para assinantes|tente novamente|tente mais tarde|em manutenção|não é um robô|tráfego incomum|no seu país
         ative o javascript|ativar o javascript|habilite o javascript|habilitar javascript|javascript está desativado|javascript desativado|requer javascript|ative os cookies|habilite os cookies|navegador não é compatível""",
     "nl": """
-        pagina niet gevonden|niet gevonden|bestaat niet|niet beschikbaar|niet meer beschikbaar|niet bereikbaar|is verwijderd|kan niet worden weergegeven|kan niet worden geladen|toegang geweigerd|geen toegang|geen toestemming|niet gemachtigd|interne serverfout|serverfout|ongeldig verzoek|te veel verzoeken
+        pagina niet gevonden|niet gevonden|bestaat niet|niet beschikbaar|niet meer beschikbaar|niet bereikbaar|is verwijderd|kan niet worden weergegeven|niet worden gevonden|niet vinden|kan niet worden geladen|toegang geweigerd|geen toegang|geen toestemming|niet gemachtigd|interne serverfout|serverfout|ongeldig verzoek|te veel verzoeken
         fout opgetreden|onverwachte fout|iets misgegaan|ging iets mis|sessie is verlopen|sessie verlopen|log opnieuw in|alleen voor abonnees|probeer het later|probeer het opnieuw|in onderhoud|onderhoudswerkzaamheden|geen robot|ongewoon verkeer|in uw land
         schakel javascript in|javascript inschakelen|javascript is uitgeschakeld|javascript uitgeschakeld|vereist javascript|javascript nodig|schakel cookies in|cookies inschakelen|browser wordt niet ondersteund""",
 }
@@ -102,7 +104,7 @@ ERROR_WORDS = {
         contact contacting support help desk helpdesk administrator administrators admin webmaster owner owners team engineers staff customer operator provider notified informed told know aware fix fixing resolve resolved quote time
         maintenance temporarily currently unavailable available availability down offline online busy overloaded capacity high load traffic unusual exist exists existed never moved removed deleted renamed found find looking look missing broken mistyped typed type entered enter typing spelling spelled correct incorrect wrong invalid expired outdated dead old changed
         region country location area territory members member subscribers subscriber subscription subscribe premium register registered free robot robots bot human captcha security secure protection protected firewall limit limits exceeded reached rate calls many maximum per hour timeout timed long respond responded responding response answer answers reply connect connected connecting connection connections establish establishing establish unreachable reachable unknown unexpected internal external fatal critical
-        charts persists persist continue continues proceed offered closed disabled gone appears nothing""",
+        looks looking functionality necessary instructions full possible solution solutions trouble shoot troubleshooting undefined attackers private suspended hosting charts persists persist continue continues proceed offered closed disabled gone appears nothing""",
     "de": """
         seite seiten webseite website startseite url link adresse browser server dienst service anfrage anforderung ressource dokument artikel meldung inhalt inhalte datei fehler fehlercode problem probleme technische technischen code status nachricht vorgang referenz kennung bitte leider entschuldigung entschuldigen unannehmlichkeiten versuchen versuch erneut später nochmals einmal augenblick minuten sekunden stunden kürze laden lade neu aktualisieren prüfen überprüfen klicken verwenden nutzen besuchen zurück suche suchen angeforderte angeforderten angefordert gewünschte gesuchte eingegebene eingegeben
         anmelden anmeldung angemeldet konto passwort sitzung abgelaufen zugriff zugang zugänglich berechtigung rechte erlaubt gesperrt blockiert anzeigen angezeigt laden geladen lesen öffnen bearbeitet verarbeitet aktivieren aktivieren aktiviert deaktiviert einschalten eingeschaltet ausgeschaltet schalten skripte skript javascript cookies einstellungen erforderlich benötigt benötigen erfordert anwendung app funktioniert korrekt richtig unterstützt version aktuelle kontaktieren wenden kontakt support hilfe administrator betreiber kundendienst team wartung wartungsarbeiten vorübergehend derzeit momentan nicht verfügbar erreichbar existiert gefunden verschoben entfernt gelöscht umbenannt falsch ungültig land region mitglieder abonnenten abonnement roboter mensch sicherheit verbindung netzwerk internet wegen inhalts""",
@@ -127,8 +129,12 @@ FILLER_PHRASES = """
     texto de relleno|texto de ejemplo|texto de prueba|título de ejemplo|párrafo de ejemplo|texto provisional|texto simulado|su texto|tu texto|su contenido|tu contenido|su título|escriba aquí|escribe aquí|contenido disponible próximamente|próximamente|inserte aquí|inserte su|añada su|añade tu
     testo segnaposto|testo di esempio|testo di prova|il tuo testo|inserisci qui|inserisci il|contenuto in arrivo|prossimamente|texto de exemplo|texto provisório|o seu texto|seu texto|insira aqui|insira o|conteúdo em breve|em breve|voorbeeldtekst|opvultekst|uw tekst|jouw tekst|tekst komt hier|binnenkort beschikbaar|plaats hier"""
 
+#: Each kind goes with each part.
+FILLER_KINDS = ("placeholder", "dummy", "sample", "filler", "example")
+FILLER_PARTS = ("text", "content", "copy", "title", "headline", "heading", "subheading", "description", "paragraph", "sentence", "caption", "body", "summary", "entry", "page", "post")
+
 FILLER_WORDS = """
-    placeholder dummy sample example filler blind text texts copy content contents headline heading subhead subheading title titles body paragraph paragraphs sentence sentences description caption summary section line lines word words layout template design mockup demo demonstration draft page post entry note desk author editor source name image photo test testing check here goes add insert enter type write replace replaced delete edit keep remove short two three second first published publication publishing publish before purposes purpose only shows show created supplied later soon coming come follow follows will section nothing read real actual final own about please button click change changed company profile product market overview introduction intro biography bio news blog comment
+    placeholder dummy sample example filler blind text texts copy content contents headline heading subhead subheading title titles body paragraph paragraphs sentence sentences description caption summary section line lines word words layout template design mockup demo demonstration draft page post entry note desk author editor source image photo test testing check here goes add insert enter type write replace replaced delete edit keep remove short two three second first published publication publishing publish before purposes purpose only shows show created supplied later soon coming come follow follows will section nothing read real actual final own about please button click change changed company profile product market overview introduction intro biography bio news blog comment
     text texte inhalt überschrift titel absatz beschreibung abschnitt zeile satz muster beispiel platzhalter ohne hier steht folgt kürze später ersetzt ersetzen ersetzt dies einfügen ein geben fügen schreiben löschen vorlage
     texte contenu titre sous-titre paragraphe description rubrique section ligne phrase exemple provisoire sans ici venir bientôt saisissez insérez ajoutez remplacer remplacé remplacez modèle
     texto contenido título subtítulo párrafo descripción sección línea frase ejemplo relleno sin aquí próximamente disponible escriba inserte añada reemplazar reemplazado sustituir modelo
@@ -145,7 +151,7 @@ FUNCTION_WORDS = frozenset("""
     de het een en of maar niet geen is zijn was waren wordt worden werd werden heeft hebben had dat die dit deze wie wat waar hoe als dan er we wij u uw je jij hij zij ze op in aan bij met van voor naar uit over onder door om te tot tegen zonder ook nog al meer kan kunnen moet moeten""".split())
 
 #: Words of those who write about such pages: with one of them a text is a report.
-REPORT_WORDS = frozenset("said says reporters spokesman spokeswoman spokesperson according complained sagte sagten teilte erklärte berichtete sprecher sprecherin laut selon déclaré indiqué annoncé porte-parole dijo dijeron según informó explicó portavoz detto secondo portavoce disse segundo afirmou porta-voz zei zeiden volgens woordvoerder".split())
+REPORT_WORDS = frozenset("he she his her him said says reporters spokesman spokeswoman spokesperson according complained sagte sagten teilte erklärte berichtete sprecher sprecherin laut selon déclaré indiqué annoncé porte-parole dijo dijeron según informó explicó portavoz detto secondo portavoce disse segundo afirmou porta-voz zei zeiden volgens woordvoerder".split())
 
 #: The words of the common filler paragraph, and endings of Latin words.
 LATIN = frozenset("lorem ipsum dolor sit amet consectetur consectetuer adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vivamus vestibulum curabitur pellentesque suspendisse vel nec nunc donec integer quam".split())
@@ -187,17 +193,17 @@ _MARKS = frozenset("applause laughter laughs music inaudible indiscernible cross
 _SLOT_FIRST = frozenset("your insert enter add type name tbd todo tbc xxx votre vos insérer entrer nom su tu insertar introducir nombre ihr ihre ihren einfügen name eintragen inserire nome inserir".split())
 _SLOT_LAST = frozenset("here ici aquí hier einfügen eintragen qui aqui tbd".split())
 _BEFORE = frozenset("of for to in at by from with on as near about around until since after before between the a an is was are were be and than versus per dear hello hi von für in im am bei mit auf um zu zum zur nach vor seit bis der die das den dem ist war liegt rund etwa und de du des à au aux en dans sur pour par avec le la les un une est était vers près et del al en por para con desde hasta el los las es era hacia a cerca y di da per nel il lo do da em no na van voor op bij naar met".split())
-_UNIT = re.compile(r"\s*(?:%|percent\b|per cent\b|percentage points?\b|points?\b|basis points?\b|bps\b|days?\b|weeks?\b|months?\b|quarters?\b|years?\b|hours?\b|minutes?\b|seconds?\b|sessions?\b|rows?\b|shares?\b|times\b|million\b|billion\b|bn\b|mn?\b|euros?\b|dollars?\b|usd\b|eur\b|prozent\b|punkte?n?\b|tage?n?\b|minuten\b|monate?n?\b|zeilen\b|millionen\b|mrd\b|mio\b|pour cent\b|jours?\b|mois\b|lignes?\b|millions?\b|milliards?\b|por ciento\b|puntos\b|días\b|minutos\b|meses\b|filas\b|millones\b)", re.IGNORECASE)
+_UNIT = re.compile(r"\s*(?:%|percent\b|per cent\b|percentage points?\b|points?\b|basis points?\b|bps\b|days?\b|weeks?\b|months?\b|quarters?\b|years?\b|hours?\b|minutes?\b|seconds?\b|sessions?\b|(?:kilo)?met(?:re|er)s?\b|(?:kilo)?grams?\b|kg\b|km\b|tonnes?\b|lit(?:re|er)s?\b|degrees?\b|people\b|passengers?\b|rows?\b|shares?\b|times\b|million\b|billion\b|bn\b|mn?\b|euros?\b|dollars?\b|usd\b|eur\b|prozent\b|punkte?n?\b|tage?n?\b|minuten\b|monate?n?\b|zeilen\b|millionen\b|mrd\b|mio\b|pour cent\b|jours?\b|mois\b|lignes?\b|millions?\b|milliards?\b|por ciento\b|puntos\b|días\b|minutos\b|meses\b|filas\b|millones\b)", re.IGNORECASE)
 _GREETING = re.compile(r"(?:^|[.!?\n]\s*|[\"“(]\s*)(?:dear|hello|hi|hey|good (?:morning|afternoon|evening)|welcome|liebe[rs]?|sehr geehrte[rs]?(?: (?:frau|herr))?|hallo|guten (?:tag|morgen|abend)|cher|chère|bonjour|bonsoir|madame|monsieur|estimad[oa]s?|querid[oa]|hola|buenos días|gentile|caro|cara|ciao|buongiorno|prezad[oa]|olá|caro|beste|geachte)\s*$", re.IGNORECASE)
 #: Sentences that write about templates, code or formats.
 _ABOUT = re.compile(
-    r"\b(?:placeholders?|templates?|templating|merge fields?|variables?|syntax|expands?|expanded|substitut\w+|interpolat\w+|render(?:s|ed)?|fills?|filled|filling|shell|snippet|regex|parser|parses|escape[ds]?|markup|tags?|brackets?|braces|format(?:s|ted)?|usage|spreadsheets?|formulas?|cells?"
+    r"\b(?:placeholders?|templates?|templating|merge fields?|variables?|syntax|macros?|environment|expands?|expanded|substitut\w+|interpolat\w+|render(?:s|ed)?|fills?|filled|filling|shell|snippet|regex|parser|parses|escape[ds]?|markup|tags?|brackets?|braces|format(?:s|ted)?|replaced|usage|spreadsheets?|formulas?|cells?"
     r"|vorlagen?|platzhaltern?|ersetzt|formatvorlage|modèles?|gabarits?|balises?|remplacée?s?|plantillas?|marcador(?:es)?|sustituyen?|reemplazan?|etiquetas?|segnaposto|modelli|sostituit\w+|marcadores|sjablo(?:on|nen))\b",
     re.IGNORECASE,
 )
 _CODE = re.compile(r"`|\"\s*:|\w\(|\);|=>|->|==|!=|\+=|&&|\|\||</|/>|::|^\s*(?:\$|>>>|#!|//|/\*|import|from \w+ import|def|class|const|let|var|return|public|private|SELECT|INSERT|UPDATE)\b|\b(?:select|insert into|update) .*\b(?:from|values|set)\b|(?<!\s)=(?!\s)|\s--\w|\s-\w\s")
 #: Sayings in which a word for an empty value is a word, looked for right around it; conditions about one.
-_SAYINGS = re.compile(r"\bnot a number\b|\bnull (?:values?|checks?|pointers?|and void|hypothes[ie]s|results?|sets?|terminated|island|model)\b|\bnone of\b|\bnone the less\b|\bundefined (?:behaviou?r|variables?|symbols?|references?|terms?)\b|\bnil[- ](?:by|all|nil|return|coupon)\b", re.IGNORECASE)
+_SAYINGS = re.compile(r"\bnot a number\b|\bnull (?:values?|checks?|pointers?|and void|und nichtig|zu|hypothes[ie]s|results?|sets?|terminated|island|model)\b|\bnone of\b|\bnone the less\b|\bundefined (?:behaviou?r|variables?|symbols?|references?|terms?)\b|\bnil[- ](?:by|all|nil|return|coupon)\b", re.IGNORECASE)
 _EQUALS = re.compile(r"\b(?:is|was|are|were|equals?|be)\s+(?:not\s+)?$", re.IGNORECASE)
 _CONDITIONS = frozenset("where when if whether as not non or either".split())
 _DATA_TALK = re.compile(r"\b(?:values|columns?|fields?|pandas|python|numpy|dataframes?|json|sql|javascript|parser|nulls|nans|variables?|pointers?|functions?|defaults?|booleans?|datatype|query|schema|constants?|set to|sets|valeurs|colonnes?|werte|spalten?|valores|columnas?)\b", re.IGNORECASE)
@@ -212,6 +218,8 @@ _ANY_FORM = re.compile(rf"\{{\{{\s*[#/^&>]?\s*{_NAME}(?:\s*\|[^{{}}()\n]*)?\s*\}
 _FORMULA = frozenset("error errors cell cells formula formulas spreadsheet".split())
 _BREAK = re.compile(r"[.!?] |\n")
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|\n+")
+#: A phrase behind one of these tells when a page is shown.
+_WHEN = re.compile(r"\b(?:when|whenever)\b")
 _SPACES = re.compile(r"[^\S\n]+")
 _MARKUP = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.IGNORECASE)
 _NAVIGATION = re.compile(r"^\s*[^|\n.]+?(?:\s[|›»·>/•]\s[^|\n.]+?){2,}\s*$")
@@ -236,6 +244,7 @@ def automaton() -> ahocorasick.Automaton:
     found: dict[str, str] = {}
     for text in ERROR_PHRASES.values():
         found |= {p: "e" for p in _phrases(text)}
+    found |= {f"{a} {b}": "f" for a in FILLER_KINDS for b in FILLER_PARTS} | {f"your {b} here": "f" for b in FILLER_PARTS} | {f"your {b} goes": "f" for b in FILLER_PARTS}
     found |= {p: "f" for p in _phrases(FILLER_PHRASES)} | {p: "s" for p in _SIGNS} | {p: "w" for p in _WORDS}
     for status in HTTPStatus:
         if status >= 400:
@@ -286,9 +295,15 @@ def _share(part: str, spans: list[tuple[int, int]], vocabulary: frozenset[str],
 
 
 def error_coverage(low: str, spans: list[tuple[int, int]]) -> float:
-    """Coverage of a text by error phrases and vocabulary: the best of the text with and without its opening line; 0 for reports."""
-    if sum(b - a for a, b in spans) < LEAST_PHRASES * len(low):
+    """Coverage of a text by error phrases and vocabulary: the best of the text with and without its opening line; 0 for reports.
+
+    Without a phrase only the whole text counts, and not in part."""
+    if spans and sum(b - a for a, b in spans) < LEAST_PHRASES * len(low):
         return 0.0
+    kept = [(a, b) for a, b in spans if not _WHEN.search(low, max(low.rfind(".", 0, a), low.rfind("\n", 0, a), a - 80, 0), a)]
+    if spans and not kept:
+        return 0.0
+    spans = kept
     blank = _MARKUP.sub(lambda m: " " * len(m.group()), low)
     lines, at = [], 0
     for line in blank.split("\n"):
@@ -296,16 +311,23 @@ def error_coverage(low: str, spans: list[tuple[int, int]]) -> float:
             lines.append((at, line))
         at += len(line) + 1
     best = 0.0
-    for part in (lines, lines[1:]):
+    for part in (lines, lines[1:]) if spans else (lines,):
         if not part:
             continue
         first = part[0][0]
         whole = "".join(line.ljust(b - a) for (a, line), b in zip(part, [x for x, _ in part[1:]] + [part[-1][0] + len(part[-1][1])]))
-        if any(a >= first for a, _ in spans) and REPORT_WORDS.isdisjoint(w.strip(".,;:!?\"'()") for w in whole.split()):
+        if (not spans or any(a >= first for a, _ in spans)) and REPORT_WORDS.isdisjoint(w.strip(".,;:!?\"'()") for w in whole.split()):
             best = max(best, _share(whole, spans, ERROR_VOCABULARY, first))
     return best
 
 
+def _in_vocabulary(low: str) -> bool:
+    """Whether so many words of a text are function words or vocabulary of failed pages that it is worth measuring."""
+    words = [w.strip(".,;:!?\"'()…") for w in low.split()]
+    known = sum(w in ERROR_VOCABULARY for w in words)
+    return known >= VOCABULARY_WORDS and known + sum(w in FUNCTION_WORDS and w not in ERROR_VOCABULARY for w in words) >= 0.8 * len(words)
+
+
 def _sentences(text: str) -> list[tuple[int, str]]:
     out, at = [], 0
     for m in _SPLIT.finditer(text):
@@ -378,14 +400,16 @@ def _empty_word(doc: _Prose, start: int, end: int) -> bool:
     _, code, own, _, data_talk = doc.sentence(start)
     if code or _SAYINGS.search(text[max(0, start - 8) : end + 16]) or (_EQUALS.search(left) and not _CONDITIONS.isdisjoint(own)):
         return False
-    if _GREETING.search(left) or re.search(r"[$€£¥]\s?$", left) or _UNIT.match(right):
+    english, german = not _ENGLISH.isdisjoint(own), not _GERMAN.isdisjoint(own)
+    if _GREETING.search(left) or re.search(r"[$€£¥]\s?$", left):
         return True
+    if _UNIT.match(right):
+        return word != "null" or english or not german  # null is a number in German
     if not left.strip() or re.search(r"[.!?]\s+$|\n\s*$", left):  # a sentence doesn't start with a small letter
         return word in ("null", "undefined", "NaN") and re.match(r"\s[a-z]+", right) is not None and not re.match(r"\s(?:is|are|was|means?|stands?|or|and|as|in|if)\b", right)
     before = _before(text, start)
     if not before or data_talk:
         return False
-    english, german = not _ENGLISH.isdisjoint(own), not _GERMAN.isdisjoint(own)
     if before.islower() and (word in ("None", "NaN") or (word == "undefined" and not english) or (word == "null" and not english and not german)):
         return True  # a capital within a sentence, or no word of the language
     if word in ("null", "None", "NaN") and before.lower() in _PREPOSITIONS:
@@ -404,7 +428,7 @@ def _is_slot(doc: _Prose, sign: str, m: re.Match) -> bool:
         return False
     if about and not greeting:
         return False
-    if code and sign in ("<", "{", "<<", "____", "[", "%", "$", "__", "XX"):
+    if code or (sign == "{" and before in "$#%{"):
         return False
     if sign == "<":
         inner = m["inner"]
@@ -432,7 +456,7 @@ def _is_slot(doc: _Prose, sign: str, m: re.Match) -> bool:
             return False
         word, right = _before(text, start), text[end : end + 40]
         field = any(f in _FIELDS or any(f.startswith(x) or f.endswith(x) for x in _FIELDS if len(x) > 3) for f in named)
-        if field and (word.islower() or re.match(r"\s[a-zà-ÿ]", right)):
+        if field and (word.islower() or re.match(r"\s[a-zà-ÿ]", right) or (text[max(0, start - 2) : start] == ", " and right[:1] in ",.;")):
             return True
         return word.lower() in _BEFORE or _UNIT.match(right) is not None or re.search(r"[\]})>%@]\s$", text[max(0, start - 2) : start]) is not None
     if sign == "____":
@@ -478,8 +502,8 @@ def classify(text: str | None) -> tuple[str | None, float]:
     text = _SPACES.sub(" ", text.replace("’", "'").replace("İ", "I"))
     low = text.lower()
     hits = _hits(low.replace("\n", " "))
-    coverage = error_coverage(low, hits["e"]) if hits["e"] else 0.0
-    if coverage >= ERROR_COVERAGE:
+    coverage = error_coverage(low, hits["e"]) if hits["e"] or _in_vocabulary(low) else 0.0
+    if coverage >= (ERROR_COVERAGE if hits["e"] else VOCABULARY_ALONE):
         return "error_page", coverage
     if (hits["s"] or hits["w"]) and unfilled(text, hits) is not None:
         return "placeholder", coverage
