@@ -6,6 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tidegrid.operators import latewindow, msgdedup
+from tidegrid.sources.storage import ConcurrentWriteError
 from tidegrid.streaming.late_stream import LateWindows
 
 D, T = dt.date, dt.datetime
@@ -140,9 +141,9 @@ def brute_repeats(data):
     return out
 
 
-@pytest.mark.parametrize("seed,loads,small", [(2, 2, 0), (3, 2, 50_000)])
-def test_repeats_equal_the_greedy_rule(spark, monkeypatch, seed, loads, small):
-    monkeypatch.setattr(msgdedup, "ORDERED_ROWS", small)
+@pytest.mark.parametrize("seed,loads,most", [(2, 2, 3), (3, 2, 200_000)])
+def test_repeats_equal_the_greedy_rule(spark, monkeypatch, seed, loads, most):
+    monkeypatch.setattr(msgdedup, "COMPONENT_PAIRS", most)
     random.seed(seed)
     data = []
     for i in range(200):
@@ -155,12 +156,21 @@ def test_repeats_equal_the_greedy_rule(spark, monkeypatch, seed, loads, small):
     assert got == brute_repeats(data)
     assert {r.delivery_id for r in store.kept().collect()} == {r[0] for r in data} - got
     assert sum(m.duplicate_events for m in merges) == len(got)
+    assert store.kept().columns == df.columns
+    want = {r[0]: tuple(r) for r in df.collect()}
+    assert all(tuple(r) == want[r.delivery_id] for r in store.kept().collect())
+
+
+def test_components_of_a_long_chain(spark):
+    pairs = spark.range(300).select(F.concat(F.lit("e"), F.floor((F.col("id") + 1) / 2)).alias("e"), F.concat(F.lit("c"), F.floor(F.col("id") / 2)).alias("c"), F.struct(F.lit(T(2024, 1, 1)).alias("arrived"), ((F.col("id") * 7) % 300).alias("delivery_id")).alias("o"))
+    two = pairs.unionByName(spark.sql("select 'x' as e, 'y' as c, struct(timestamp'2024-01-01' as arrived, 1000L as delivery_id) as o"))
+    assert rows(msgdedup.components(two).groupBy("label").count()) == [(0, 300), (1000, 1)]
 
 
 def test_chain_of_dependencies(spark, monkeypatch):
     """Each message shares something with the next: every second one stays."""
-    monkeypatch.setattr(msgdedup, "ORDERED_ROWS", 2)
-    data = [message(i, f"e{(i + 1) // 2}", i // 2, T(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(10)]
+    monkeypatch.setattr(msgdedup, "ROUNDS", 1)
+    data = [message(i, f"e{(i + 1) // 2}", i // 2, T(2024, 1, 1) + dt.timedelta(minutes=i)) for i in range(40)]
     df = spark.createDataFrame(data, MESSAGE)
     assert {r.delivery_id for r in msgdedup.repeats(msgdedup.nodes(df)).collect()} == brute_repeats(data)
 
@@ -171,11 +181,36 @@ def test_only_affected_partitions_are_overwritten(spark, tmp_path):
     store.merge(msgdedup.nodes(spark.createDataFrame([message(1, "a", 1, d1, ts=d1), message(2, "b", 2, d1, ts=d2)], MESSAGE)))
     again = store.merge(msgdedup.nodes(spark.createDataFrame([message(3, "A", 9, d2, ts=d1), message(4, "c", 3, d2, ts=d3)], MESSAGE)))
     dates = store.manifest()["dates"]
-    assert dates == {"2024-01-01": [2], "2024-01-02": [1], "2024-01-03": [2]}
+    assert {d: [int(m[2:8]) for m in ms] for d, ms in dates.items()} == {"2024-01-01": [2], "2024-01-02": [1], "2024-01-03": [2]}
     assert (again.partitions_overwritten, again.duplicate_events, again.accepted_events) == (1, 1, 1)
     assert {r.delivery_id for r in store.kept().collect()} == {1, 2, 4}
 
 
+def test_two_writers_and_old_folders(spark, tmp_path, monkeypatch):
+    store, late = (msgdedup.MessageStore(spark, f"file://{tmp_path}/store", keep=1) for _ in range(2))
+    one = msgdedup.nodes(spark.createDataFrame([message(1, "a", 1, T(2024, 1, 1), ts=T(2024, 1, 1))], MESSAGE))
+    store.merge(one)
+    seen = late.versions.read()
+    monkeypatch.setattr(late.versions, "read", lambda: seen)
+    store.merge(msgdedup.nodes(spark.createDataFrame([message(2, "a", 2, T(2024, 1, 2), ts=T(2024, 1, 1))], MESSAGE)))
+    with pytest.raises(ConcurrentWriteError):
+        late.merge(msgdedup.nodes(spark.createDataFrame([message(3, "b", 3, T(2024, 1, 2), ts=T(2024, 1, 1))], MESSAGE)))
+    assert [r.delivery_id for r in store.kept().collect()] == [1]
+    held = [p for p in (tmp_path / "store" / "data").glob("m=*/event_date=*")]
+    assert len(held) == 2  # the current one and that of the writer who was late
+
+
+def test_index_is_pruned_and_folded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(msgdedup, "INDEX_LOADS", 2)
+    store = msgdedup.MessageStore(spark, f"file://{tmp_path}/store")
+    for i in range(4):
+        store.merge(msgdedup.nodes(spark.createDataFrame([message(i, "same" if i in (0, 3) else f"e{i}", None, T(2024, 1, 1 + i))], MESSAGE)))
+    assert sorted(r.delivery_id for r in store.kept().collect()) == [0, 1, 2]
+    assert all(len(ms) <= 2 for ms in store.manifest()["index"].values())
+    with pytest.raises(ValueError):
+        store.merge(msgdedup.nodes(spark.createDataFrame([message(9, "z", None, T(2024, 2, 1))], MESSAGE).withColumn("more", F.lit(1))))
+
+
 def test_an_earlier_message_that_arrives_later_wins(spark, tmp_path):
     store = msgdedup.MessageStore(spark, f"file://{tmp_path}/store")
     store.merge(msgdedup.nodes(spark.createDataFrame([message(5, "a", 1, T(2024, 1, 5))], MESSAGE)))

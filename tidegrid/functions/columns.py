@@ -79,3 +79,8 @@ def arg_min_nn(value: str | Column, order: str | Column) -> Column:
 
 def safe_ratio(a: str | Column, b: str | Column) -> Column:
     return col(a) / F.nullif(col(b), F.lit(0))
+
+
+def canonical_json(c: str | Column) -> Column:
+    """A JSON text with sorted keys and without blanks; null if it can't be read."""
+    return F.to_json(F.try_parse_json(col(c)))

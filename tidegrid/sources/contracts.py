@@ -127,14 +127,14 @@ def validate(contract: Contract, payloads: DataFrame, source: str) -> DataFrame:
     wanted = set(contract.fields)
     seen = {r.n for r in present.where(F.col("n").isin(*wanted)).collect()}  # at most the contract's columns
     if wanted - seen and named.limit(1).count():
-        raise MissingRequiredFieldError(f"{contract.name} v{contract.version}: required columns absent from the entire batch: {sorted(wanted - seen)}")
+        raise MissingRequiredFieldError(f"{contract.name} v{contract.version}: no row of the batch has {sorted(wanted - seen)}")
     expected = F.array(*[F.lit(c) for c in contract.fields])
     missing, unknown = F.array_sort(F.array_except(expected, "_names")), F.array_sort(F.array_except("_names", expected))
     errors: list[Column] = [
         F.when(~is_object, F.lit("payload is not a JSON object")),
-        F.when(F.size(F.array_distinct("_names")) != F.size("_names"), F.lit("alias normalization produced duplicate columns")),
-        F.when(F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ", "))),
-        F.when(F.size(unknown) > 0, F.concat(F.lit("unexpected columns under quarantine policy: "), F.array_join(unknown, ", "))),
+        F.when(F.size(F.array_distinct("_names")) != F.size("_names"), F.lit("two keys stand for the same column")),
+        F.when(F.size(missing) > 0, F.concat(F.lit("columns left out: "), F.array_join(missing, ", "))),
+        F.when(F.size(unknown) > 0, F.concat(F.lit("columns the contract does not know: "), F.array_join(unknown, ", "))),
     ]
     # values and types first, as columns, so that the checks below stay small expressions
     taken: list[Column] = []

@@ -33,6 +33,10 @@ def small_side(stashed: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stashed) if n <= rows else stashed.hint("merge")
 
 
+class ConcurrentWriteError(RuntimeError):
+    """Another writer published first; nothing was changed, and the work can be done again."""
+
+
 class HadoopFiles:
     """List, read, write, rename and delete through Hadoop's FileSystem, so that any mounted scheme works."""
 
@@ -94,6 +98,21 @@ class HadoopFiles:
             return []
         return sorted(s.getPath().toString() for s in self._fs.listStatus(self._path(path)) if s.isDirectory())
 
+    def publish_new(self, path: str, value: Any) -> bool:
+        """Atomic and exclusive: the complete file appears under a name that is free, or nothing does (False)."""
+        side = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+        self.write_text(side, json.dumps(value, indent=2, sort_keys=True, default=str))
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(path).toUri())
+        options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.org.apache.hadoop.fs.Options.Rename.NONE.getClass(), 0)
+        try:
+            context.rename(self._path(side), self._path(path), options)
+            return True
+        except Exception:
+            self.delete(side)
+            if self.exists(path):
+                return False
+            raise
+
     def publish_json(self, path: str, value: Any) -> None:
         """Atomic: write beside the target, then rename over it."""
         side = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
@@ -103,3 +122,27 @@ class HadoopFiles:
         options = self._jvm.java.lang.reflect.Array.newInstance(overwrite.getClass(), 1)
         options[0] = overwrite
         context.rename(self._path(side), self._path(path), options)
+
+
+class Versions:
+    """One JSON value under ``root`` that several writers may replace: each version is a new file, and the one that is a version behind is told so."""
+
+    def __init__(self, files: HadoopFiles, root: str, keep: int = 3):
+        self.files, self.root, self.keep = files, root.rstrip("/"), keep
+
+    def _all(self) -> list[tuple[int, str]]:
+        names = [(p.rsplit("/", 1)[1], p) for p, _, _ in self.files.list(self.root)]
+        return sorted((int(n[8:20]), p) for n, p in names if n.startswith("version-") and n.endswith(".json") and n[8:20].isdigit())
+
+    def read(self) -> tuple[int, Any]:
+        """(number, value) of the current version; (0, None) before the first."""
+        held = self._all()
+        return (held[-1][0], json.loads(self.files.read_text(held[-1][1]))) if held else (0, None)
+
+    def replace(self, number: int, value: Any) -> None:
+        """Publish the version after ``number``; ConcurrentWriteError if another writer was first."""
+        if not self.files.publish_new(f"{self.root}/version-{number + 1:012d}.json", value):
+            raise ConcurrentWriteError(self.root)
+        for n, p in self._all():
+            if n <= number + 1 - self.keep:
+                self.files.delete(p)

@@ -3,27 +3,61 @@
 A Structured Streaming query calls ``take_batch`` from ``foreachBatch``; offsets are
 committed by Spark after it returns, so files are durable before an offset is, and
 a batch that is repeated after a crash finds its own events by their identities.
+
+History is looked up through an identifier index in buckets: a batch reads only the
+buckets of its identifiers and only the hours that hold one of them, so its cost
+doesn't grow with the history. The index is written before the data and decides
+nothing: an entry whose event isn't in its hour (a crash in between) is no repeat.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Callable
+import time
+from collections import deque
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import canonical_json
 from ..operators import msgdedup
 from ..sources.contracts import ZONED
-from ..sources.storage import HadoopFiles, small_side, stash
+from ..sources.storage import ConcurrentWriteError, HadoopFiles, Versions, small_side, stash
 
 MESSAGE = "topic string, partition int, offset bigint, value string"
 EVENT = "event_id string, symbol string, event_timestamp timestamp, event_type string, price double, anomaly_score double, details_json string, detected_at timestamp, source_topic string, kafka_partition int, kafka_offset bigint, ingested_at timestamp"
+PLACE = ["source_topic", "kafka_partition", "kafka_offset"]
 REQUIRED = ("event_id", "symbol", "event_timestamp", "event_type")
 
 
+Message = tuple[str, int, int, str]
+
+
+class Consumer(Protocol):
+    """Hands out one message (topic, partition, offset, value) at a time, or None, and is told what is durable."""
+
+    def poll(self, seconds: float) -> Message | None: ...
+
+    def commit(self, messages: Sequence[Message]) -> None: ...
+
+
+class PageConsumer:
+    """One page of messages fetched by HTTP as a consumer; ``committed`` holds what was acknowledged."""
+
+    def __init__(self, page: Sequence[Message]):
+        self.waiting, self.committed = deque(page), []
+
+    def poll(self, seconds: float) -> Message | None:
+        return self.waiting.popleft() if self.waiting else None
+
+    def commit(self, messages: Sequence[Message]) -> None:
+        self.committed += messages
+
+
 @dataclass(frozen=True)
 class BatchResult:
     run_id: str
@@ -57,65 +91,108 @@ def decode(messages: DataFrame, ingested_at: str) -> DataFrame:
     return messages.select(
         "topic", "partition", "offset", "value", error.alias("error"),
         F.trim(get("event_id")).alias("event_id"), F.upper(F.trim(get("symbol"))).alias("symbol"), get("event_timestamp").try_cast("timestamp").alias("event_timestamp"), F.trim(get("event_type")).alias("event_type"),
-        get("price").try_cast("double").alias("price"), get("anomaly_score").try_cast("double").alias("anomaly_score"), F.coalesce(get("details"), F.lit("{}")).alias("details_json"), get("detected_at").try_cast("timestamp").alias("detected_at"),
+        get("price").try_cast("double").alias("price"), get("anomaly_score").try_cast("double").alias("anomaly_score"), F.coalesce(canonical_json(get("details")), F.lit("{}")).alias("details_json"), get("detected_at").try_cast("timestamp").alias("detected_at"),
         F.col("topic").alias("source_topic"), F.col("partition").alias("kafka_partition"), F.col("offset").alias("kafka_offset"), F.lit(ingested_at).cast("timestamp").alias("ingested_at"),
     )
 
 
 class EventLake:
-    """stream_events/date=…/hour=… below root, with quarantine and batch manifests beside it."""
+    """stream_events/date=…/hour=… below root, with an identifier index, quarantine and batch manifests beside it."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), HadoopFiles(spark, root)
+        self.index = msgdedup.IdentifierIndex(spark, f"{self.root}/metadata/event_index")
+        self.index_state = Versions(self.files, f"{self.root}/metadata/event_index_versions")
 
     @property
     def data(self) -> str:
         return f"{self.root}/raw/stream_events"
 
-    def events(self) -> DataFrame:
-        if not [p for p, _, _ in self.files.list(self.data, recursive=True) if p.endswith(".parquet")]:
-            return self.spark.createDataFrame([], f"{EVENT}, date string, hour string")
-        return self.spark.read.option("basePath", self.data).schema(f"{EVENT}, date string, hour string").parquet(self.data)
+    def events(self, hours: list[str] | None = None) -> DataFrame:
+        """All events, or those of the given date=…/hour=… folders."""
+        schema = f"{EVENT}, date string, hour string"
+        paths = self.files.directories(self.data)[:1] and [self.data] if hours is None else [f"{self.data}/{h}" for h in hours if self.files.exists(f"{self.data}/{h}")]
+        return self.spark.read.option("basePath", self.data).schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _unseen(self, good: DataFrame) -> DataFrame:
+        """Rows of which no event in the lake has the event_id or the position."""
+        ids = stash(msgdedup.identifiers(msgdedup.nodes(good)).distinct(), "batch-ids")
+        hits = self.index.find(self.index_state.read()[1] or {}, ids)
+        hours = [] if hits is None else sorted(r.place for r in hits.select("place").distinct().collect())  # hours that hold an identifier of the batch
+        if not hours:
+            return good
+        held = self.events(hours)
+        fresh = small_side(stash(good.select(F.lower(F.trim("event_id")).alias("e"), *PLACE), "batch-identities"))
+        known_ids = held.select(F.lower(F.trim("event_id")).alias("e")).join(fresh.select("e"), "e", "left_semi").distinct()
+        known_at = held.select(*PLACE).join(fresh.select(*PLACE), PLACE, "left_semi").distinct()
+        return good.withColumn("e", F.lower(F.trim("event_id"))).join(known_ids, "e", "left_anti").join(known_at, PLACE, "left_anti").drop("e")
+
+    def _index(self, new: DataFrame, run_id: str) -> None:
+        hour = F.concat(F.lit("date="), F.date_format("message.event_timestamp", "yyyy-MM-dd"), F.lit("/hour="), F.date_format("message.event_timestamp", "HH"))
+        added = stash(msgdedup.identifiers(msgdedup.nodes(new), hour.alias("place")), "index-rows")
+        for attempt in range(5):
+            version, state = self.index_state.read()
+            try:
+                self.index_state.replace(version, self.index.extend(state or {}, f"{run_id}-{attempt}", added, self.files))
+                return
+            except ConcurrentWriteError:
+                continue
+        raise ConcurrentWriteError(self.root)
 
     def take_batch(self, messages: DataFrame, run_id: str, now: dt.datetime | None = None, hook: Callable[[str, str], None] | None = None) -> BatchResult:
-        """One micro-batch. Repeating a run_id is safe: its events are recognised, its quarantine is rewritten."""
+        """One micro-batch. Repeating a run_id is safe: its events are recognised, its quarantine is rewritten. One writer at a time."""
         say, started = hook or (lambda *_: None), (now or dt.datetime.now(dt.timezone.utc)).astimezone(dt.timezone.utc)
         decoded = stash(decode(messages, started.isoformat()), "decoded")
-        bad = decoded.where("error is not null")
-        n_all, n_bad = decoded.count(), bad.count()
+        counted = decoded.agg(F.count("*").alias("n"), F.count("error").alias("bad")).first()
+        n_all, n_bad = counted.n, counted.bad
         if n_bad:
-            bad.select("topic", "partition", "offset", "error", F.col("value").alias("raw_value"), F.lit(started.isoformat()).alias("received_at")).coalesce(1).write.mode("overwrite").json(f"{self.root}/quarantine/stream/run={run_id}")
+            bad = decoded.where("error is not null").select("topic", "partition", "offset", "error", F.col("value").alias("raw_value"), F.lit(started.isoformat()).alias("received_at"))
+            bad.hint("rebalance").write.mode("overwrite").json(f"{self.root}/quarantine/stream/run={run_id}")
         columns = [c.split()[0] for c in EVENT.split(", ")]
-        good = decoded.where("error is null").select(*columns).orderBy("source_topic", "kafka_partition", "kafka_offset").withColumn("delivery_id", F.monotonically_increasing_id())  # the first in the order of the log wins
-        held = self.events()
-        fresh_ids = small_side(stash(good.select(F.lower(F.trim("event_id")).alias("e")).distinct(), "batch-ids"))
-        known_ids = held.select(F.lower(F.trim("event_id")).alias("e")).join(fresh_ids, "e", "left_semi").distinct()
-        place = ["source_topic", "kafka_partition", "kafka_offset"]
-        fresh_at = small_side(stash(good.select(*place).distinct(), "batch-places"))
-        known_at = held.select(*place).join(fresh_at, place, "left_semi").distinct()
-        unseen = good.withColumn("e", F.lower(F.trim("event_id"))).join(known_ids, "e", "left_anti").join(known_at, place, "left_anti").drop("e")
-        unseen = stash(unseen, "unseen")
-        again = msgdedup.repeats(msgdedup.nodes(unseen)).select("delivery_id") if unseen.limit(1).count() else None
-        new = (unseen.join(again, "delivery_id", "left_anti") if again is not None else unseen).select(*columns)
+        good = stash(decoded.where("error is null").select(*columns).orderBy(*PLACE).withColumn("delivery_id", F.monotonically_increasing_id()), "batch")  # the first in the order of the log wins
+        unseen = stash(self._unseen(good), "unseen")
+        again = msgdedup.repeats(msgdedup.nodes(unseen).select(*msgdedup.NODE)).select("delivery_id")
+        new = stash(unseen.join(again, "delivery_id", "left_anti"), "new-events")
+        accepted = new.count()
         staged = f"{self.root}/_staging/{run_id}"
         self.files.delete(staged)
-        say("before_write", staged)
-        new.withColumn("date", F.date_format("event_timestamp", "yyyy-MM-dd")).withColumn("hour", F.date_format("event_timestamp", "HH")).repartition("date", "hour").write.partitionBy("date", "hour").option("compression", "zstd").parquet(staged)
-        accepted = new.count()
         written = 0
-        for p, _, _ in self.files.list(staged, recursive=True):
-            if p.endswith(".parquet"):
-                inner = p.split(f"/_staging/{run_id}/", 1)[1]
-                into = f"{self.data}/{inner.rsplit('/', 1)[0]}"
-                self.files.mkdirs(into)
-                self.files.rename(p, f"{into}/part-{run_id}-{written}.parquet")
-                written += 1
-        self.files.delete(staged)
+        if accepted:
+            self._index(new, run_id)
+            say("before_write", staged)
+            rows = new.select(*columns).withColumn("date", F.date_format("event_timestamp", "yyyy-MM-dd")).withColumn("hour", F.date_format("event_timestamp", "HH"))
+            rows.hint("rebalance", "date", "hour").write.partitionBy("date", "hour").option("compression", "zstd").parquet(staged)
+            for p, _, _ in self.files.list(staged, recursive=True):
+                if p.endswith(".parquet"):
+                    inner = p.split(f"/_staging/{run_id}/", 1)[1]
+                    into = f"{self.data}/{inner.rsplit('/', 1)[0]}"
+                    self.files.mkdirs(into)
+                    self.files.rename(p, f"{into}/part-{run_id}-{written}.parquet")
+                    written += 1
+            self.files.delete(staged)
         say("after_write_before_commit", run_id)
         result = BatchResult(run_id, "degraded" if n_bad else "success", n_all, accepted, n_all - n_bad - accepted, n_bad, written, n_all, started.isoformat(), dt.datetime.now(dt.timezone.utc).isoformat())
         self.files.publish_json(f"{self.root}/metadata/stream_batches/{run_id}.json", asdict(result))
         return result
 
+    def poll(self, consumer: Consumer, run_id: str, max_records: int = 500, max_wait_seconds: float = 1.0, hook: Callable[[str, str], None] | None = None, clock: Callable[[], float] = time.monotonic) -> BatchResult:
+        """Take one batch from a consumer, bounded by records and by time, and commit it after its files are durable."""
+        if max_records < 1 or max_wait_seconds < 0:
+            raise ValueError("the bounds of a batch must be positive")
+        until, taken = clock() + max_wait_seconds, []
+        while len(taken) < max_records:
+            left = until - clock()
+            if taken and left <= 0:
+                break
+            message = consumer.poll(max(left, 0.0))
+            if message is None:
+                break
+            taken.append(message)
+        result = self.take_batch(self.spark.createDataFrame(taken, MESSAGE), run_id, hook=hook)
+        if taken:
+            consumer.commit(taken)
+        return result
+
     def manifests(self) -> list[dict]:
         return [json.loads(self.files.read_text(p)) for p, _, _ in self.files.list(f"{self.root}/metadata/stream_batches") if p.endswith(".json")]
 
