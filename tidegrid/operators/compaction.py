@@ -1,14 +1,17 @@
 """Far too many small files: consolidation by copying encoded blocks.
 
-``compact_files`` works on folders of real Parquet files, ``compact_fragments`` on
-a table that lists the records file by file. Both merge with
-``parquet_blocks``: encoded row groups are copied as bytes, footers rewritten, and
-schema, block counts and row totals validated.
+``compact_files`` works on folders of real Parquet files: footers are read once,
+encoded column blocks are copied as bytes from the small files to the large ones
+while both are open, the new footers are written and validated (schema, block
+counts, row totals, places of the blocks). Only files that hold a surplus copy of a
+record are decoded. ``compact_fragments`` does the same for a table that lists the
+records file by file: records are encoded once, in blocks, and never decoded.
 
 Scale: files of a folder are spread over bins by a hash of their name, as many as
 the folder's total asks for, so a folder with a third of all data is many tasks of
 one target size each. Contents never pass through the driver or a shuffle in
-``compact_files``; in ``compact_fragments`` the rows are shuffled once.
+``compact_files``; in ``compact_fragments`` the rows are shuffled once. Memory of a
+task holds footers and one piece of a block.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator, Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -30,7 +35,7 @@ from ..functions.columns import lower_key, trim_key, upper_key
 from ..session import python_tasks
 from ..sources.storage import HadoopFiles, scratch, small_side, stash
 from .latest import keep_latest
-from .parquet_blocks import BlockCopier, BlockMismatch, merge_blocks, read_footer, schema_signature
+from .parquet_blocks import BlockCopier, BlockMismatch, FooterReader, Merged, footer_bytes
 
 TARGET_BYTES = 128 << 20
 #: Rows of one block at most, and of one bin of a table-borne folder.
@@ -63,20 +68,51 @@ def _encode(table: pa.Table) -> bytes:
     return sink.getvalue()
 
 
-def _write(folder: str, data: bytes) -> str:
-    """Write a new file to the folder and return its path."""
+def _arrow_fs(path: str):
+    """A pyarrow file system and the path on it; file:/x and plain paths are local."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+class _File:
+    """A file on any mounted file system that is read by place."""
+
+    def __init__(self, path: str):
+        fs, at = _arrow_fs(path)
+        self.handle = fs.open_input_file(at)
+
+    def size(self) -> int:
+        return self.handle.size()
+
+    def read_at(self, n: int, at: int) -> bytes:
+        return self.handle.read_at(n, at)
+
+    def __enter__(self) -> _File:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.handle.close()
+
+
+@contextmanager
+def _new_file(folder: str) -> Iterator[tuple[str, Any]]:
+    """The path and the stream of a new file in the folder."""
     path = f"{folder}/part-{uuid.uuid4().hex}.parquet"
     fs, at = _arrow_fs(path)
     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(at) as f:
-        f.write(data)
-    return path
+    with fs.open_output_stream(at) as stream:
+        yield path, stream
 
 
-def _read(path: str) -> bytes:
-    fs, at = _arrow_fs(path)
-    with fs.open_input_file(at) as f:
-        return f.read()
+def _check_written(path: str, made: Merged) -> None:
+    """The footer of the written file is the one that was validated."""
+    with _File(path) as f:
+        raw, _ = footer_bytes(f)
+        if f.size() != made.size or raw != made.footer:
+            raise BlockMismatch("the written file doesn't hold what was copied")
 
 
 def _spread(rows: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -92,73 +128,76 @@ def _spread(rows: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def compact_fragments(rows: DataFrame, group: Sequence[str], into: str | None = None) -> DataFrame:
-    """The records of each group after compaction, with what the compaction counted.
-
-    rows: group columns, file_name and RECORD columns. Each file's records are an
-    encoded block; the blocks of a group's bin are copied into one file, whose
-    footer is validated, and the records are read from that file. Columns out:
-    group, bin, RECORD, and files, blocks, file_rows, file_bytes of the compacted
-    file on one row of each bin (null on the others).
+    """What the compaction of each group makes: group columns, bin, path, files, blocks, file_rows, file_bytes, one row per new file.
 
-    With ``into``, each bin's file is written to that folder and validated as it
-    lies there; columns out are group, bin, path and the four figures, one row per
-    file. Each evaluation writes anew, so the caller writes the result down.
+    rows: group columns, file_name and RECORD columns. The records of a bin, file
+    after file, are encoded in blocks of at most BLOCK_ROWS; the blocks are copied into
+    one file, whose footer gives the figures after it was validated. With ``into``, the
+    file is written to that folder and validated as it lies there (path null
+    otherwise). Each evaluation writes anew, so the caller writes the result down.
     """
     spread = _spread(rows, group)
     work = spread.select(*group, "bin", F.xxhash64(*group, "bin").alias("_g"), F.xxhash64("file_name").alias("_f"), *RECORD)
     arranged = work.repartition(python_tasks(rows.sparkSession), *group, "bin").sortWithinPartitions("_g", *group, "bin", "_f")
     kinds = {f.name: f.dataType.simpleString() for f in work.schema.fields}
-    held_as = [*(f"`{c}` {kinds[c]}" for c in [*group, "bin"]), *(["path string"] if into else [f"`{c}` {kinds[c]}" for c in RECORD])]
-    schema = ", ".join([*held_as, "files bigint, blocks bigint, file_rows bigint, file_bytes bigint"])
     named = [*group, "bin"]
+    figures = ("files", "blocks", "file_rows", "file_bytes")
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in named), "path string", *(f"{c} bigint" for c in figures)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        copier: BlockCopier | None = None
+        reader = FooterReader()
         label: dict = {}
-        current, pending, held = None, [], 0
+        blocks: list[bytes] = []
+        current, pending, held, files, last = None, [], 0, 0, None
 
         def flush_block() -> None:
             nonlocal pending, held
             if pending:
-                copier.add(_encode(pa.Table.from_batches(pending)))
+                blocks.append(_encode(pa.Table.from_batches(pending)))
                 pending, held = [], 0
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            out = copier.finish()
-            path = _write(into, out.data) if into else None
-            made = pq.ParquetFile(io.BytesIO(_read(path) if into else out.data))
-            if made.metadata.num_rows != out.rows or made.num_row_groups != out.blocks or made.schema_arrow.names != RECORD:
-                raise BlockMismatch("the compacted file doesn't hold what was copied")
-            table = made.read(use_threads=False)
-            if table.num_rows != out.rows:
-                raise BlockMismatch("row totals differ")
-            n = 1 if into else table.num_rows
-            columns = {c: pa.array([label[c].as_py()] * n, label[c].type) for c in named} | ({"path": pa.array([path])} if into else {c: table.column(c) for c in RECORD})
-            for c, v in (("files", out.files), ("blocks", out.blocks), ("file_rows", out.rows), ("file_bytes", len(out.data))):
-                columns[c] = pa.array([v] + [None] * (n - 1), pa.int64())
-            yield from pa.table(columns).to_batches(max_chunksize=20_000)
+        def finish() -> pa.RecordBatch:
+            flush_block()
+            path = None
+            if into:
+                with _new_file(into) as (path, stream):
+                    copier = BlockCopier(stream, reader)
+                    for b in blocks:
+                        copier.add(b)
+                    made = copier.finish()
+                _check_written(path, made)
+            else:
+                copier = BlockCopier(None, reader)
+                for b in blocks:
+                    copier.add(b)
+                made = copier.finish()
+            blocks.clear()
+            columns = {c: pa.array([label[c].as_py()], label[c].type) for c in named} | {"path": pa.array([path], pa.string())}
+            columns |= {c: pa.array([v], pa.int64()) for c, v in zip(figures, (files, made.blocks, made.rows, made.size))}
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             g, f = batch.column("_g").to_numpy(), batch.column("_f").to_numpy()
             records = batch.select(RECORD)
-            edges = np.flatnonzero((g[1:] != g[:-1]) | (f[1:] != f[:-1])) + 1
-            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(g)]):
-                mark = (int(g[a]), int(f[a]))
-                if current is None or mark[0] != current[0]:
-                    if copier is not None:
+            edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for a, b in zip(edges, edges[1:]):
+                if current is None or int(g[a]) != current:
+                    if current is not None:
+                        yield finish()
+                    current, files, last = int(g[a]), 0, None
+                    label = {c: batch.column(c)[a] for c in named}
+                files += int(np.count_nonzero(f[a + 1 : b] != f[a : b - 1])) + (last is None or int(f[a]) != last)
+                last = int(f[b - 1])
+                for c in range(a, b, BLOCK_ROWS):
+                    n = min(BLOCK_ROWS, b - c)
+                    if held + n > BLOCK_ROWS:
                         flush_block()
-                        yield from finish()
-                    copier, label = BlockCopier(), {c: batch.column(c)[a] for c in named}
-                elif mark != current or held >= BLOCK_ROWS:
-                    flush_block()
-                current = mark
-                pending.append(records.slice(a, b - a))
-                held += b - a
-        if copier is not None:
-            flush_block()
-            yield from finish()
+                    pending.append(records.slice(c, n))
+                    held += n
+        if current is not None:
+            yield finish()
 
     return arranged.mapInArrow(run, schema)
 
@@ -200,7 +239,7 @@ def compact_waiting(fragments: DataFrame, target: str | None = None) -> DataFram
         files.rename(path, f"{target}/{path.rsplit('/', 1)[1]}")
     files.delete(staging)  # and what failed tasks left there
     named = made.withColumn("path", F.concat(F.lit(f"{target}/"), F.substring_index("path", "/", -1)))
-    after = named.groupBy(*group).agg(F.count("files").alias("files_after"), F.sum("blocks").alias("blocks"), F.sum("file_rows").alias("rows_after"), F.sum("file_bytes").alias("bytes_after"), F.sort_array(F.collect_list("path")).alias("paths"))
+    after = named.groupBy(*group).agg(F.count("*").alias("files_after"), F.sum("blocks").alias("blocks"), F.sum("file_rows").alias("rows_after"), F.sum("file_bytes").alias("bytes_after"), F.sort_array(F.collect_list("path")).alias("paths"))
     same = F.lit(True)
     for g in group:
         same = same & F.col(f"b.{g}").eqNullSafe(F.col(f"a.{g}"))
@@ -213,15 +252,17 @@ def compact_waiting(fragments: DataFrame, target: str | None = None) -> DataFram
 def wrong_compactions(fragments: DataFrame, log: DataFrame) -> DataFrame:
     """compaction_id of logged compactions that are wrong: each is done again from its inputs and compared.
 
-    Compared are the records (key, close, volume; null equals null) of the new
-    file with those in the recorded outputs, and the four counts of the log with
-    what the fragments hold. A logged compaction without fragments is wrong
+    The new files' footers give the rows a right compaction has; the log's rows_after
+    must be those, its four counts what the fragments hold, and the records that went
+    into the new files (key, close, volume; null equals null) those of the recorded
+    outputs. A logged compaction without fragments is wrong
     unless its counts are 0.
     """
     group = ["compaction_id"]
     rows = clean_fragments(fragments).where("compaction_id is not null")
-    again = compact_fragments(winners(rows.where("file_role = 'input'"), group), group)
-    sides = again.select(*group, *KEY, "close", "volume", F.lit(1).alias("right"), F.lit(0).alias("given")).unionByName(
+    once = stash(winners(rows.where("file_role = 'input'"), group), "once")
+    again = compact_fragments(once, group).groupBy(*group).agg(F.sum("file_rows").alias("made"))
+    sides = once.select(*group, *KEY, "close", "volume", F.lit(1).alias("right"), F.lit(0).alias("given")).unionByName(
         rows.where("file_role = 'output'").select(*group, *KEY, "close", "volume", F.lit(0).alias("right"), F.lit(1).alias("given"))
     )
     value = F.struct("close", "volume")
@@ -234,16 +275,26 @@ def wrong_compactions(fragments: DataFrame, log: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c, h in (("files_before", "files_in"), ("files_after", "files_out"), ("rows_before", "rows_in"), ("rows_after", "rows_out")):
         same = same & F.col(c).eqNullSafe(F.coalesce(h, F.lit(0)))
-    return logged.join(held, group, "left").join(wrong, group, "left").where(F.col("wrong_keys").isNotNull() | ~same).select("compaction_id").distinct()
+    right_rows = F.col("rows_after").eqNullSafe(F.coalesce("made", F.lit(0)))
+    return logged.join(held, group, "left").join(again, group, "left").join(wrong, group, "left").where(F.col("wrong_keys").isNotNull() | ~same | ~right_rows).select("compaction_id").distinct()
 
 
-def _arrow_fs(path: str):
-    """A pyarrow file system and the path on it; file:/x and plain paths are local."""
-    from pyarrow import fs
+def _footers(listing: DataFrame) -> DataFrame:
+    """path, length, folder, rows and schema (a hash of schema and column orders) of each file, from its footer."""
 
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = FooterReader()
+        for pdf in batches:
+            rows, schemas = [], []
+            for p in pdf["path"]:
+                with _File(p) as f:
+                    footer, signature = reader.read(footer_bytes(f)[0])
+                rows.append(footer[3][1])
+                schemas.append(hashlib.sha256(signature).hexdigest())
+            yield pdf.assign(rows=rows, schema=schemas)
+
+    narrow = listing.select("path", "length", "folder").repartition(python_tasks(listing.sparkSession))
+    return stash(narrow.mapInPandas(run, "path string, length bigint, folder string, rows bigint, schema string"), "footers")
 
 
 def compact_files(spark: SparkSession, source: str, target: str, target_bytes: int = TARGET_BYTES, dedup_keys: Sequence[str] | None = None, latest: Sequence[str] = ()) -> DataFrame:
@@ -261,119 +312,165 @@ def compact_files(spark: SparkSession, source: str, target: str, target_bytes: i
     files = HadoopFiles(spark, target)
     if files.exists(target):
         raise FileExistsError(target)
-    run = uuid.uuid4().hex[:12]
-    staging = f"{target.rstrip('/')}/_staging-{run}"
-    listing = (
+    target = target.rstrip("/")
+    staging = f"{target}/_staging-{uuid.uuid4().hex[:12]}"
+    found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source)
         .select("path", "length", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"))
     )
-    listing = stash(listing, "file-list")
+    listing = _footers(found)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    work, surplus = listing, None
-    if dedup_keys:
-        work, surplus = _without_copies(spark, listing, staging, list(dedup_keys), list(latest))
-    sizes = work.groupBy("folder").agg(F.sum("length").alias("_total"))
+    work = _without_copies(spark, listing, f"{staging}/rewritten", list(dedup_keys), list(latest)) if dedup_keys else listing.select("*", F.lit(0).cast("bigint").alias("surplus"))
+    full = work.where("rows > 0")
+    sizes = full.groupBy("folder", "schema").agg(F.sum("length").alias("_total"))
     plan = (
-        work.join(sizes, "folder")
+        full.join(sizes, ["folder", "schema"])
         .withColumn("bin", F.pmod(F.xxhash64("path"), F.ceil(F.col("_total") / target_bytes)))
-        .groupBy("folder", "bin")
+        .groupBy("folder", "schema", "bin")
         .agg(F.sort_array(F.collect_list("path")).alias("paths"))  # one bin: about target_bytes of files
     )
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = FooterReader()
         for pdf in batches:
             for folder, paths in zip(pdf["folder"], pdf["paths"]):
-                copiers: dict[bytes, BlockCopier] = {}
-                read = 0
-                for p in paths:
-                    fs, at = _arrow_fs(p)
-                    with fs.open_input_file(at) as f:
-                        data = f.read()
-                    footer = read_footer(data)
-                    read += footer[3][1]
-                    copiers.setdefault(schema_signature(footer), BlockCopier()).add(data)
-                for copier in copiers.values():
-                    out = copier.finish()
-                    name = f"{staging}/{uuid.uuid4().hex}.parquet"
-                    fs, at = _arrow_fs(name)
-                    fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                    with fs.open_output_stream(at) as f:
-                        f.write(out.data)
-                    with fs.open_input_file(at) as f:
-                        if pq.ParquetFile(f).metadata.num_rows != out.rows:
-                            raise BlockMismatch("the written file doesn't hold what was copied")
-                    yield pd.DataFrame({"folder": [folder], "staged": [name], "blocks": [out.blocks], "rows": [out.rows], "bytes": [len(out.data)]})
-
-    made = stash(plan.repartition("folder", "bin").mapInPandas(merge, "folder string, staged string, blocks bigint, rows bigint, bytes bigint"), "compaction")
-    before = listing.groupBy("folder").agg(F.count("*").alias("files_before"), F.sum("length").alias("bytes_before"))
-    counted = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(source).select(F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1).alias("folder")).groupBy("folder").agg(F.count("*").alias("rows_before"))
-    result = stash(
-        before.join(counted, "folder", "left")
-        .join(made.groupBy("folder").agg(F.count("*").alias("files_after"), F.sum("rows").alias("rows_after"), F.sum("blocks").alias("blocks"), F.sum("bytes").alias("bytes_after")), "folder", "left")
-        .na.fill(0),
-        "compaction-result",
-    )
-    expected = result.withColumn("_surplus", F.lit(0)) if surplus is None else result.join(surplus, "folder", "left").na.fill(0, ["_surplus"])
-    if expected.where("rows_before - _surplus <> rows_after").limit(1).count():
+                with _new_file(staging) as (name, stream):
+                    copier = BlockCopier(stream, reader)
+                    for p in paths:
+                        with _File(p) as f:
+                            copier.add_file(f)
+                    made = copier.finish()
+                _check_written(name, made)
+                yield pd.DataFrame({"folder": [folder], "staged": [name], "blocks": [made.blocks], "rows": [made.rows], "bytes": [made.size]})
+
+    made = stash(plan.repartition(python_tasks(spark), "folder", "schema", "bin").mapInPandas(merge, "folder string, staged string, blocks bigint, rows bigint, bytes bigint"), "compaction")
+    before = listing.groupBy("folder").agg(F.count("*").alias("files_before"), F.sum("length").alias("bytes_before"), F.sum("rows").alias("rows_before"))
+    gone = work.groupBy("folder").agg(F.sum("surplus").alias("duplicate_rows_removed"))
+    after = made.groupBy("folder").agg(F.count("*").alias("files_after"), F.sum("rows").alias("rows_after"), F.sum("blocks").alias("blocks"), F.sum("bytes").alias("bytes_after"))
+    result = stash(before.join(gone, "folder", "left").join(after, "folder", "left").na.fill(0), "compaction-result")
+    if result.where("rows_before - duplicate_rows_removed <> rows_after").limit(1).count():
         raise BlockMismatch("rows before and after differ; nothing was published")
-    for folder, staged in made.select("folder", "staged").toLocalIterator():  # few: one per output file
-        inner = folder[len(base):].lstrip("/")
-        into = f"{target.rstrip('/')}/{inner}".rstrip("/")
+
+    def place(row) -> None:
+        inner = row.folder[len(base) :].lstrip("/")
+        into = f"{target}/{inner}".rstrip("/")
         files.mkdirs(into)
-        files.rename(staged, f"{into}/part-{staged.rsplit('/', 1)[1]}")
+        files.rename(row.staged, f"{into}/{row.staged.rsplit('/', 1)[1]}")
+
+    with ThreadPoolExecutor(16) as pool:
+        for _ in pool.map(place, made.select("folder", "staged").toLocalIterator()):  # one call per output file
+            pass
     files.delete(staging)
-    files.delete(_rewritten(staging))
     return result
 
 
-def _rewritten(staging: str) -> str:
-    return staging.replace("_staging-", "_rewritten-")
+def _kept_rows(spark: SparkSession, listing: DataFrame, columns: list[str]) -> DataFrame:
+    """_path, _row and the given columns of every row of the files; only these columns are decoded."""
+    sample = listing.where("rows > 0").groupBy("schema").agg(F.min("path").alias("path")).limit(1).collect()
+    held = spark.read.parquet(sample[0].path).select(*columns).schema
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.fields)
 
-
-def _schemas(listing: DataFrame) -> DataFrame:
-    """path, schema: the hash of the schema in each file's footer."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = []
-            for p in pdf["path"]:
-                fs, at = _arrow_fs(p)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                fs, at = _arrow_fs(path)
                 with fs.open_input_file(at) as f:
-                    n = f.size()
-                    f.seek(max(0, n - 8))
-                    size = int.from_bytes(f.read(8)[:4], "little")
-                    f.seek(max(0, n - 8 - size))
-                    found.append(hashlib.sha256(schema_signature(read_footer(b"\0" * 4 + f.read()))).hexdigest())
-            yield pd.DataFrame({"path": pdf["path"], "schema": found})
+                    first = 0
+                    for part in pq.ParquetFile(f).iter_batches(batch_size=50_000, columns=columns, use_threads=False):
+                        n = part.num_rows
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(first, first + n), pa.int64()), *[part.column(c) for c in columns]], names=["_path", "_row", *columns])
+                        first += n
 
-    return stash(listing.select("path").repartition(python_tasks(listing.sparkSession)).mapInPandas(run, "path string, schema string"), "schemas")
+    return listing.where("rows > 0").select("path").repartition(python_tasks(spark)).mapInArrow(run, f"_path string, _row bigint, {kinds}")
 
 
-def _without_copies(spark: SparkSession, listing: DataFrame, staging: str, keys: list[str], latest: list[str]) -> tuple[DataFrame, DataFrame | None]:
-    """The listing with files that hold a surplus copy replaced by rewritten ones, and the surplus rows per folder.
+def _without_copies(spark: SparkSession, listing: DataFrame, parts: str, keys: list[str], latest: list[str]) -> DataFrame:
+    """The listing with ``surplus``, where files that hold surplus copies are replaced by rewritten ones.
 
-    Files are read and rewritten schema by schema, so that none loses a column
-    which others lack; a file without a key column is an error.
+    Each file is rewritten with its own schema, so none loses a column that others
+    lack; a file without a key column is an error.
     """
-    schemas = _schemas(listing)
-    placed = {}
-    for (schema,) in schemas.select("schema").distinct().collect():  # few
-        paths = [r.path for r in schemas.where(F.col("schema") == schema).toLocalIterator()]
-        placed[schema] = spark.read.option("recursiveFileLookup", "true").parquet(*paths).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
-    if not placed:
-        return listing, None
-    rows = reduce(DataFrame.unionByName, [p.select(*keys, F.struct(*latest, "_path", "_row").alias("_place"), "_path", "_row") for p in placed.values()]).withColumn("_folder", F.regexp_extract("_path", r"^(.*)/[^/]+$", 1))
+    if not listing.where("rows > 0").limit(1).count():
+        return listing.select("*", F.lit(0).cast("bigint").alias("surplus"))
+    rows = _kept_rows(spark, listing, list(dict.fromkeys([*keys, *latest]))).withColumn("_folder", F.regexp_extract("_path", r"^(.*)/[^/]+$", 1))
+    rows = stash(rows.select("_folder", *keys, F.struct(*latest, "_path", "_row").alias("_place"), "_path", "_row"), "keys")
     first = rows.groupBy("_folder", *keys).agg((F.max if latest else F.min)("_place").alias("_keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    on = (F.col("a._folder") == F.col("b._folder"))
+    on = F.col("a._folder") == F.col("b._folder")
     for k in keys:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    surplus = stash(rows.alias("a").join(first.alias("b"), on).where("a._path <> b._keep._path or a._row <> b._keep._row").select("a._path", "a._row", "a._folder"), "surplus")
-    dirty = small_side(surplus.select("_path").distinct())
-    parts = _rewritten(staging)
-    for schema, held in placed.items():
-        held.join(dirty, "_path", "left_semi").join(surplus, ["_path", "_row"], "left_anti").withColumn("_dir", F.sha2(F.regexp_extract("_path", r"^(.*)/[^/]+$", 1), 256)).drop("_path", "_row").write.partitionBy("_dir").parquet(f"{parts}/{schema}")
-    folders = listing.select("folder", F.sha2("folder", 256).alias("_dir")).distinct()
-    again = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(parts).select("path", "length", F.regexp_extract("path", r"_dir=([0-9a-f]+)/", 1).alias("_dir")).join(folders, "_dir").select("path", "length", "folder")
-    kept = stash(listing.join(dirty.withColumnRenamed("_path", "path"), "path", "left_anti").unionByName(again), "file-list")
-    return kept, surplus.groupBy(F.col("_folder").alias("folder")).agg(F.count("*").alias("_surplus"))
+    surplus = rows.alias("a").join(first.alias("b"), on).where("a._path <> b._keep._path or a._row <> b._keep._row").select(F.col("a._path").alias("path"), F.col("a._row").alias("_row"))
+    dirty = stash(surplus.groupBy("path").agg(F.collect_list("_row").alias("drop")).join(listing, "path"), "surplus")  # per file: rows of that file
+
+    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, folder, schema, drop in zip(pdf["path"], pdf["folder"], pdf["schema"], pdf["drop"]):
+                fs, at = _arrow_fs(path)
+                with fs.open_input_file(at) as f:
+                    whole = pq.ParquetFile(f).read(use_threads=False)
+                keep = np.ones(whole.num_rows, dtype=bool)
+                keep[np.asarray(drop, dtype=np.int64)] = False
+                left = whole.filter(pa.array(keep))
+                with _new_file(parts) as (name, stream):
+                    pq.write_table(left, stream, compression="zstd")
+                with _File(name) as f:
+                    footer, signature = FooterReader().read(footer_bytes(f)[0])
+                    size = f.size()
+                yield pd.DataFrame({"path": [name], "length": [size], "folder": [folder], "rows": [footer[3][1]], "schema": [hashlib.sha256(signature).hexdigest()], "surplus": [len(drop)]})
+
+    again = dirty.repartition(python_tasks(spark)).mapInPandas(rewrite, "path string, length bigint, folder string, rows bigint, schema string, surplus bigint")
+    clean = listing.join(dirty.select("path"), "path", "left_anti").select("path", "length", "folder", "rows", "schema", F.lit(0).cast("bigint").alias("surplus"))
+    return stash(clean.unionByName(again), "file-list")
+
+
+def write_small_files(fragments: DataFrame, root: str) -> DataFrame:
+    """Write the waiting fragments as the small Parquet files they came from: ``root``/<dataset>/<partition_path>/<file_name>.parquet.
+
+    One row per file (dataset, partition_path, path). Null names become ``__null__``.
+    """
+    spark = fragments.sparkSession
+    rows = clean_fragments(fragments).where("compaction_id is null and file_role = 'input'")
+    named = rows.select(*[F.coalesce(c, F.lit("__null__")).alias(c) for c in ("dataset", "partition_path", "file_name")], *RECORD)
+    work = named.repartition(python_tasks(spark), "dataset", "partition_path", "file_name").sortWithinPartitions("dataset", "partition_path", "file_name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, pending = None, []
+
+        def finish() -> pa.RecordBatch:
+            path = f"{root}/{current[0]}/{current[1]}/{current[2].removesuffix('.parquet')}.parquet"
+            fs, at = _arrow_fs(path)
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(at) as f:
+                pq.write_table(pa.Table.from_batches(pending), f, compression="zstd", use_dictionary=False, store_schema=False)
+            return pa.RecordBatch.from_pydict({"dataset": [current[0]], "partition_path": [current[1]], "path": [path]})
+
+        for batch in batches:
+            names = [batch.column(c).to_pylist() for c in ("dataset", "partition_path", "file_name")]
+            keys = list(zip(*names))
+            edges = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if keys[a] != current:
+                    if current is not None:
+                        yield finish()
+                    current, pending = keys[a], []
+                pending.append(batch.select(RECORD).slice(a, b - a))
+        if current is not None:
+            yield finish()
+
+    return stash(work.mapInArrow(run, "dataset string, partition_path string, path string"), "small-files")
+
+
+def compact_small_files(fragments: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Writes the waiting fragments as real small files and compacts those with ``compact_files``; per dataset and partition its result."""
+    spark = fragments.sparkSession
+    root = scratch(spark, "small-files")
+    HadoopFiles(spark, root).mkdirs(root)
+    write_small_files(fragments, root)
+    result = compact_files(spark, root, scratch(spark, "compacted-files"), target_bytes, KEY, ["ingested_at", "source_record_id"])
+    inner = F.regexp_extract("folder", r"/small-files-[0-9a-f]{12}/(.*)$", 1)
+    return result.select(
+        F.substring_index(inner, "/", 1).alias("dataset"), F.expr(f"substring(regexp_extract(folder, '/small-files-[0-9a-f]{{12}}/[^/]*/(.*)$', 1), 1)").alias("partition_path"),
+        "files_before", "files_after", "rows_before", "rows_after", "duplicate_rows_removed", "blocks", "bytes_before", "bytes_after",
+    )

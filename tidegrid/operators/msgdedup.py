@@ -266,10 +266,11 @@ class MessageStore:
         dropped = stash(repeats(narrow if before is None else before.unionByName(narrow)), "dedup-repeats")
         out_ids = small_side(dropped.select("delivery_id"))
         new_rows = incoming.join(out_ids, "delivery_id", "left_anti")
-        whole = new_rows if history is None else history.join(out_ids, "delivery_id", "left_anti").select(*new_rows.columns).unionByName(new_rows)
         written = f"{self.root}/data/m={number}"
-        # a hot date is split over files, small ones share a task
-        whole.hint("rebalance", "event_date").write.partitionBy("event_date").option("compression", "zstd").parquet(written)
+        # a hot date is split over files, small ones share a task; history lies in files by date already and is rewritten where it is read
+        new_rows.hint("rebalance", "event_date").write.partitionBy("event_date").option("compression", "zstd").parquet(written)
+        if history is not None:
+            history.join(out_ids, "delivery_id", "left_anti").select(*new_rows.columns).write.mode("append").partitionBy("event_date").option("compression", "zstd").parquet(written)
         added = _identifiers(_hashes(new_rows.select(*NODE)), F.col("event_date").cast("string").alias("place"))
         index = self.index.extend(old["index"], number, added, self.files)
         now = {d.rsplit("=", 1)[1] for d in self.files.directories(written)}

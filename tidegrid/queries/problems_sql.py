@@ -53,6 +53,13 @@ P3_FOUND = """with runs as (select arrival_time, max(prior_event_watermark) as w
 first as (select upper(trim(symbol)) as symbol, date as d, lower(trim(source)) as source, min(ingested_at) as a from prices where symbol is not null and date is not null group by all)
 select symbol, strftime(d, '%Y-%m-%d') as event_date, source from first join runs on a = arrival_time where d <= w and d >= w - 30"""
 
+P2_FILES = """with f as (
+  select coalesce(dataset, '__null__') as dataset, coalesce(partition_path, '__null__') as partition_path, coalesce(file_name, '__null__') as file_name, upper(trim(symbol)) as s, date as d, lower(trim(source)) as src
+  from lake_fragments where compaction_id is null and lower(trim(file_role)) = 'input'),
+once as (select dataset, partition_path, count(*) as n from (select distinct dataset, partition_path, s, d, src from f) group by 1, 2)
+select f.dataset, f.partition_path, count(distinct file_name) as files_before, count(*) as rows_before, max(n) as rows_after, count(*) - max(n) as duplicate_rows_removed, true as well_sized
+from f join once o on f.dataset = o.dataset and f.partition_path = o.partition_path group by 1, 2"""
+
 _P3 = """with runs as (select arrival_time, max(prior_event_watermark) as w from ingestion_runs where arrival_time is not null group by 1),
 timed as (
   select upper(trim(symbol)) as symbol, date as event_date, lower(trim(source)) as source, close, cast(volume as double) as volume, trim(source_record_id) as source_record_id, ingested_at as arrival, w as watermark,
@@ -138,4 +145,4 @@ window w7 as (partition by symbol, source order by trade_date rows between 6 pre
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_updates": P3_UPDATES, "p3_current": P3_CURRENT, "p3_dropped": P3_DROPPED, "p4_found": P4_FOUND, "p4_as_known": P4_ALL, "p7_found": P7_FOUND, "p7_totals": P7_TOTALS}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_files": P2_FILES, "p3_found": P3_FOUND, "p3_updates": P3_UPDATES, "p3_current": P3_CURRENT, "p3_dropped": P3_DROPPED, "p4_found": P4_FOUND, "p4_as_known": P4_ALL, "p7_found": P7_FOUND, "p7_totals": P7_TOTALS}
