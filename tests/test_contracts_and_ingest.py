@@ -2,7 +2,9 @@ import datetime as dt
 import io
 import json
 import random
+import threading
 import urllib.error
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow.parquet as pq
 import pytest
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.plans import ingest, lake as lake_mod
 from tidegrid.plans.ingest import Checkpoints, IdempotencyConflictError, Lake, backfill, fetch_window, incremental, range_backfill
-from tidegrid.plans.serving import QueryCache, QueryService, bounded
+from tidegrid.plans.serving import ArtifactMissing, QueryService, ResultCache, bounded
 from tidegrid.sources import contracts, readers
 from tidegrid.sources.contracts import CONTRACTS, MissingRequiredFieldError, validate, with_defaults
 from tidegrid.sources.readers import payload_rows
@@ -123,7 +125,7 @@ def test_replay_and_overlap(spark, lake):
 def test_quarantine_and_health_of_a_run(spark, lake):
     r = take(spark, lake, [*bars("2026-01-05"), *bars("2026-01-06", volume=-1)], run_id="q")
     assert (r.status, r.quarantined_rows, r.accepted_rows) == ("degraded", 1, 1)
-    assert QueryService(spark, f"{lake.root}/marts", lake).quarantine_summary() == [{"source": "test", "error_type": "contract_violation", "rows": 1}]
+    assert QueryService(spark, f"{lake.root}/marts", lake).quarantine_summary()["groups"] == [{"source": "test", "error_type": "contract_violation", "records": 1}]
 
 
 def test_a_crash_between_promotions_is_healed_by_replay(spark, lake):
@@ -207,29 +209,52 @@ def test_compaction_copies_the_files_without_surplus_copies(spark, lake):
     for d in ("2026-08-03", "2026-08-04", "2026-08-05"):
         take(spark, lake, bars(d))
     at = f"{lake.raw}/prices/year=2026/month=08"
-    first = spark.read.parquet(at).where("date = date'2026-08-03'")
+    first = held(spark, lake).select(*contracts.CONTRACTS["prices"].columns).where("date = date'2026-08-03'")
     first.withColumn("ingested_at", F.expr("ingested_at + interval 1 day")).coalesce(1).write.mode("append").parquet(at)
     newest = spark.read.parquet(at).agg(F.max("ingested_at")).first()[0]
     r = lake_mod.compact_partition(lake, "prices", 2026, 8)
     assert (r.rows_before, r.rows_after, r.duplicate_rows_removed) == (4, 3, 1)
-    after = spark.read.parquet(at).orderBy("date").collect()
+    after = held(spark, lake).orderBy("date").collect()
     assert [x.date.day for x in after] == [3, 4, 5] and after[0].ingested_at == newest
     made = [p for p, _, _ in lake.files.list(at) if p.endswith(".parquet")]
     assert sum(pq.ParquetFile(p.removeprefix("file:")).num_row_groups for p in made) == 3  # one decoded file would have one
 
 
-def test_compaction_rolls_back(spark, lake):
+@pytest.mark.parametrize("step", ["placed", "published"])
+def test_a_crash_of_a_compaction_leaves_the_old_or_the_new_state(spark, lake, step):
     for d in ("2026-08-03", "2026-08-04"):
         take(spark, lake, bars(d))
 
-    def crash(step, _):
-        if step == "after_archive_before_promotion":
+    def crash(at, folder):
+        if at == step:
+            assert held(spark, lake).count() == 2  # readers see each record once, before and after the switch
             raise RuntimeError("stop")
 
     with pytest.raises(RuntimeError):
         lake_mod.compact_partition(lake, "prices", 2026, 8, hook=crash)
     assert held(spark, lake).count() == 2
-    assert lake_mod.compact_partition(lake, "prices", 2026, 8).rows_after == 2
+    take(spark, lake, bars("2026-08-05"))
+    assert held(spark, lake).count() == 3 and lake_mod.compact_partition(lake, "prices", 2026, 8).rows_after == 3
+
+
+def test_compaction_bounds(spark, lake):
+    for bad in ({"year": 1, "month": 1}, {"year": 2026, "month": 13}):
+        with pytest.raises(ValueError):
+            lake_mod.compact_partition(lake, "prices", **bad)
+    for bad in ((1, 10), (2, 0)):
+        with pytest.raises(ValueError):
+            lake_mod.Policy(*bad)
+
+
+def test_a_build_knows_contents(spark, lake):
+    take(spark, lake, bars("2026-08-03"))
+    build = lake_mod.create_build(lake, ["prices"], lake_mod.code_hash(lake_mod.__file__.rsplit("/", 1)[0]), revision="abc")
+    assert build["datasets"]["prices"]["files"] == 1 and build["datasets"]["prices"]["rows"] == 1
+    path = lake_mod.dataset_files(spark, lake.raw, "prices")[0].removeprefix("file:")
+    data = bytearray(open(path, "rb").read())
+    data[10] ^= 1
+    open(path, "wb").write(bytes(data))
+    assert lake_mod.verify_build(lake, build["build_id"]) == [f"changed: {path.split('/raw/', 1)[1]}"]
 
 
 def test_audit_is_idempotent(spark, lake):
@@ -240,18 +265,55 @@ def test_audit_is_idempotent(spark, lake):
     assert {r["run_id"] for r in QueryService(spark, f"{lake.root}/marts", lake).runs(10)} == {"a", "b"}
 
 
+def test_all_audit_tables(spark, lake):
+    incremental(lake, "prices", payload_rows(spark, bars("2026-07-16")), "test", D(2026, 7, 31), initial=D(2026, 7, 16), now=NOW)
+    lake.files.publish_json(f"{lake.root}/metadata/quality/prices-test.json", {"dataset": "prices", "source": "test", "event_date": "2026-07-16", "status": "FAILED", "reason": "null_rate", "findings": [{"metric": "null_rate", "severity": "FAILED", "value": 0.5, "reason": "too many"}]})
+    lake.files.publish_json(f"{lake.root}/metadata/freshness/prices.json", {"dataset": "prices", "status": "stale", "lag_seconds": 7200.0, "evaluated_at": "2026-07-18"})
+    want = {"pipeline_runs": 1, "dataset_versions": 1, "quality_results": 3, "checkpoints": 1}
+    assert lake_mod.sync_all(lake) == want and lake_mod.sync_all(lake) == want
+    s = QueryService(spark, f"{lake.root}/marts", lake)
+    assert [(r["check_name"], r["status"], r["observed_value"]) for r in s.quality(10)] == [("freshness", "stale", 2.0), ("statistical_quality", "FAILED", None), ("null_rate", "FAILED", 0.5)]
+    version = lake_mod.audit_table(lake, "dataset_versions").first()
+    assert (version.dataset, version.partition, version.row_count, len(version.content_hash)) == ("prices", "year=2026/month=07", 1, 64)
+    assert s.readiness()["metadata_store"] is True
+    with pytest.raises(ArtifactMissing):
+        s.benchmarks()
+    lake.files.publish_json(f"{lake.root}/metadata/benchmarks.json", {"q": 1})
+    assert s.benchmarks() == {"q": 1}
+
+
 def test_cache():
     now = [0.0]
-    c = QueryCache(2, 10, lambda: now[0])
+    c = ResultCache(2, 10, lambda: now[0])
     made = []
-    get = lambda k: c.get_or_compute(k, lambda: made.append(k) or [k])
+    get = lambda k: c.get(k, lambda: made.append(k) or [k])
     get("a").append("changed")
-    assert get("a") == ["a"] and c.hits == 1
+    assert get("a") == ["a"] and c.stats()["hits"] == 1
     get("b"), get("c")
-    assert c.evictions == 1
+    assert c.stats()["evictions"] == 1 and c.stats()["entries"] == 2
     now[0] = 11
     get("c")
     assert made == ["a", "b", "c", "c"]
+    with pytest.raises(ZeroDivisionError):
+        c.get("bad", lambda: 1 / 0)
+    assert c.get("bad", lambda: 2) == 2 and c.stats()["uncached"]["p95_ms"] is not None
+    c.clear()
+    assert c.stats()["entries"] == 0 and c.stats()["hits"] == 0
+
+
+def test_cache_computes_a_wanted_key_once():
+    c, made, go = ResultCache(), [], threading.Event()
+
+    def slow():
+        go.wait(5)
+        made.append(1)
+        return {"x": 1}
+
+    with ThreadPoolExecutor(4) as pool:
+        jobs = [pool.submit(c.get, "k", slow) for _ in range(4)]
+        go.set()
+        assert [j.result() for j in jobs] == [{"x": 1}] * 4
+    assert len(made) == 1
 
 
 def test_service(spark, tmp_path):

@@ -30,10 +30,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.columns import lower_key, trim_key, upper_key
 from ..session import python_tasks
-from ..sources.storage import HadoopFiles, scratch, small_side, stash
+from ..sources.storage import HadoopFiles, arrow_fs, scratch, small_side, stash
 from .latest import keep_latest
 from .parquet_blocks import BlockCopier, BlockMismatch, FooterReader, Merged, footer_bytes
 
@@ -68,20 +69,11 @@ def _encode(table: pa.Table) -> bytes:
     return sink.getvalue()
 
 
-def _arrow_fs(path: str):
-    """A pyarrow file system and the path on it; file:/x and plain paths are local."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 class _File:
     """A file on any mounted file system that is read by place."""
 
     def __init__(self, path: str):
-        fs, at = _arrow_fs(path)
+        fs, at = arrow_fs(path)
         self.handle = fs.open_input_file(at)
 
     def size(self) -> int:
@@ -101,7 +93,7 @@ class _File:
 def _new_file(folder: str) -> Iterator[tuple[str, Any]]:
     """The path and the stream of a new file in the folder."""
     path = f"{folder}/part-{uuid.uuid4().hex}.parquet"
-    fs, at = _arrow_fs(path)
+    fs, at = arrow_fs(path)
     fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
     with fs.open_output_stream(at) as stream:
         yield path, stream
@@ -297,7 +289,7 @@ def _footers(listing: DataFrame) -> DataFrame:
     return stash(narrow.mapInPandas(run, "path string, length bigint, folder string, rows bigint, schema string"), "footers")
 
 
-def compact_files(spark: SparkSession, source: str, target: str, target_bytes: int = TARGET_BYTES, dedup_keys: Sequence[str] | None = None, latest: Sequence[str] = ()) -> DataFrame:
+def compact_files(spark: SparkSession, source: str, target: str, target_bytes: int = TARGET_BYTES, dedup_keys: Sequence[str] | None = None, latest: Sequence[str] = (), only: DataFrame | None = None) -> DataFrame:
     """Merge the Parquet files below ``source``, folder by folder, into files of about target_bytes below ``target``.
 
     Files whose schemas differ go to different files of the folder. With
@@ -307,7 +299,7 @@ def compact_files(spark: SparkSession, source: str, target: str, target_bytes: i
     latest the first by path. Work goes to a staging folder; after totals are validated the new files
     are renamed into place. Returns one CompactionResult row per folder; ``target``
     must not exist. Files without rows vanish; other files in ``source`` are left
-    alone.
+    alone, also Parquet files whose names aren't those of ``only`` (path), if given.
     """
     files = HadoopFiles(spark, target)
     if files.exists(target):
@@ -318,7 +310,7 @@ def compact_files(spark: SparkSession, source: str, target: str, target_bytes: i
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(source)
         .select("path", "length", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"))
     )
-    listing = _footers(found)
+    listing = _footers(found if only is None else found.join(only.select(F.substring_index("path", "/", -1).alias("_name")), F.substring_index("path", "/", -1) == F.col("_name"), "left_semi"))
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(source)
     base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     work = _without_copies(spark, listing, f"{staging}/rewritten", list(dedup_keys), list(latest)) if dedup_keys else listing.select("*", F.lit(0).cast("bigint").alias("surplus"))
@@ -370,16 +362,17 @@ def _kept_rows(spark: SparkSession, listing: DataFrame, columns: list[str]) -> D
     sample = listing.where("rows > 0").groupBy("schema").agg(F.min("path").alias("path")).limit(1).collect()
     held = spark.read.parquet(sample[0].path).select(*columns).schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.fields)
+    types = {f.name: to_arrow_type(f.dataType, timestamp_utc=True) for f in held.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                fs, at = _arrow_fs(path)
+                fs, at = arrow_fs(path)
                 with fs.open_input_file(at) as f:
                     first = 0
-                    for part in pq.ParquetFile(f).iter_batches(batch_size=50_000, columns=columns, use_threads=False):
+                    for part in pq.ParquetFile(f, coerce_int96_timestamp_unit="us").iter_batches(batch_size=50_000, columns=columns, use_threads=False):
                         n = part.num_rows
-                        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(first, first + n), pa.int64()), *[part.column(c) for c in columns]], names=["_path", "_row", *columns])
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(first, first + n), pa.int64()), *[part.column(c).cast(types[c]) for c in columns]], names=["_path", "_row", *columns])
                         first += n
 
     return listing.where("rows > 0").select("path").repartition(python_tasks(spark)).mapInArrow(run, f"_path string, _row bigint, {kinds}")
@@ -405,14 +398,16 @@ def _without_copies(spark: SparkSession, listing: DataFrame, parts: str, keys: l
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, folder, schema, drop in zip(pdf["path"], pdf["folder"], pdf["schema"], pdf["drop"]):
-                fs, at = _arrow_fs(path)
+                fs, at = arrow_fs(path)
                 with fs.open_input_file(at) as f:
-                    whole = pq.ParquetFile(f).read(use_threads=False)
+                    held = pq.ParquetFile(f, coerce_int96_timestamp_unit="us")
+                    old_times = any(held.schema.column(i).physical_type == "INT96" for i in range(len(held.schema)))  # kept as they are, so that schemas stay equal
+                    whole = held.read(use_threads=False)
                 keep = np.ones(whole.num_rows, dtype=bool)
                 keep[np.asarray(drop, dtype=np.int64)] = False
                 left = whole.filter(pa.array(keep))
                 with _new_file(parts) as (name, stream):
-                    pq.write_table(left, stream, compression="zstd")
+                    pq.write_table(left, stream, compression="zstd", use_deprecated_int96_timestamps=old_times, store_schema=False)
                 with _File(name) as f:
                     footer, signature = FooterReader().read(footer_bytes(f)[0])
                     size = f.size()
@@ -438,7 +433,7 @@ def write_small_files(fragments: DataFrame, root: str) -> DataFrame:
 
         def finish() -> pa.RecordBatch:
             path = f"{root}/{current[0]}/{current[1]}/{current[2].removesuffix('.parquet')}.parquet"
-            fs, at = _arrow_fs(path)
+            fs, at = arrow_fs(path)
             fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
             with fs.open_output_stream(at) as f:
                 pq.write_table(pa.Table.from_batches(pending), f, compression="zstd", use_dictionary=False, store_schema=False)

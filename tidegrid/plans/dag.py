@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import HadoopFiles
+from ..sources.storage import publish_table
 from . import checks, models
 
 Check = Callable[[DataFrame, Mapping[str, DataFrame]], DataFrame]
@@ -100,13 +100,12 @@ def select(models_: Mapping[str, Model], selector: str | None) -> list[str]:
 
 
 def build(spark: SparkSession, models_: Mapping[str, Model], sources: Mapping[str, DataFrame], target: str, selector: str | None = None) -> dict[str, dict]:
-    """Build the selected models in order. Tables go to target/<name> by an atomic swap, after their checks.
+    """Build the selected models in order. Tables become versions of target/<name>, after their checks; readers always find one.
 
     A failing check stops the build before its model is published. Models that
     several others read are persisted for the length of the build.
     """
     chosen, frames, report, held = select(models_, selector), dict(sources), {}, []
-    files = HadoopFiles(spark, target)
     needed = set(chosen) | {a for n in chosen for a in ancestors(models_, n)}
     try:
         for name in topological(models_):
@@ -118,15 +117,8 @@ def build(spark: SparkSession, models_: Mapping[str, Model], sources: Mapping[st
                 df = df.persist()
                 held.append(df)
             if m.kind == "table" and name in chosen:
-                side = f"{target}/_building/{name}"
-                files.delete(side)
                 began = time.monotonic()
-                df.write.option("compression", "zstd").parquet(side)
-                df = spark.read.parquet(side)
-                _hold(name, m, df, frames)
-                files.delete(f"{target}/{name}")
-                files.rename(side, f"{target}/{name}")
-                df = spark.read.parquet(f"{target}/{name}")
+                df = publish_table(df, f"{target}/{name}", lambda made, name=name, m=m: _hold(name, m, made, frames))
                 report[name] = {"kind": "table", "rows": df.count(), "seconds": round(time.monotonic() - began, 3)}
             elif name in chosen:
                 _hold(name, m, df, frames)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..sources import contracts
 from ..sources.contracts import CONTRACTS, Contract
 from ..sources.readers import read_dataset
-from ..sources.storage import HadoopFiles, stash
+from ..sources.storage import ConcurrentWriteError, HadoopFiles, Versions, stash
 from .quality import reconcile
 
 RUN_ID = re.compile(r"^[A-Za-z0-9._-]+$")
@@ -150,15 +150,25 @@ def backfill(
     fetched, bad = validated.count(), rejected.count()
     if bad:
         safe = re.sub(r"[^\w-]", "_", source)
-        rejected.coalesce(1).write.mode("errorifexists").json(f"{lake.root}/quarantine/source={safe}/run={re.sub(r'[^A-Za-z0-9_-]', '_', run_id)}")
-    retained = read_dataset(spark, lake.raw, dataset, contract.ddl()).select(*contract.columns)
-    before = key_count(retained, contract)
+        rejected.hint("rebalance").write.mode("errorifexists").json(f"{lake.root}/quarantine/source={safe}/run={re.sub(r'[^A-Za-z0-9_-]', '_', run_id)}")
+    event_date = F.to_date(contract.event_time)
+    # where the key holds the event date, only the batch's own months can hold one of its keys
+    months = None
+    if contract.event_time in contract.key:
+        named = validated.where(F.size("errors") == 0).select(F.concat(F.lit("year="), F.date_format(event_date, "yyyy"), F.lit("/month="), F.date_format(event_date, "MM")).alias("m")).distinct()
+        months = sorted(r.m for r in named.collect())  # calendar months
+
+    def held_now() -> DataFrame:
+        return read_dataset(spark, lake.raw, dataset, contract.ddl(), months).select(*contract.columns)
+
+    retained = held_now()
+    elsewhere = read_dataset(spark, lake.raw, dataset, contract.ddl()).count() - retained.count() if months is not None else 0  # counts come from the footers
+    before = elsewhere + key_count(retained, contract)
     judged = stash(classify(validated.where(F.size("errors") == 0).select(*contract.columns), retained, contract), "classified")
     kinds = {r["kind"]: r["count"] for r in judged.groupBy("kind").count().collect()}
     if kinds.get("conflict"):
         raise IdempotencyConflictError(f"{kinds['conflict']} keys arrive with values that differ from the retained ones")
     new = judged.where("kind = 'new'").drop("kind")
-    event_date = F.to_date(contract.event_time)
     staged = f"{lake.root}/_staging/{run_id}"
     new.withColumn("year", F.date_format(event_date, "yyyy")).withColumn("month", F.date_format(event_date, "MM")).repartition("year", "month").write.partitionBy("year", "month").option("compression", "zstd").parquet(staged)
     partitions = [(y, m) for y in files.directories(staged) for m in files.directories(y)]
@@ -170,20 +180,24 @@ def backfill(
     for _, month in partitions:
         inner = "/".join(month.rsplit("/", 2)[1:])
         into = f"{lake.raw}/{dataset}/{inner}"
-        if files.exists(lake.lock(f"{dataset}/{inner}")):
+        lock = lake.lock(f"{dataset}/{inner}")
+        if not files.create_exclusive(lock, run_id):
             raise PartitionLockedError(into)
-        files.mkdirs(into)
-        for i, (path, _, _) in enumerate(files.list(month)):
-            if path.endswith(".parquet"):
-                target = f"{into}/part-{run_id}-{i}.parquet"
-                say("before_promotion", target)
-                if files.exists(target):
-                    raise FileExistsError(target)
-                files.rename(path, target)
-                written.append(target)
-                say("after_promotion", target)
+        try:  # no compaction starts while files move in
+            files.mkdirs(into)
+            for i, (path, _, _) in enumerate(files.list(month)):
+                if path.endswith(".parquet"):
+                    target = f"{into}/part-{run_id}-{i}.parquet"
+                    say("before_promotion", target)
+                    if files.exists(target):
+                        raise FileExistsError(target)
+                    files.rename(path, target)
+                    written.append(target)
+                    say("after_promotion", target)
+        finally:
+            files.delete(lock)
     files.delete(staged)
-    after = key_count(read_dataset(spark, lake.raw, dataset, contract.ddl()).select(*contract.columns), contract)
+    after = elsewhere + key_count(held_now(), contract)
     accepted, repeated = kinds.get("new", 0), kinds.get("duplicate", 0)
     balance = reconcile(fetched, accepted, bad, repeated, accepted, before, after)
     files.publish_json(f"{lake.root}/metadata/reconciliation/{run_id}.json", asdict(balance))
@@ -194,8 +208,8 @@ def backfill(
     days = judged.select(event_date.alias("d"), "kind").agg(
         F.max("d").alias("last"), F.coalesce(F.count_if((F.col("kind") == "new") & late), F.lit(0)).alias("late"), F.min(F.when((F.col("kind") == "new") & late, F.col("d"))).alias("earliest")
     ).first()
-    sizes = {p: n for p, n, _ in files.list(f"{lake.raw}/{dataset}", recursive=True)}
     tail = {t.split("/raw/", 1)[1] for t in written}
+    sizes = {p: n for folder in {t.rsplit("/", 1)[0] for t in written} for p, n, _ in files.list(folder)}
     result = RunResult(
         run_id, dataset, "degraded" if bad else "success", fetched, accepted, bad, repeated, len(written), input_bytes, sum(n for p, n in sizes.items() if p.split("/raw/", 1)[1] in tail), round(time.monotonic() - began, 6),
         started.isoformat(), dt.datetime.now(dt.timezone.utc).isoformat(), days.last.isoformat() if days.last else None, run_type, requested[0].isoformat() if requested else None, requested[1].isoformat() if requested else None,
@@ -219,24 +233,34 @@ def fetch_window(checkpoint: dt.date | None, initial: dt.date | None, through: d
 
 
 class Checkpoints:
-    """Last successful event date per dataset and source; only moves forward."""
+    """Last successful event date per dataset and source; only moves forward, also if two runs advance it at once."""
 
     def __init__(self, lake: Lake):
         self.files, self.folder = lake.files, f"{lake.root}/metadata/checkpoints"
 
-    def _path(self, dataset: str, source: str) -> str:
-        return f"{self.folder}/{dataset}--{re.sub(r'[^A-Za-z0-9_-]', '_', source)}.json"
+    def _name(self, dataset: str, source: str) -> str:
+        return f"{dataset}--{re.sub(r'[^A-Za-z0-9_-]', '_', source)}"
+
+    def _versions(self, dataset: str, source: str) -> Versions:
+        return Versions(self.files, f"{self.folder}/{self._name(dataset, source)}")
 
     def get(self, dataset: str, source: str) -> dt.date | None:
-        path = self._path(dataset, source)
-        return dt.date.fromisoformat(json.loads(self.files.read_text(path))["event_date"]) if self.files.exists(path) else None
+        _, held = self._versions(dataset, source).read()
+        return dt.date.fromisoformat(held["event_date"]) if held else None
 
     def advance(self, dataset: str, source: str, day: dt.date, run_id: str) -> dt.date:
-        held = self.get(dataset, source)
-        if held is not None and held >= day:
-            return held
-        self.files.publish_json(self._path(dataset, source), {"dataset": dataset, "source": source, "event_date": day.isoformat(), "run_id": run_id})
-        return day
+        versions = self._versions(dataset, source)
+        while True:
+            number, held = versions.read()
+            if held and dt.date.fromisoformat(held["event_date"]) >= day:
+                return dt.date.fromisoformat(held["event_date"])
+            now = {"dataset": dataset, "source": source, "event_date": day.isoformat(), "run_id": run_id, "updated_at": dt.datetime.now(dt.timezone.utc).isoformat()}
+            try:
+                versions.replace(number, now)
+            except ConcurrentWriteError:
+                continue
+            self.files.publish_json(f"{self.folder}/{self._name(dataset, source)}.json", now)
+            return day
 
 
 def in_window(payloads: DataFrame, contract: Contract, start: dt.date, end: dt.date) -> DataFrame:

@@ -14,7 +14,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import HadoopFiles, scratch
+from .storage import HadoopFiles, PartitionLog, scratch
 
 
 class MissingDatasetError(FileNotFoundError):
@@ -58,21 +58,54 @@ def _fetched(spark: SparkSession, url: str) -> str:
     return target
 
 
-def dataset_files(spark: SparkSession, root: str, dataset: str) -> list[str]:
-    return [p for p, _, _ in HadoopFiles(spark, root).list(f"{root}/{dataset}", recursive=True) if p.endswith(".parquet") and "/_" not in p]
+def partition_files(spark: SparkSession, root: str, dataset: str, partition: str) -> list[str]:
+    """The files of a partition (year=…/month=…) that count."""
+    files = HadoopFiles(spark, root)
+    held = [p for p, _, _ in files.list(f"{root}/{dataset}/{partition}") if p.endswith(".parquet")]
+    return PartitionLog(files, root.rsplit("/", 1)[0], dataset).live(partition, held)
 
 
-def read_dataset(spark: SparkSession, root: str, dataset: str, ddl: str | None = None) -> DataFrame:
-    """A partitioned dataset with its year and month as strings; an absent one is a MissingDatasetError, or empty if ddl is given."""
+def dataset_files(spark: SparkSession, root: str, dataset: str) -> list[str]:
+    """All files of a dataset that count."""
+    files = HadoopFiles(spark, root)
+    log = PartitionLog(files, root.rsplit("/", 1)[0], dataset)
+    by_partition: dict[str, list[str]] = {}
+    for p, _, _ in files.list(f"{root}/{dataset}", recursive=True):
+        if p.endswith(".parquet") and "/_" not in p:
+            by_partition.setdefault("/".join(p.rsplit("/", 3)[1:3]), []).append(p)
+    compacted = set(log.compacted())
+    return sorted(p for part, paths in by_partition.items() for p in (log.live(part, paths) if part in compacted else paths))
+
+
+def read_dataset(spark: SparkSession, root: str, dataset: str, ddl: str | None = None, partitions: Sequence[str] | None = None) -> DataFrame:
+    """A partitioned dataset with its year and month as strings; an absent one is a MissingDatasetError, or empty if ddl is given.
+
+    partitions: year=…/month=… folders to read; the others aren't even listed.
+    Folders that were never compacted are read as folders, so that Spark lists and
+    prunes them; of the others the files that count are named.
+    """
     path = f"{root}/{dataset}"
-    if not dataset_files(spark, root, dataset):
+    files = HadoopFiles(spark, root)
+    log = PartitionLog(files, root.rsplit("/", 1)[0], dataset)
+    compacted = set(log.compacted())
+    if partitions is not None:
+        there = [p for p in partitions if files.exists(f"{path}/{p}")]
+    elif compacted:
+        there = ["/".join(m.rsplit("/", 2)[1:]) for y in files.directories(path) for m in files.directories(y)]
+    else:
+        there = None
+    if there is None:
+        paths = [path] if dataset_files(spark, root, dataset) else []
+    else:
+        paths = [x for p in there for x in (partition_files(spark, root, dataset, p) if p in compacted else [f"{path}/{p}"] if files.list(f"{path}/{p}") else [])]
+    if not paths:
         if ddl is None:
             raise MissingDatasetError(path)
         return spark.createDataFrame([], f"{ddl}, year string, month string")
     reader = spark.read.option("basePath", path)
     if ddl is not None:
         reader = reader.schema(f"{ddl}, year string, month string")
-    return reader.parquet(path)
+    return reader.parquet(*paths)
 
 
 def read_files(spark: SparkSession, files: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:

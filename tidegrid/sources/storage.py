@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs as fs_
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +38,35 @@ def small_side(stashed: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(stashed) if n <= rows else stashed.hint("merge")
 
 
+def file_digests(spark: SparkSession, paths: DataFrame, part: int = 8 << 20) -> DataFrame:
+    """path, bytes, sha256, rows (null: no Parquet) of files named in a column ``path``; contents stream through the executors in parts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for path in pdf["path"]:
+                fs, at = arrow_fs(path)
+                digest, size, rows = hashlib.sha256(), 0, None
+                with fs.open_input_file(at) as f:
+                    while data := f.read(part):
+                        digest.update(data)
+                        size += len(data)
+                    if at.endswith(".parquet"):
+                        f.seek(0)
+                        rows = pq.ParquetFile(f).metadata.num_rows
+                found.append((path, size, digest.hexdigest(), rows))
+            yield pd.DataFrame(found, columns=["path", "bytes", "sha256", "rows"]).astype({"rows": "Int64"})
+
+    return paths.select("path").repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(run, "path string, bytes bigint, sha256 string, rows bigint")
+
+
+def arrow_fs(path: str):
+    """A pyarrow file system and the path on it; file:/x and plain paths are local."""
+    if path.startswith("file:"):
+        return fs_.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs_.FileSystem.from_uri(path) if "://" in path else (fs_.LocalFileSystem(), path)
+
+
 class ConcurrentWriteError(RuntimeError):
     """Another writer published first; nothing was changed, and the work can be done again."""
 
@@ -146,3 +180,74 @@ class Versions:
         for n, p in self._all():
             if n <= number + 1 - self.keep:
                 self.files.delete(p)
+
+
+def publish_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] | None = None, keep: int = 2) -> DataFrame:
+    """Write df as the next version of the table at ``path`` and make it current by one new file; ``check`` may refuse it before.
+
+    A reader finds the version before or this one, never none; versions older than
+    the last ``keep`` are deleted.
+    """
+    spark = df.sparkSession
+    files = HadoopFiles(spark, path)
+    versions = Versions(files, f"{path}/_versions", keep)
+    number, old = versions.read()
+    name = f"v={number + 1:06d}-{uuid.uuid4().hex[:8]}"
+    df.write.option("compression", "zstd").parquet(f"{path}/{name}")
+    written = spark.read.schema(df.schema).parquet(f"{path}/{name}")
+    try:
+        if check:
+            check(written)
+        kept = [name, *(old or {"folders": []})["folders"]]
+        versions.replace(number, {"folders": kept[:keep]})
+    except BaseException:
+        files.delete(f"{path}/{name}")
+        raise
+    for gone in kept[keep:]:
+        files.delete(f"{path}/{gone}")
+    return written
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table, or the folder itself where no versions were published."""
+    _, held = Versions(HadoopFiles(spark, path), f"{path}/_versions").read()
+    return spark.read.parquet(f"{path}/{held['folders'][0]}" if held else path)
+
+
+class PartitionLog:
+    """Which files of a partition count, for partitions that were compacted.
+
+    Files named ``compact-<id>-…`` count if their id was published, all others unless
+    they were retired. One new version changes both at once, so no live folder is moved.
+    """
+
+    def __init__(self, files: HadoopFiles, root: str, dataset: str):
+        self.files, self.root, self.dataset = files, f"{root}/metadata/partition_log/{dataset}", dataset
+
+    def _versions(self, partition: str) -> Versions:
+        return Versions(self.files, f"{self.root}/{partition.replace('/', '--')}")
+
+    def compacted(self) -> list[str]:
+        """Partitions (year=…/month=…) that have a log."""
+        return [d.rsplit("/", 1)[1].replace("--", "/") for d in self.files.directories(self.root)]
+
+    def read(self, partition: str) -> tuple[int, dict]:
+        number, held = self._versions(partition).read()
+        return number, held or {"retired": [], "published": []}
+
+    def open(self, partition: str) -> int:
+        """The current version's number; from the first one on, readers ask the log which files count."""
+        number, _ = self.read(partition)
+        if number == 0:
+            self._versions(partition).replace(0, {"retired": [], "published": []})
+        return max(number, 1)
+
+    def live(self, partition: str, paths: list[str]) -> list[str]:
+        _, held = self.read(partition)
+        retired, known = set(held["retired"]), set(held["published"])
+        names = [(p, p.rsplit("/", 1)[1]) for p in paths]
+        return [p for p, n in names if n not in retired and (not n.startswith("compact-") or n.removeprefix("compact-").rsplit("-", 1)[0] in known)]
+
+    def swap(self, partition: str, number: int, retired: list[str], compaction: str) -> None:
+        _, held = self.read(partition)
+        self._versions(partition).replace(number, {"retired": sorted({*held["retired"], *retired}), "published": sorted({*held["published"], compaction})})
