@@ -119,7 +119,7 @@ def int_macro_aligned(stg: DataFrame, dates: DataFrame) -> DataFrame:
     available = stg.select(
         "series_id", "source", "macro_observation_key", "observation_date", "released_at", F.greatest("observation_date", F.to_date(F.coalesce("released_at", F.col("observation_date").cast("timestamp")))).alias("available_date"), "value", "unit", "frequency", "ingested_at",
     )
-    out = asof_join(grid, available, ["series_id", "source"], "trade_date", "available_date", tie_break=["observation_date", "ingested_at", "macro_observation_key"])
+    out = asof_join(grid, available, ["series_id", "source"], "trade_date", "available_date", tie_break=["observation_date", "ingested_at", "macro_observation_key"], distinct=True)
     return out.select("trade_date", "series_id", "source", "macro_observation_key", "observation_date", "released_at", "available_date", "value", "unit", "frequency")
 
 
@@ -182,7 +182,7 @@ def mart_pipeline_dataset_health(staged: dict[str, DataFrame], runs: DataFrame,
     latest = keep_latest(held, ["dataset"], ["completed_at", "run_id"], ["dataset", "quarantined_rows"])
     good = keep_latest(held.where("status = 'success'"), ["dataset"], ["completed_at", "run_id"], ["dataset", "run_id", "completed_at"])
     bad = F.coalesce("quarantined_rows", F.lit(0))
-    return metrics.join(F.broadcast(latest), "dataset", "left").join(F.broadcast(good), "dataset", "left").select(  # one row per dataset
+    return metrics.join(latest, "dataset", "left").join(good, "dataset", "left").select(
         "dataset", F.col("run_id").alias("last_successful_run"), F.col("completed_at").alias("last_successful_run_at"), "latest_event_time", minutes_between("latest_event_time", as_of).alias("freshness_minutes"),
         "row_count", "null_rate", "duplicate_count", bad.alias("quarantine_count"),
         F.when(F.col("row_count") == 0, "empty").when((F.col("duplicate_count") > 0) | (F.col("null_rate") > 0) | (bad > 0), "degraded").when(F.col("run_id").isNull(), "unknown").otherwise("healthy").alias("status"),
@@ -217,7 +217,7 @@ def mart_stream_anomalies(events: DataFrame, daily: DataFrame, market: DataFrame
     context = trailing_context(daily).withColumnRenamed("trade_date", "context_trade_date").withColumnRenamed("source", "_context_source")
     with_bars = asof_join(e, context, ["symbol"], "_day", "context_trade_date", strict=True, tie_break=["_context_source"])
     # market days are few (a calendar): the as-of is one small join by the event's day
-    days = asof_join(with_bars.select("_day").distinct().withColumn("_k", F.lit(1)), market_context(market).withColumn("_k", F.lit(1)), ["_k"], "_day", "trade_date", strict=True).select("_day", "recent_5d_market_return")
+    days = asof_join(with_bars.select("_day").distinct().withColumn("_k", F.lit(1)), market_context(market).withColumn("_k", F.lit(1)), ["_k"], "_day", "trade_date", strict=True, distinct=True).select("_day", "recent_5d_market_return")
     with_market = with_bars.join(days, "_day", "left")
     known = surprises.select("symbol", F.col("event_timestamp").alias("latest_earnings_timestamp"), F.col("event_status").alias("latest_earnings_status"), F.col("eps_surprise").alias("latest_eps_surprise"), F.col("eps_surprise_percent").alias("latest_eps_surprise_percent"), F.col("source_record_id").alias("_record"))
     out = asof_join(with_market, known, ["symbol"], "event_timestamp", "latest_earnings_timestamp", strict=True, tie_break=["_record"])
