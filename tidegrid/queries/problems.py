@@ -19,6 +19,11 @@ def p1_regular(spark: SparkSession, d: str) -> DataFrame:
     return regrid.regrid(table(spark, d, "macro_readings"), table(spark, d, "trading_days"))
 
 
+def p1_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The grid without what the smoother estimates."""
+    return p1_regular(spark, d).select("series_id", "source", "frequency", "period_start", "readings", F.round("observed", 6).alias("observed"), "is_missing")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return p1_regular(spark, d).where("is_missing").select("series_id", "source", iso_day("period_start").alias("period_start"))
 
@@ -92,22 +97,26 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.score_readings(table(spark, d, "prices"), only_flagged=True).select("symbol", iso_day("event_date").alias("event_date"), "source", "field")
 
 
-def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
+def _figures(spark: SparkSession, d: str) -> DataFrame:
     return trailing.rolling_bars(table(spark, d, "prices"), table(spark, d, "trading_days"))
 
 
+def p7_rolling(spark: SparkSession, d: str) -> DataFrame:
+    return _figures(spark, d).withColumns({c: F.round(c, 8) for c in ("daily_return", *FIGURES)})
+
+
 def p7_totals(spark: SparkSession, d: str) -> DataFrame:
     bars = trailing.contract_bars(table(spark, d, "prices"))
     return trailing.trailing_totals(bars, ["symbol", "source"], "trade_date", {"volume": "volume"}, (7, 30))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    wrong = trailing.wrong_figures(table(spark, d, "expected_metrics"), p7_rolling(spark, d), FIGURES)
+    wrong = trailing.wrong_figures(table(spark, d, "expected_metrics"), _figures(spark, d), FIGURES)
     return wrong.select("symbol", iso_day("trade_date").alias("trade_date"), "source")
 
 
 def queries() -> dict[str, Query]:
     return {
         f.__name__: f
-        for f in (p1_found, p1_regular, p2_found, p2_compacted, p2_files, p3_found, p3_updates, p3_current, p3_dropped, p4_found, p4_as_known, p5_found, p5_deduplicated, p6_found, p6_scored, p7_found, p7_rolling, p7_totals)
+        for f in (p1_found, p1_regular, p1_grid, p2_found, p2_compacted, p2_files, p3_found, p3_updates, p3_current, p3_dropped, p4_found, p4_as_known, p5_found, p5_deduplicated, p6_found, p6_scored, p7_found, p7_rolling, p7_totals)
     }

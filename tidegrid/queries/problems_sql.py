@@ -16,7 +16,7 @@ last as (
   select *, row_number() over (partition by source, rid order by ingested_at desc, series_id desc, d desc, value desc) as r
   from cleaned where d is not null and (released_at is null or released_at <= ingested_at)),
 readings as (
-  select l.series_id, l.source, f.frequency,
+  select l.series_id, l.source, f.frequency, l.value,
          case f.frequency when 'DAILY' then l.d when 'WEEKLY' then cast(date_trunc('week', l.d) as date) when 'MONTHLY' then cast(date_trunc('month', l.d) as date)
               when 'QUARTERLY' then cast(date_trunc('quarter', l.d) as date) else cast(date_trunc('year', l.d) as date) end as p
   from last l join freq f on l.series_id = f.series_id
@@ -35,6 +35,11 @@ select g.series_id, g.source, strftime(g.p, '%Y-%m-%d') as period_start from gri
 left join (select distinct series_id, source, p from readings) r on r.series_id = g.series_id and r.source is not distinct from g.source and r.p = g.p
 where r.p is null"""
 
+P1_GRID = f"""with {_MACRO}, held as (select series_id, source, frequency, p, count(*) as n, avg(value) as mean from readings group by all)
+select g.series_id, g.source, b.frequency, g.p as period_start, coalesce(h.n, 0) as readings, round(h.mean, 6) as observed, h.n is null as is_missing
+from grid g join bounds b on b.series_id = g.series_id and b.source is not distinct from g.source
+left join held h on h.series_id = g.series_id and h.source is not distinct from g.source and h.p = g.p"""
+
 P2_FOUND = """with f as (
   select compaction_id as c, lower(trim(file_role)) as role, file_name, upper(trim(symbol)) as s, date as d, lower(trim(source)) as src, close, volume, ingested_at, trim(source_record_id) as rid
   from lake_fragments where compaction_id is not null),
@@ -98,6 +103,32 @@ ranked as (
 P4_FOUND = f"{P4_AS_KNOWN} select request_id, source_record_id from ranked where r = 1 and source_record_id is not null"
 P4_ALL = f"{P4_AS_KNOWN} select request_id, symbol, metric_name, source, trade_date, period_end, filed_at, ingested_at, source_record_id, value from ranked where r = 1"
 
+P6_FOUND = """with last_ as (select symbol, d, source, close, volume from (
+  select upper(trim(symbol)) as symbol, date as d, lower(trim(source)) as source, close, cast(volume as double) as volume, row_number() over (partition by upper(trim(symbol)), date, lower(trim(source)) order by ingested_at desc, trim(source_record_id) desc, close desc nulls last, volume desc nulls last) as r
+  from prices where symbol is not null and date is not null) where r = 1),
+readings as (select symbol, source, 'close' as field, d, close as v from last_ where close is not null and not isnan(close) union all select symbol, source, 'volume', d, volume from last_ where volume is not null),
+runs as (select *, sum(fresh) over (partition by symbol, source, field order by d) as run from (
+  select *, case when v = lag(v) over (partition by symbol, source, field order by d) then 0 else 1 end as fresh from readings)),
+marked as (select *, count(*) over (partition by symbol, source, field, run) as run_length, case field when 'close' then v <= 0 else v < 0 end as impossible from runs),
+logs as (select symbol, source, field, d, case when v = 0 then cast('-infinity' as double) else ln(v) end as x, row_number() over w - 1 as pos, count(*) over (partition by symbol, source, field) as n from marked where not impossible window w as (partition by symbol, source, field order by d)),
+moves as (select symbol, source, field, abs(x - lag(x) over (partition by symbol, source, field order by d)) as move from logs),
+sizes as (select symbol, source, field, median(move) as m, median(move) filter (where move > 0) as positive from moves where move is not null and isfinite(move) group by all),
+usual as (select symbol, source, field, greatest(coalesce(case when m is null or m = 0 then least(positive, 0.01) else m end, 0.0001) * 0.7979 / 0.6745, 0.0001) as u from sizes),
+around as (select a.symbol, a.source, a.field, a.d, quantile_disc(b.x, 0.5) as low, -quantile_disc(-b.x, 0.5) as high from logs a join logs b on a.symbol = b.symbol and a.source is not distinct from b.source and a.field = b.field
+  and b.pos between least(greatest(a.pos - 4, 0), greatest(a.n - 9, 0)) and least(greatest(a.pos - 4, 0), greatest(a.n - 9, 0)) + 8 where a.n > 4 group by a.symbol, a.source, a.field, a.d),
+far as (select l.*, u, case when l.x = low and l.x = high then 0 else greatest(least((l.x - (low + high) / 2) / u, 1000), -1000) end as away from logs l
+  join around using (symbol, field, d) join usual using (symbol, field) where around.source is not distinct from l.source and usual.source is not distinct from l.source),
+sides as (select *, case when away > 9 then 1 when away < -9 then -1 else 0 end as side from far),
+grouped as (select *, sum(step) over (partition by symbol, source, field order by d) as g from (select *, case when side = lag(side) over (partition by symbol, source, field order by d) then 0 else 1 end as step from sides)),
+spans as (select symbol, source, field, g, side, min(pos) as a, max(pos) + 1 as b, min(abs(away)) as least_away, max(n) as n, max(u) as u from grouped where side <> 0 group by all having count(*) <= 3),
+edges as (select s.*, (greatest(fx.x, -1e6 * s.u) - greatest(bx.x, -1e6 * s.u)) / s.u * side as back, (greatest(lx.x, -1e6 * s.u) - greatest(ax.x, -1e6 * s.u)) / s.u * side as forth from spans s
+  left join logs fx on fx.symbol = s.symbol and fx.source is not distinct from s.source and fx.field = s.field and fx.pos = s.a left join logs bx on bx.symbol = s.symbol and bx.source is not distinct from s.source and bx.field = s.field and bx.pos = s.a - 1
+  left join logs lx on lx.symbol = s.symbol and lx.source is not distinct from s.source and lx.field = s.field and lx.pos = s.b - 1 left join logs ax on ax.symbol = s.symbol and ax.source is not distinct from s.source and ax.field = s.field and ax.pos = s.b),
+spikes as (select g.symbol, g.source, g.field, g.d from grouped g join edges e on g.symbol = e.symbol and g.source is not distinct from e.source and g.field = e.field and g.g = e.g
+  where (e.a >= 4 and e.n - e.b >= 4) or ((back is null or back * 1.5 > least_away) and (forth is null or forth * 1.5 > least_away)))
+select distinct symbol, strftime(d, '%Y-%m-%d') as event_date, source, field from (
+  select symbol, source, field, d from marked where impossible or run_length >= 5 union all select symbol, source, field, d from spikes)"""
+
 _BARS = """
 bars as (
   select symbol, d, source, close, volume from (
@@ -128,6 +159,9 @@ where a is null or b is null or c is null or rolling_20d_return is null or rolli
    or (abs(b - rolling_20d_volatility) > 0.001 * abs(rolling_20d_volatility) and abs(b - rolling_20d_volatility) > 0.00001)
    or (abs(c - average_volume_20d) > 0.001 * abs(average_volume_20d) and abs(c - average_volume_20d) > 0.00001)"""
 
+P7_ROLLING = f"""with {_BARS}
+select symbol, source, is_active, close, volume, round(daily_return, 8) as daily_return, round(rolling_20d_return, 8) as rolling_20d_return, round(rolling_20d_volatility, 8) as rolling_20d_volatility, round(average_volume_20d, 8) as average_volume_20d, d as trade_date from figures"""
+
 P7_TOTALS = f"""with {_BARS.split('days as')[0].rstrip().rstrip(',')},
 span as (select symbol, source, min(d) as a, max(d) as b from bars group by symbol, source),
 dense as (
@@ -145,4 +179,4 @@ window w7 as (partition by symbol, source order by trade_date rows between 6 pre
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_files": P2_FILES, "p3_found": P3_FOUND, "p3_updates": P3_UPDATES, "p3_current": P3_CURRENT, "p3_dropped": P3_DROPPED, "p4_found": P4_FOUND, "p4_as_known": P4_ALL, "p7_found": P7_FOUND, "p7_totals": P7_TOTALS}
+    return {"p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p2_files": P2_FILES, "p3_found": P3_FOUND, "p3_updates": P3_UPDATES, "p3_current": P3_CURRENT, "p3_dropped": P3_DROPPED, "p4_found": P4_FOUND, "p4_as_known": P4_ALL, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_rolling": P7_ROLLING, "p7_totals": P7_TOTALS}

@@ -8,6 +8,7 @@ order tables, in the same way on both sides.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from ..operators.asof import asof_join, interval_join
 from ..operators.latest import keep_latest
 from ..plans import models
 from ..session import table
+from ..sources.contracts import CONTRACTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -332,7 +334,8 @@ def calendar_generate(s, d):
 
 @query("select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) as gross from lineitem")
 def lateral_alias(s, d):
-    return table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice * (1 - l_discount) as net0", "l_tax").selectExpr("l_orderkey", "l_linenumber", "round(net0, 4) as net", "round(net0 * (1 + l_tax), 6) as gross")
+    one = table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice * (1 - l_discount) as net0", "round(net0, 4) as net", "round(net0 * (1 + l_tax), 6) as gross")
+    return one.drop("net0")
 
 
 @query("select case upper(trim(frequency)) when 'D' then 'DAILY' when 'W' then 'WEEKLY' when 'M' then 'MONTHLY' when 'Q' then 'QUARTERLY' when 'A' then 'ANNUAL' else upper(trim(frequency)) end as frequency, count(*) as n from macro_readings group by 1")
@@ -354,9 +357,13 @@ def url_filter(s, d):
     return n.where((F.length(F.trim("headline")) > 0) & web).select("source_record_id", "url")
 
 
-@query("select symbol, date, source_record_id from prices where date is null or date between date '2025-03-01' and date '2025-03-31'")
+@query("select symbol, cast(date as varchar) as date, source_record_id from prices where date is null or date between date '2025-03-01' and date '2025-03-31'")
 def event_window_filter(s, d):
-    return table(s, d, "prices").where("date is null or date between date'2025-03-01' and date'2025-03-31'").select("symbol", "date", "source_record_id")
+    """Ingestion's own window: rows in it and, for quarantine, those without a readable date."""
+    from ..plans.ingest import in_window
+
+    picked = in_window(price_payloads(s, d), CONTRACTS["prices"], dt.date(2025, 3, 1), dt.date(2025, 3, 31))
+    return picked.select(*[F.get_json_object("payload", f"$.{c}").alias(c) for c in ("symbol", "date", "source_record_id")])
 
 
 @query("select symbol, date, close from prices, (select max(date) as latest from prices) where date > latest - interval 12 month and date <= latest")
@@ -396,24 +403,23 @@ def runs_latest(s, d):
     return table(s, d, "ingestion_runs").select("run_id", "dataset", "status", "completed_at").distinct().orderBy(F.desc("completed_at"), F.desc("run_id")).limit(100)
 
 
-_CLASSIFY = """with rows_ as (select upper(trim(symbol)) as symbol, date as trade_date, lower(trim(source)) as source, close, volume, ingested_at, date_trunc('month', ingested_at) as m from prices where symbol is not null and date is not null),
+_CLASSIFY = """with rows_ as (select upper(trim(symbol)) as symbol, date, lower(trim(source)) as source, open, high, low, close, volume, ingested_at from prices where symbol is not null and date is not null),
 cut as (select max(ingested_at) - interval 90 day as t from rows_),
-old as (select symbol, trade_date, source, max(close) as close, max(volume) as volume, count(distinct (close, volume)) as variants from rows_, cut where ingested_at <= t group by all),
-fresh as (select symbol, trade_date, source, close, volume from rows_, cut where ingested_at > t)
+old as (select symbol, date, source, max((open, high, low, close, volume)) as held, count(distinct (open, high, low, close, volume)) as variants from rows_, cut where ingested_at <= t group by all),
+fresh as (select symbol, date, source, (open, high, low, close, volume) as now from rows_, cut where ingested_at > t)
 """
 
 
-@query(_CLASSIFY + "select case when o.symbol is null then 'new' when o.variants = 1 and f.close is not distinct from o.close and f.volume is not distinct from o.volume then 'duplicate' else 'conflict' end as kind, count(*) as n from fresh f left join old o on f.symbol = o.symbol and f.trade_date = o.trade_date and f.source = o.source group by 1")
+@query(_CLASSIFY + "select case when o.symbol is null then 'new' when o.variants = 1 and f.now is not distinct from o.held then 'duplicate' else 'conflict' end as kind, count(*) as n from fresh f left join old o on f.symbol = o.symbol and f.date = o.date and f.source = o.source group by 1")
 def dedup_classify(s, d):
-    """Incoming rows against retained keys: new, duplicate (same values) or conflict."""
-    keys = ["symbol", "trade_date", "source"]
-    rows = table(s, d, "prices").select(upper_key("symbol").alias("symbol"), F.col("date").alias("trade_date"), lower_key("source").alias("source"), "close", "volume", "ingested_at").where("symbol is not null and trade_date is not null")
+    """Ingestion's own classification of incoming rows against retained ones: new, duplicate (same values) or conflict."""
+    from ..plans.ingest import classify
+
+    rows = table(s, d, "prices").select(upper_key("symbol").alias("symbol"), "date", "open", "high", "low", "close", "volume", lower_key("source").alias("source"), "source_record_id", "ingested_at").where("symbol is not null and date is not null")
     cut = rows.agg((F.max("ingested_at") - F.expr("interval 90 days")).alias("t"))
-    marked = rows.join(F.broadcast(cut))
-    old = marked.where("ingested_at <= t").groupBy(*keys).agg(F.max("close").alias("old_close"), F.max("volume").alias("old_volume"), F.count_distinct(F.struct("close", "volume")).alias("variants"))
-    same = (F.col("variants") == 1) & F.col("close").eqNullSafe(F.col("old_close")) & F.col("volume").eqNullSafe(F.col("old_volume"))
-    out = marked.where("ingested_at > t").join(old, keys, "left")
-    return out.groupBy(F.when(F.col("variants").isNull(), "new").when(same, "duplicate").otherwise("conflict").alias("kind")).agg(F.count("*").alias("n"))
+    marked = rows.join(F.broadcast(cut))  # one row
+    old, fresh = marked.where("ingested_at <= t").drop("t"), marked.where("ingested_at > t").drop("t")
+    return classify(fresh, old, CONTRACTS["prices"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
@@ -487,11 +493,13 @@ def bucket_agg(s, d):
     return table(s, d, "lineitem").groupBy((F.col("l_orderkey") % 11).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
-@query()
+@query(f"""with {_STG}, marks as (select *, md5(concat_ws('|', symbol, strftime(trade_date, '%Y-%m-%d'), source, cast(cast(round(close * 10000) as bigint) as varchar), cast(volume as varchar))) as m from stg_prices)
+select count(*) as n, cast(sum(cast(('0x' || substring(m, 1, 8)) as bigint)) as bigint) as hash, cast(sum(volume) as bigint) as volume, min(trade_date) as first, max(trade_date) as last from marks""")
 def fingerprint(s, d):
-    """An order-insensitive fingerprint of the staged bars; the hash is the engine's own, so there is no SQL twin."""
-    p = staged_prices(s, d)
-    return p.agg(F.count("*").alias("n"), F.sum(F.xxhash64("symbol", "trade_date", "source", "close", "volume").cast("decimal(38,0)")).alias("hash"), F.sum("volume").alias("volume"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))
+    """An order-insensitive fingerprint of the staged bars: the sum of 32 bits of each row's md5."""
+    mark = F.md5(F.concat_ws("|", "symbol", F.date_format("trade_date", "yyyy-MM-dd"), "source", F.round(F.col("close") * 10000).cast("bigint").cast("string"), F.col("volume").cast("string")))
+    p = staged_prices(s, d).withColumn("_m", F.conv(F.substring(mark, 1, 8), 16, 10).cast("bigint"))
+    return p.agg(F.count("*").alias("n"), F.sum("_m").alias("hash"), F.sum("volume").alias("volume"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))
 
 
 @query(f"with {_RET}, {_MARKET} select cast(date_trunc('month', trade_date) as date) as month, round(product(1.0 + mean_return) - 1.0, 6) as compounded from market_ group by 1")
@@ -543,7 +551,9 @@ def quality_status(s, d):
 
 @query("select lower(trim(source)) as source, percentile_disc(0.95) within group (order by close) as p95 from (select source, close from prices where close is not null) group by 1")
 def p95_nearest_rank(s, d):
-    return table(s, d, "prices").where("close is not null").groupBy(lower_key("source").alias("source")).agg(F.expr("percentile_disc(0.95) within group (order by close)").alias("p95"))
+    from ..operators.ranks import nearest_rank
+
+    return nearest_rank(table(s, d, "prices").select(lower_key("source").alias("source"), "close"), "source", "close", 0.95, "p95")
 
 
 @query("select date_trunc('hour', event_timestamp) as window_start, event_type, count(*) as n from stream_events group by 1, 2")
@@ -553,61 +563,191 @@ def hourly_event_buckets(s, d):
     return e.where("event_timestamp is not null").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
-@query("""with ranked as (select *, row_number() over (partition by lower(trim(event_id)) order by ingested_at, delivery_id) as a, row_number() over (partition by source_topic, kafka_partition, kafka_offset order by ingested_at, delivery_id) as b from stream_events)
-select count(*) as deliveries, count(*) filter (where a > 1) as repeated_ids, count(*) filter (where b > 1) as repeated_places, count(*) filter (where a = 1 and b = 1) as first_of_both from ranked""")
+_GOOD_EVENT = "trim(event_id) <> '' and trim(symbol) <> '' and trim(event_type) <> '' and event_timestamp is not null"
+
+
+@query(f"""with good as (select *, row_number() over (partition by lower(trim(event_id)) order by source_topic, delivery_id) as r from stream_events where {_GOOD_EVENT})
+select count(*) as polled_messages, (select count(*) from good where r = 1) as accepted_events, (select count(*) from good where r > 1) as duplicate_events, count(*) - (select count(*) from good) as quarantined_events from stream_events""")
 def stream_dedup(s, d):
-    """Repeats by either identity, counted by aggregation. The exact, order-dependent rule is p5_found."""
-    e = table(s, d, "stream_events").select(F.lower(F.trim("event_id")).alias("e"), F.struct("source_topic", "kafka_partition", "kafka_offset").alias("c"), F.struct("ingested_at", "delivery_id").alias("o"))
-    me, mc = e.groupBy("e").agg(F.min("o").alias("me")), e.groupBy("c").agg(F.min("o").alias("mc"))
-    j = e.join(me, "e").join(mc, "c")
-    a, b = F.col("o") != F.col("me"), F.col("o") != F.col("mc")
-    return j.agg(F.count("*").alias("deliveries"), F.count_if(a).alias("repeated_ids"), F.count_if(b).alias("repeated_places"), F.count_if(~a & ~b).alias("first_of_both"))
+    """All messages as one batch of the event lake, at positions of their own, so that event_id alone decides. The rule with both identities is p5_found."""
+    from ..sources.storage import scratch
+    from ..streaming.bridge import EventLake
+
+    e = table(s, d, "stream_events")
+    at = F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    value = F.to_json(F.struct("event_id", "symbol", at.alias("event_timestamp"), "event_type", F.when(~F.isnan("price"), F.col("price")).alias("price"), F.when(~F.isnan("anomaly_score"), F.col("anomaly_score")).alias("anomaly_score")))
+    r = EventLake(s, scratch(s, "event-lake")).take_batch(e.select(F.col("source_topic").alias("topic"), F.lit(0).alias("partition"), F.col("delivery_id").alias("offset"), value.alias("value")), "all")
+    return s.createDataFrame([(r.polled_messages, r.accepted_events, r.duplicate_events, r.quarantined_events)], "polled_messages bigint, accepted_events bigint, duplicate_events bigint, quarantined_events bigint")
 
 
-@query("select p.source, count(*) as late_rows, min(p.date) as earliest from (select lower(trim(source)) as source, date, ingested_at from prices where date is not null) p join (select arrival_time, max(prior_event_watermark) as w from ingestion_runs group by 1) r on p.ingested_at = r.arrival_time where p.date <= r.w group by 1")
+@query("select p.source, count(*) as late_rows, min(p.date) as earliest from (select lower(trim(source)) as source, date, ingested_at from prices where date is not null and symbol is not null) p join (select arrival_time, max(prior_event_watermark) as w from ingestion_runs group by 1) r on p.ingested_at = r.arrival_time where p.date <= r.w group by 1")
 def late_arrivals(s, d):
-    runs = table(s, d, "ingestion_runs").groupBy(F.col("arrival_time").alias("ingested_at")).agg(F.max("prior_event_watermark").alias("w"))
-    p = table(s, d, "prices").where("date is not null").select(lower_key("source").alias("source"), "date", "ingested_at")
-    return p.join(runs, "ingested_at").where("date <= w").groupBy("source").agg(F.count("*").alias("late_rows"), F.min("date").alias("earliest"))
+    """Deliveries of the late-window operator that came at or before the watermark, within the cut-off or not."""
+    from ..operators.latewindow import deliveries
+
+    late = deliveries(table(s, d, "prices"), table(s, d, "ingestion_runs")).where("timing <> 'on_time'")
+    return late.groupBy("source").agg(F.count("*").alias("late_rows"), F.min("event_date").alias("earliest"))
+
+
+# --- contracts and quarantine ---------------------------------------------------------------------------------
 
 
-_RULES = "(open > 0 and high > 0 and low > 0 and close > 0 and volume >= 0 and high >= greatest(low, open, close) and low <= least(open, close))"
+def price_payloads(s: SparkSession, d: str) -> DataFrame:
+    """The price rows as JSON payloads, sources by their cleaned names."""
+    p = table(s, d, "prices").withColumn("source", lower_key("source")).withColumn("ingested_at", F.date_format("ingested_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    row = F.struct("symbol", F.col("date").cast("string").alias("date"), "open", "high", "low", "close", "volume", "source", "source_record_id", "ingested_at")
+    return p.select("source", F.to_json(row, {"ignoreNullFields": "false"}).alias("payload"), F.monotonically_increasing_id().alias("position"))
 
 
-@query(f"select lower(trim(source)) as source, case when symbol is null or date is null then 'missing key' when open is null or high is null or low is null or close is null or volume is null then 'missing value' else 'rule' end as error_type, count(*) as n from prices where symbol is null or date is null or not coalesce({_RULES}, false) group by 1, 2")
+def validated_prices(s: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    """Per source the price payloads judged by the contract."""
+    from ..sources.contracts import validate
+
+    payloads = price_payloads(s, d)
+    sources = sorted(r.source for r in payloads.select("source").distinct().collect() if r.source is not None)  # data providers
+    return [(name, validate(CONTRACTS["prices"], payloads.where(F.col("source") == name).select("payload", "position"), name)) for name in sources]
+
+
+_JUDGED = """with rows_ as (select lower(trim(source)) as source, upper(trim(symbol)) as s, date as d, open, high, low, close, volume, trim(source_record_id) as rid, ingested_at from prices where source is not null),
+first_ as (select *, case when s is null or s = '' then 'symbol' when d is null then 'date' when open is null or isnan(open) then 'open' when high is null or isnan(high) then 'high' when low is null or isnan(low) then 'low' when close is null or isnan(close) then 'close' when volume is null then 'volume'
+  when rid is null or rid = '' then 'source_record_id' when ingested_at is null then 'ingested_at' when open <= 0 then 'open' when high <= 0 then 'high' when low <= 0 then 'low' when close <= 0 then 'close' when volume < 0 then 'volume' when high < greatest(low, open, close) then 'high' when low > least(open, close) then 'low' end as field from rows_),
+judged as (select source, coalesce(field, case when row_number() over (partition by source, field is null, s, d) > 1 then 'duplicate' end) as field from first_)"""
+
+
+@query(_JUDGED + " select source, field, count(*) as n from judged where field is not null group by 1, 2")
 def contract_violations(s, d):
-    p = table(s, d, "prices")
-    bad = F.col("symbol").isNull() | F.col("date").isNull() | ~F.coalesce(F.expr(_RULES), F.lit(False))
-    kind = F.when(F.col("symbol").isNull() | F.col("date").isNull(), "missing key").when(F.expr("open is null or high is null or low is null or close is null or volume is null"), "missing value").otherwise("rule")
-    return p.where(bad).groupBy(lower_key("source").alias("source"), kind.alias("error_type")).agg(F.count("*").alias("n"))
+    """Rows that the price contract quarantines, by source and the field of the first error."""
+    out = None
+    for name, judged in validated_prices(s, d):
+        first = F.get("errors", 0)
+        field = F.when(F.startswith(first, F.lit("duplicate")), "duplicate").otherwise(F.substring_index(first, ":", 1))
+        one = judged.where(F.size("errors") > 0).groupBy(field.alias("field")).agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "field", "n")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else s.createDataFrame([], "source string, field string, n bigint")
 
 
-@query("select dataset, status, cast(sum(quarantined_rows) as bigint) as quarantined, count(*) as runs from (select distinct * from ingestion_runs) group by 1, 2")
+@query(_JUDGED + " select source, 'contract_violation' as error_type, count(*) as records from judged where field is not null group by 1")
 def quarantine_summary(s, d):
-    return table(s, d, "ingestion_runs").distinct().groupBy("dataset", "status").agg(F.sum("quarantined_rows").alias("quarantined"), F.count("*").alias("runs"))
+    """The quarantined rows written as ingestion does, and summed up by the service's own reader."""
+    from ..plans.serving import summarize_quarantine
+    from ..sources.contracts import quarantined
+    from ..sources.storage import HadoopFiles, scratch
+
+    root = scratch(s, "quarantine")
+    for name, judged in validated_prices(s, d):
+        quarantined(judged, name, "run", AS_OF).hint("rebalance").write.json(f"{root}/source={name}/run=run")
+    files = [p for p, _, _ in HadoopFiles(s, root).list(root, recursive=True) if p.endswith(".json")]
+    groups = summarize_quarantine(s, files)["groups"]
+    return s.createDataFrame([(g["source"], g["error_type"], g["records"]) for g in groups], "source string, error_type string, records bigint")
 
 
 # --- serving --------------------------------------------------------------------------------------------------
 
 
+def service(s: SparkSession, d: str, *marts: str):
+    """The query service over freshly published marts."""
+    from ..plans.serving import QueryService
+    from ..sources.storage import publish_table, scratch
+
+    root = scratch(s, "marts")
+    made = {
+        "mart_company_snapshot": lambda: models.mart_company_snapshot(staged_prices(s, d), models.stg_fundamentals(table(s, d, "fundamentals")), models.int_earnings_surprises(models.stg_earnings(raw_earnings(s, d))), as_of()),
+        "mart_security_daily": lambda: daily(s, d),
+        "mart_market_daily": lambda: models.mart_market_daily(returns(s, d)),
+        "mart_sector_daily": lambda: models.mart_sector_daily(returns(s, d), sectors(s, d)),
+    }
+    for name in marts:
+        publish_table(made[name](), f"{root}/{name}")
+    return QueryService(s, root)
+
+
+def answer(s: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """An endpoint's bounded result with the columns of the schema."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    return s.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+
+
 @query(f"with {_STG} select symbol, source, max(trade_date) as latest_price_date from stg_prices group by symbol, source order by symbol, source limit 100")
 def securities_list(s, d):
-    return staged_prices(s, d).groupBy("symbol", "source").agg(F.max("trade_date").alias("latest_price_date")).orderBy("symbol", "source").limit(100)
+    return answer(s, service(s, d, "mart_company_snapshot").securities(100), "symbol string, source string, latest_price_date date")
 
 
-@query(f"with {_STG} select symbol, source, trade_date, close from stg_prices where symbol = upper('qvelta') order by source, trade_date desc limit 1")
+@query(f"with {_STG} select symbol, source, trade_date as latest_price_date, close as latest_price from stg_prices where symbol = upper('qvelta') order by source, trade_date desc limit 1")
 def security_detail(s, d):
-    return staged_prices(s, d).where(F.col("symbol") == F.upper(F.lit("qvelta"))).orderBy("source", F.desc("trade_date")).limit(1).select("symbol", "source", "trade_date", "close")
+    found = service(s, d, "mart_company_snapshot").security("qvelta")
+    return answer(s, [found] if found else [], "symbol string, source string, latest_price_date date, latest_price double")
 
 
 @query(f"with {_VOL} select symbol, source, trade_date, close, round(daily_return, 6) as daily_return from daily_ where symbol = 'QVELTA' and source = 'barstream' order by trade_date desc limit 252")
 def security_history(s, d):
-    return r6(daily(s, d).where("symbol = 'QVELTA' and source = 'barstream'").orderBy(F.desc("trade_date")).limit(252).select("symbol", "source", "trade_date", "close", "daily_return"), "daily_return")
+    return r6(answer(s, service(s, d, "mart_security_daily").history("qvelta", "barstream", 252), "symbol string, source string, trade_date date, close double, daily_return double"), "daily_return")
 
 
 @query(f"with {_RET}, {_MARKET} select trade_date, advancers, decliners, unchanged, round(market_breadth, 6) as market_breadth from market_ order by trade_date desc limit 90")
 def market_breadth(s, d):
-    return r6(models.mart_market_daily(returns(s, d)).orderBy(F.desc("trade_date")).limit(90).select("trade_date", "advancers", "decliners", "unchanged", "market_breadth"), "market_breadth")
+    return r6(answer(s, service(s, d, "mart_market_daily").market_breadth(90), "trade_date date, advancers bigint, decliners bigint, unchanged bigint, market_breadth double"), "market_breadth")
+
+
+@query(f"with {_RET}, {_SECTOR_DAILY} select sector, max(trade_date) as latest_date, round(arg_max(sector_average_return, trade_date), 6) as sector_average_return, arg_max(securities_with_returns, trade_date) as securities_with_returns from sector_daily_ group by sector order by sector limit 100")
+def sectors_list(s, d):
+    return r6(answer(s, service(s, d, "mart_sector_daily").sectors(100), "sector string, latest_date date, sector_average_return double, securities_with_returns bigint"), "sector_average_return")
+
+
+# --- ranks, layouts, dimensions, formats ----------------------------------------------------------------------
+
+
+@query("select o_orderkey, o_orderdate, row_number() over (order by o_orderdate, o_orderkey) as row_no from orders")
+def global_row_number(s, d):
+    from ..operators.ranks import global_row_number as numbered
+
+    return numbered(table(s, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], "row_no")
+
+
+@query("select row_number() over () as row_no from region")
+def row_number_over_nothing(s, d):
+    """Rows numbered in no particular order, so only the numbers are compared."""
+    from ..operators.ranks import global_row_number as numbered
+
+    return numbered(table(s, d, "region").select("r_name"), ["r_name"], "row_no").select("row_no")
+
+
+@query("select o_orderstatus, o_orderpriority, count(*) as n from orders group by 1, 2 order by 1, 2")
+def ordinal_group_by(s, d):
+    table(s, d, "orders").createOrReplaceTempView("ordinal_orders")
+    return s.sql("select o_orderstatus, o_orderpriority, count(*) as n from ordinal_orders group by 1, 2 order by 1, 2")
+
+
+@query("select s_name as symbol, n_name as industry, r_name as sector from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey order by s_name")
+def security_dimension(s, d):
+    """Security, industry and sector: a seed file for the sectors, foreign keys from each level to the next, ordered output."""
+    from ..plans import checks
+    from ..sources.readers import read_seed
+    from ..sources.storage import scratch
+
+    seed = scratch(s, "sectors")
+    table(s, d, "region").select(F.col("r_regionkey").alias("sector_id"), F.col("r_name").alias("sector")).write.option("header", True).csv(seed)
+    sector = read_seed(s, seed, "sector_id int, sector string", ["sector_id"])
+    industry = table(s, d, "nation").select(F.col("n_nationkey").alias("industry_id"), F.col("n_name").alias("industry"), F.col("n_regionkey").alias("sector_id"))
+    security = table(s, d, "supplier").select(F.col("s_name").alias("symbol"), F.col("s_nationkey").alias("industry_id"))
+    for child, key, parent in ((industry, "sector_id", sector), (security, "industry_id", industry)):
+        if checks.relationships(child, key, parent, key).limit(1).count():
+            raise ValueError(f"{key} has no parent")
+    return security.join(industry, "industry_id").join(sector, "sector_id").select("symbol", "industry", "sector").orderBy("symbol")
+
+
+@query("select f.format, count(*) as n, round(sum(o_totalprice), 2) as total, min(o_orderdate) as first from orders, (values ('csv'), ('json'), ('parquet none'), ('parquet snappy'), ('parquet zstd')) f(format) group by 1")
+def storage_formats(s, d):
+    """The orders written and read again as CSV, JSON lines and Parquet in three codecs."""
+    from ..plans.layouts import FORMATS, read_format, write_format
+    from ..sources.storage import scratch
+
+    rows, out = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderdate"), None
+    for name in FORMATS:
+        at = scratch(s, "format")
+        write_format(rows, at, name)
+        one = read_format(s, at, name, rows.schema).agg(F.lit(name).alias("format"), F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.min("o_orderdate").alias("first"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def queries() -> dict[str, Query]:

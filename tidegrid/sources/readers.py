@@ -138,6 +138,17 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     return lines
 
 
+def read_seed(spark: SparkSession, path: str, schema: str, key: Sequence[str]) -> DataFrame:
+    """A small CSV table with header, typed by the schema; a value that doesn't fit, or a key that is null or repeated, is an error."""
+    seed = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+    bad = F.lit(False)
+    for k in key:
+        bad = bad | F.col(k).isNull()
+    if seed.where(bad).limit(1).count() or seed.groupBy(*key).count().where("count > 1").limit(1).count():
+        raise ValueError(f"{path}: {list(key)} is no key")
+    return seed
+
+
 RETRY_STATUS = (429, 500, 502, 503, 504)
 
 

@@ -17,6 +17,7 @@ import json
 import time
 from collections import deque
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from typing import Protocol
 
@@ -162,13 +163,16 @@ class EventLake:
             say("before_write", staged)
             rows = new.select(*columns).withColumn("date", F.date_format("event_timestamp", "yyyy-MM-dd")).withColumn("hour", F.date_format("event_timestamp", "HH"))
             rows.hint("rebalance", "date", "hour").write.partitionBy("date", "hour").option("compression", "zstd").parquet(staged)
-            for p, _, _ in self.files.list(staged, recursive=True):
-                if p.endswith(".parquet"):
-                    inner = p.split(f"/_staging/{run_id}/", 1)[1]
-                    into = f"{self.data}/{inner.rsplit('/', 1)[0]}"
-                    self.files.mkdirs(into)
-                    self.files.rename(p, f"{into}/part-{run_id}-{written}.parquet")
-                    written += 1
+            made = [p for p, _, _ in self.files.list(staged, recursive=True) if p.endswith(".parquet")]
+
+            def promote(numbered: tuple[int, str]) -> None:
+                n, p = numbered
+                into = f"{self.data}/{p.split(f'/_staging/{run_id}/', 1)[1].rsplit('/', 1)[0]}"
+                self.files.mkdirs(into)
+                self.files.rename(p, f"{into}/part-{run_id}-{n}.parquet")
+
+            with ThreadPoolExecutor(16) as pool:
+                written = len(list(pool.map(promote, enumerate(made))))
             self.files.delete(staged)
         say("after_write_before_commit", run_id)
         result = BatchResult(run_id, "degraded" if n_bad else "success", n_all, accepted, n_all - n_bad - accepted, n_bad, written, n_all, started.isoformat(), dt.datetime.now(dt.timezone.utc).isoformat())
