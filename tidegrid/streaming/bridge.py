@@ -26,11 +26,14 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import canonical_json
 from ..operators import msgdedup
+from ..session import python_tasks
 from ..sources.contracts import ZONED
 from ..sources.storage import ConcurrentWriteError, HadoopFiles, Versions, small_side, stash
 
 MESSAGE = "topic string, partition int, offset bigint, value string"
 EVENT = "event_id string, symbol string, event_timestamp timestamp, event_type string, price double, anomaly_score double, details_json string, detected_at timestamp, source_topic string, kafka_partition int, kafka_offset bigint, ingested_at timestamp"
+#: Rows of one file of an hour at most.
+FILE_ROWS = 1_000_000
 PLACE = ["source_topic", "kafka_partition", "kafka_offset"]
 REQUIRED = ("event_id", "symbol", "event_timestamp", "event_type")
 
@@ -161,8 +164,11 @@ class EventLake:
         if accepted:
             self._index(new, run_id)
             say("before_write", staged)
-            rows = new.select(*columns).withColumn("date", F.date_format("event_timestamp", "yyyy-MM-dd")).withColumn("hour", F.date_format("event_timestamp", "HH"))
-            rows.hint("rebalance", "date", "hour").write.partitionBy("date", "hour").option("compression", "zstd").parquet(staged)
+            rows = new.withColumn("date", F.date_format("event_timestamp", "yyyy-MM-dd")).withColumn("hour", F.date_format("event_timestamp", "HH"))
+            full = rows.groupBy("date", "hour").agg(F.count("*").alias("_n")).where(F.col("_n") > FILE_ROWS)
+            split = rows.join(full, ["date", "hour"], "left").withColumn("_part", F.pmod(F.xxhash64("delivery_id"), F.ceil(F.coalesce("_n", F.lit(1)) / FILE_ROWS)))
+            # many small hours are written side by side, a full one by several tasks
+            split.repartition(python_tasks(self.spark), "date", "hour", "_part").select(*columns, "date", "hour").write.partitionBy("date", "hour").option("compression", "zstd").parquet(staged)
             made = [p for p, _, _ in self.files.list(staged, recursive=True) if p.endswith(".parquet")]
 
             def promote(numbered: tuple[int, str]) -> None:
