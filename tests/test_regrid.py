@@ -61,11 +61,26 @@ def test_smoother_equals_joint_normal():
     times = np.union1d(days, grid)
     y, n = np.zeros(len(times)), np.zeros(len(times))
     y[np.searchsorted(times, days)], n[np.searchsorted(times, days)] = mean, count
-    _, _, _, steps = regrid.kalman_filter(times.astype(float).tolist(), y.tolist(), n.tolist(), 0.1, 1e-3, 1.0, keep=True)
+    # a shorter series is filtered beside it
+    gap, ys, ns, active = regrid._stacked([(times, y, n), (days[:3], mean[:3], count[:3])])
+    _, _, used, steps = regrid.kalman_filter(gap, ys, ns, active, np.full((1, 2), 0.1), np.full((1, 2), 1e-3), keep=True)
     level, variance = regrid.rts_smooth(steps)
     want, want_var = dense_smoother(days, mean, count, grid, 0.1, 1e-3)
-    assert np.allclose(np.array(level), want, atol=1e-4)
-    assert np.allclose(np.array(variance), want_var, atol=1e-3)
+    assert used.tolist() == [6, 2]
+    assert np.allclose(level[:, 0], want, atol=1e-4) and np.allclose(variance[:, 0], want_var, atol=1e-3)
+    want, want_var = dense_smoother(days[:3], mean[:3], count[:3], days[:3], 0.1, 1e-3)
+    assert np.allclose(level[:3, 1], want, atol=1e-4) and np.allclose(variance[:3, 1], want_var, atol=1e-3)
+
+
+def test_series_smoothed_together_are_as_alone():
+    rng = np.random.default_rng(4)
+    many = []
+    for k in (5, 1, 40, 12, 40):
+        days = np.sort(rng.choice(100, k, replace=False))
+        many.append((days, rng.normal(size=k).cumsum() + 50, rng.integers(1, 4, k), np.arange(days[0], days[-1] + 1)))
+    for one, (level, sd) in zip(many, regrid.smooth_many(many)):
+        alone = regrid.smooth_series(*one)
+        assert np.allclose(level, alone[0]) and np.allclose(sd, alone[1]) and (sd > 0).all()
 
 
 def test_several_readings_of_a_day_equal_their_mean():
@@ -78,9 +93,9 @@ def test_several_readings_of_a_day_equal_their_mean():
 
 def test_one_and_constant_readings():
     level, sd = regrid.smooth_series(np.array([3]), np.array([7.0]), np.array([1]), np.array([3]))
-    assert level.tolist() == [7.0] and sd.tolist() == [0.0]
+    assert level.tolist() == [7.0] and 0 < sd[0] < 0.01
     level, sd = regrid.smooth_series(np.array([0, 9]), np.array([7.0, 7.0]), np.array([1, 1]), np.arange(10))
-    assert level.tolist() == [7.0] * 10 and sd.tolist() == [0.0] * 10
+    assert np.allclose(level, 7.0) and (sd > 0).all() and sd[5] > 1.2 * sd[0]  # nothing was seen in between
 
 
 @pytest.mark.parametrize("freq,day,start", [("DAILY", "2024-02-29", "2024-02-29"), ("WEEKLY", "2024-03-03", "2024-02-26"), ("WEEKLY", "2024-03-04", "2024-03-04"), ("MONTHLY", "2024-02-29", "2024-02-01"), ("QUARTERLY", "2024-06-30", "2024-04-01"), ("ANNUAL", "1969-12-31", "1969-01-01")])

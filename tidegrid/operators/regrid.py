@@ -8,13 +8,15 @@ gets a level with its standard deviation and a mark where no reading exists.
 Scale: deliveries are folded to one row per record, then to one row per
 (series, source, day) holding mean and count, both with map-side combine. This
 is exact for the smoother (n readings of a day equal one with variance R/n), and
-it bounds a smoother group by the number of days of the series' span, however
-many rows a hot series has.
+it bounds a series by the number of days of its span, however many rows a hot
+series has. Many series are filtered and smoothed at once as NumPy arrays, time
+step by time step.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import frequency_name, lower_key, trim_key, upper_key
 from ..session import python_tasks
+from .chunks import whole_groups
 from .latest import keep_latest
 
 GRID_SCHEMA = (
@@ -32,8 +35,12 @@ GRID_SCHEMA = (
 FREQUENCY_ORDER = ("DAILY", "WEEKLY", "MONTHLY", "QUARTERLY", "ANNUAL")
 #: Candidate ratios of level noise (per day) to reading noise, tried by likelihood.
 LEVEL_RATIOS = (1e-4, 1e-2, 0.1, 1.0, 10.0)
-#: Slope noise relative to level noise.
-SLOPE_RATIO = 1e-4
+#: Candidate ratios of slope noise to level noise.
+SLOPE_RATIOS = (1e-6, 1e-4, 1e-2)
+#: Series that show no noise: reading noise as a share of the level, and the ratios.
+PRIOR_NOISE, PRIOR_RATIOS = 1e-3, (1.0, 1e-4)
+#: Readings whose series are smoothed together.
+CHUNK_READINGS = 20_000
 #: Most calendar days (a calendar is a set of dates, so it is small by its type).
 CALENDAR_DAYS = 400_000
 
@@ -94,108 +101,146 @@ def all_periods(first: int, last: int, frequency: str, calendar: np.ndarray) ->
     return np.arange(a, b + 1, step).astype("datetime64[M]").astype("datetime64[D]").astype(np.int64)
 
 
-def kalman_filter(t: list[float], y: list[float], n: list[float], q_level: float, q_slope: float, r: float, keep: bool):
-    """Filter over times t; n[i] readings with mean y[i] at t[i] (0: none).
+@dataclass
+class Steps:
+    """Moments per time and series (time first): predicted and filtered level, slope and covariance."""
 
-    Returns the concentrated log likelihood terms and, if ``keep``, the predicted
-    and filtered moments per step. The prior is vague: the first reading's level
-    with a variance far above the data's.
+    predicted: np.ndarray  # (5, times, series)
+    filtered: np.ndarray
+    gap: np.ndarray
+    active: np.ndarray  # series, longest first, that have a time
+
+
+def kalman_filter(gap: np.ndarray, y: np.ndarray, n: np.ndarray, active: np.ndarray, q_level: np.ndarray, q_slope: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, Steps | None]:
+    """Filter many series at once, with reading noise 1.
+
+    gap, y, n: (times, series), the days since the time before, the mean of n
+    readings (0: none); a series has a reading at its first time or its level starts
+    at y there. active: how many series, ordered by length from the longest, reach
+    each time. q_level, q_slope: (candidates, series). Gives the log determinant, the
+    sum of squares and the readings used, per candidate and series, and with ``keep``
+    (one candidate) the moments. The prior is vague: the first level with a variance
+    far above the data's.
     """
-    first = next(v for v, k in zip(y, n) if k > 0)
-    m, s = first, 0.0
-    p00, p01, p11 = 1e6 * r, 0.0, 100.0 * (q_level + q_slope + 1e-9 * r)
-    log_det = square = 0.0
-    used = 0
-    steps = []
-    before = t[0]
-    for i in range(len(t)):
-        dt = t[i] - before
-        before = t[i]
-        if dt > 0:
-            m = m + dt * s
-            a00 = p00 + dt * (2 * p01 + dt * p11) + q_level * dt + q_slope * dt * dt * dt / 3
-            a01 = p01 + dt * p11 + q_slope * dt * dt / 2
-            p11 = p11 + q_slope * dt
-            p00, p01 = a00, a01
-        if keep:
-            step = [dt, m, s, p00, p01, p11]
-        if n[i] > 0:
-            v = p00 + r / n[i]
-            e = y[i] - m
-            k0, k1 = p00 / v, p01 / v
-            m += k0 * e
-            s += k1 * e
-            b00, b01, b11 = p00 - k0 * p00, p01 - k0 * p01, p11 - k1 * p01
-            p00, p01, p11 = max(b00, 0.0), b01, max(b11, 0.0)
-            if used:  # the first reading only sets the vague prior
-                log_det += math.log(v)
-                square += e * e / v
-            used += 1
-        if keep:
-            steps.append((*step, m, s, p00, p01, p11))
-    return log_det, square, used - 1, steps
-
-
-def rts_smooth(steps: list[tuple]) -> tuple[list[float], list[float]]:
-    """Smoothed level and its variance per step."""
-    k = len(steps)
-    level, variance = [0.0] * k, [0.0] * k
-    _, _, _, _, _, _, m, s, p00, p01, p11 = steps[-1]
-    level[-1], variance[-1] = m, p00
-    for i in range(k - 2, -1, -1):
-        dt, pm, ps, q00, q01, q11 = steps[i + 1][:6]
-        fm, fs, f00, f01, f11 = steps[i][6:]
-        det = q00 * q11 - q01 * q01
-        if dt == 0 or det <= 0:
-            if dt == 0:
-                pass  # same time: the smoothed state is carried over
-            else:
-                m, s, p00, p01, p11 = fm, fs, f00, f01, f11
-        else:
-            # gain G = P F' Q^-1 with F = [[1, dt], [0, 1]]
-            c00, c01 = f00 + dt * f01, f01
-            c10, c11 = f01 + dt * f11, f11
-            g00 = (c00 * q11 - c01 * q01) / det
-            g01 = (c01 * q00 - c00 * q01) / det
-            g10 = (c10 * q11 - c11 * q01) / det
-            g11 = (c11 * q00 - c10 * q01) / det
+    times, series = y.shape
+    m, s = np.broadcast_to(y[0], q_level.shape).copy(), np.zeros(q_level.shape)
+    p00, p01, p11 = np.full(q_level.shape, 1e6), np.zeros(q_level.shape), 100.0 * (q_level + q_slope + 1e-9)
+    log_det, square, used = np.zeros(q_level.shape), np.zeros(q_level.shape), np.zeros(series)
+    begun = np.zeros(series, dtype=bool)
+    steps = Steps(np.zeros((5, times, series)), np.zeros((5, times, series)), gap, active) if keep else None
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for t in range(times):
+            a = int(active[t])
+            d, has = gap[t, :a], n[t, :a] > 0
+            ql, qs = q_level[:, :a], q_slope[:, :a]
+            M, S, A, B, C = m[:, :a], s[:, :a], p00[:, :a], p01[:, :a], p11[:, :a]
+            M = M + d * S
+            A = A + d * (2 * B + d * C) + ql * d + qs * d**3 / 3
+            B = B + d * C + qs * d**2 / 2
+            C = C + qs * d
+            if keep:
+                steps.predicted[:, t, :a] = M[0], S[0], A[0], B[0], C[0]
+            v = A + np.where(has, 1.0 / np.maximum(n[t, :a], 1e-300), np.inf)  # no reading: infinite noise, no change
+            e = y[t, :a] - M
+            k0, k1 = A / v, B / v
+            counts = has & begun[:a]  # the first reading only sets the vague prior
+            log_det[:, :a] += np.where(counts, np.log(np.where(has, v, 1.0)), 0.0)
+            square[:, :a] += np.where(counts, e * e / v, 0.0)
+            used[:a] += counts
+            begun[:a] |= has
+            M, S = M + k0 * e, S + k1 * e
+            A, B, C = np.maximum(A - k0 * A, 0.0), B - k0 * B, np.maximum(C - k1 * B, 0.0)
+            m[:, :a], s[:, :a], p00[:, :a], p01[:, :a], p11[:, :a] = M, S, A, B, C
+            if keep:
+                steps.filtered[:, t, :a] = M[0], S[0], A[0], B[0], C[0]
+    return log_det, square, used, steps
+
+
+def rts_smooth(steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed level and its variance (times, series)."""
+    _, times, series = steps.filtered.shape
+    level, variance = np.zeros((times, series)), np.zeros((times, series))
+    now = np.zeros((5, series))
+    for t in range(times - 1, -1, -1):
+        a, later = int(steps.active[t]), int(steps.active[t + 1]) if t + 1 < times else 0
+        now[:, later:a] = steps.filtered[:, t, later:a]  # a series' last time
+        if later:
+            d = steps.gap[t + 1, :later]
+            pm, ps, q00, q01, q11 = steps.predicted[:, t + 1, :later]
+            fm, fs, f00, f01, f11 = steps.filtered[:, t, :later]
+            m, s, p00, p01, p11 = now[:, :later]
+            det = q00 * q11 - q01 * q01
+            # gain G = P F' Q^-1 with F = [[1, d], [0, 1]]
+            c00, c10 = f00 + d * f01, f01 + d * f11
+            g00, g01 = (c00 * q11 - f01 * q01) / det, (f01 * q00 - c00 * q01) / det
+            g10, g11 = (c10 * q11 - f11 * q01) / det, (f11 * q00 - c10 * q01) / det
             dm, ds = m - pm, s - ps
-            m, s = fm + g00 * dm + g01 * ds, fs + g10 * dm + g11 * ds
             d00, d01, d11 = p00 - q00, p01 - q01, p11 - q11
             h00, h01 = g00 * d00 + g01 * d01, g00 * d01 + g01 * d11
             h10, h11 = g10 * d00 + g11 * d01, g10 * d01 + g11 * d11
-            p00, p01, p11 = f00 + h00 * g00 + h01 * g01, f01 + h00 * g10 + h01 * g11, f11 + h10 * g10 + h11 * g11
-        level[i], variance[i] = m, max(p00, 0.0)
+            now[:, :later] = fm + g00 * dm + g01 * ds, fs + g10 * dm + g11 * ds, f00 + h00 * g00 + h01 * g01, f01 + h00 * g10 + h01 * g11, f11 + h10 * g10 + h11 * g11
+        level[t, :a], variance[t, :a] = now[0, :a], np.maximum(now[2, :a], 0.0)
     return level, variance
 
 
-def smooth_series(days: np.ndarray, mean: np.ndarray, count: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Level and standard deviation at each grid day.
+def _stacked(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(times, values, counts) of series, longest first, as arrays (times, series): gap, y, n, active."""
+    longest, series = len(parts[0][0]), len(parts)
+    gap, y, n = np.zeros((longest, series)), np.zeros((longest, series)), np.zeros((longest, series))
+    for j, (t, v, c) in enumerate(parts):
+        k = len(t)
+        gap[1:k, j], y[:k, j], n[:k, j] = np.diff(t), v, c
+    lengths = np.array([len(p[0]) for p in parts])
+    return gap, y, n, np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")
+
 
-    The reading noise is concentrated out of the likelihood; the ratio of level
-    to reading noise is the best of LEVEL_RATIOS. A single reading or constant
-    readings give that level everywhere with deviation 0.
+def smooth_many(series: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Level and standard deviation at each grid day of many series (days, mean, count, grid).
+
+    Each series' noises are its own: the ratios of level and slope noise to reading
+    noise are the likeliest of LEVEL_RATIOS x SLOPE_RATIOS, reading noise is
+    concentrated out. Of a series whose readings are one or all equal no noise can be
+    estimated; it takes PRIOR_NOISE of its level and PRIOR_RATIOS, so its doubt grows
+    with the distance to a reading as well.
     """
-    times = np.union1d(days, grid)
-    at = np.searchsorted(times, days)
-    y, n = np.zeros(len(times)), np.zeros(len(times))
-    y[at], n[at] = mean, count
-    if len(days) < 2 or float(np.ptp(mean)) == 0.0:
-        return np.full(len(grid), float(mean[0])), np.zeros(len(grid))
-    centre, spread = float(np.mean(mean)), float(np.std(mean))
-    obs_t, obs_y, obs_n = days.astype(float).tolist(), ((mean - centre) / spread).tolist(), count.astype(float).tolist()
-    best = None
-    for ratio in LEVEL_RATIOS:
-        log_det, square, used, _ = kalman_filter(obs_t, obs_y, obs_n, ratio, ratio * SLOPE_RATIO, 1.0, keep=False)
-        scale = max(square / used, 1e-12)
-        fit = -0.5 * (log_det + used * math.log(scale))
-        if best is None or fit > best[0]:
-            best = (fit, ratio, scale)
-    _, ratio, scale = best
-    _, _, _, steps = kalman_filter(times.astype(float).tolist(), ((y - centre) / spread).tolist(), n.tolist(), ratio, ratio * SLOPE_RATIO, 1.0, keep=True)
+    out: list = [None] * len(series)
+    order = sorted(range(len(series)), key=lambda i: -len(series[i][0]))
+    ratios = np.array([(a, a * b) for a in LEVEL_RATIOS for b in SLOPE_RATIOS])
+    centre, spread, flat = np.zeros(len(series)), np.zeros(len(series)), np.zeros(len(series), dtype=bool)
+    for i, (_, mean, _, _) in enumerate(series):
+        centre[i], spread[i] = float(np.mean(mean)), float(np.std(mean))
+        flat[i] = len(mean) < 2 or float(np.ptp(mean)) == 0.0
+        if flat[i]:
+            spread[i] = PRIOR_NOISE * (abs(centre[i]) or 1.0)
+    chosen, scale = np.zeros((2, len(series))), np.ones(len(series))
+    gap, y, n, active = _stacked([(series[i][0], (series[i][1] - centre[i]) / spread[i], series[i][2]) for i in order])
+    shape = (len(ratios), len(order))
+    log_det, square, used, _ = kalman_filter(gap, y, n, active, np.broadcast_to(ratios[:, :1], shape), np.broadcast_to(ratios[:, 1:], shape))
+    held = np.maximum(square / np.maximum(used, 1), 1e-12)
+    best = np.argmax(-0.5 * (log_det + used * np.log(held)), axis=0)
+    for j, i in enumerate(order):
+        chosen[:, i] = (PRIOR_RATIOS[0], PRIOR_RATIOS[0] * PRIOR_RATIOS[1]) if flat[i] else ratios[best[j]]
+        scale[i] = 1.0 if flat[i] else held[best[j], j]
+    times = []
+    for i, (days, mean, count, grid) in enumerate(series):
+        t = np.union1d(days, grid)
+        at = np.searchsorted(t, days)
+        v, c = np.full(len(t), (mean[0] - centre[i]) / spread[i]), np.zeros(len(t))
+        v[at], c[at] = (mean - centre[i]) / spread[i], count
+        times.append((t, v, c))
+    order = sorted(range(len(series)), key=lambda i: -len(times[i][0]))
+    gap, y, n, active = _stacked([times[i] for i in order])
+    _, _, _, steps = kalman_filter(gap, y, n, active, chosen[:1, order], chosen[1:, order], keep=True)
     level, variance = rts_smooth(steps)
-    where = np.searchsorted(times, grid)
-    return np.array(level)[where] * spread + centre, np.sqrt(np.array(variance)[where] * scale) * spread
+    for j, i in enumerate(order):
+        where = np.searchsorted(times[i][0], series[i][3])
+        out[i] = level[where, j] * spread[i] + centre[i], np.sqrt(variance[where, j] * scale[i]) * spread[i]
+    return out
+
+
+def smooth_series(days: np.ndarray, mean: np.ndarray, count: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``smooth_many`` of one series."""
+    return smooth_many([(days, mean, count, grid)])[0]
 
 
 def _calendar(calendar: DataFrame) -> np.ndarray:
@@ -231,36 +276,58 @@ def regrid(raw: DataFrame, calendar: DataFrame) -> DataFrame:
     )
     shared = spark.sparkContext.broadcast(days)  # bounded by CALENDAR_DAYS
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        frequency = pdf["frequency"].iloc[0]
-        seen = pd.to_datetime(pdf["observation_date"]).to_numpy().astype("datetime64[D]").astype(np.int64)
-        mean, n = pdf["mean"].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=np.int64)
-        if frequency == "DAILY":
-            keep = np.isin(seen, shared.value)
-            seen, mean, n = seen[keep], mean[keep], n[keep]
-        if not len(seen):
-            return pd.DataFrame({"series_id": [], "source": [], "frequency": [], "period_start": [], "readings": [], "observed": [], "level": [], "level_sd": [], "is_missing": []})
-        order = np.argsort(seen)
-        seen, mean, n = seen[order], mean[order], n[order]
-        starts = period_starts(seen, frequency)
-        grid = all_periods(int(starts[0]), int(starts[-1]), frequency, shared.value)
-        level, sd = smooth_series(seen, mean, n, grid)
-        at = np.searchsorted(grid, starts)
-        readings, total = np.zeros(len(grid), dtype=np.int64), np.zeros(len(grid))
-        np.add.at(readings, at, n)
-        np.add.at(total, at, mean * n)
+    def series_of(pdf: pd.DataFrame) -> pd.DataFrame | None:
+        edges = np.flatnonzero(np.r_[True, pdf["series"].to_numpy()[1:] != pdf["series"].to_numpy()[:-1], True])
+        seen_all, mean_all, n_all = pdf["day"].to_numpy(dtype=np.int64), pdf["mean"].to_numpy(dtype=float), pdf["n"].to_numpy(dtype=np.int64)
+        jobs, heads = [], []
+        for a, b in zip(edges, edges[1:]):
+            frequency = pdf["frequency"].iloc[a]
+            seen, mean, n = seen_all[a:b], mean_all[a:b], n_all[a:b]
+            if frequency == "DAILY":
+                keep = np.isin(seen, shared.value)
+                seen, mean, n = seen[keep], mean[keep], n[keep]
+            if not len(seen):
+                continue
+            starts = period_starts(seen, frequency)
+            grid = all_periods(int(starts[0]), int(starts[-1]), frequency, shared.value)
+            at = np.searchsorted(grid, starts)
+            readings = np.bincount(at, n, len(grid)).astype(np.int64)
+            total = np.bincount(at, mean * n, len(grid))
+            jobs.append((seen, mean, n, grid))
+            heads.append((a, frequency, readings, total))
+        if not jobs:
+            return None
+        sizes = [len(j[3]) for j in jobs]
+        smoothed = smooth_many(jobs)
+        first = np.repeat([h[0] for h in heads], sizes)
+        readings, total = np.concatenate([h[2] for h in heads]), np.concatenate([h[3] for h in heads])
         with np.errstate(invalid="ignore", divide="ignore"):
             observed = np.where(readings > 0, total / readings, np.nan)
         return pd.DataFrame({
-            "series_id": pdf["series_id"].iloc[0],
-            "source": pdf["source"].iloc[0],
-            "frequency": frequency,
-            "period_start": grid.astype("datetime64[D]").astype(object),
+            "series_id": pdf["series_id"].to_numpy()[first],
+            "source": pdf["source"].to_numpy()[first],
+            "frequency": np.repeat([h[1] for h in heads], sizes),
+            "period_start": np.concatenate([j[3] for j in jobs]).astype("datetime64[D]").astype(object),
             "readings": readings,
             "observed": pd.array(observed, dtype="Float64"),
-            "level": level,
-            "level_sd": sd,
+            "level": np.concatenate([x[0] for x in smoothed]),
+            "level_sd": np.concatenate([x[1] for x in smoothed]),
             "is_missing": readings == 0,
         })
 
-    return daily.repartition(python_tasks(spark), "series_id", "source").groupBy("series_id", "source").applyInPandas(one, GRID_SCHEMA)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for pdf in whole_groups(batches, "series"):
+            held.append(pdf)
+            rows += len(pdf)
+            if rows >= CHUNK_READINGS:
+                out = series_of(pd.concat(held, ignore_index=True))
+                held, rows = [], 0
+                if out is not None:
+                    yield out
+        if held and (out := series_of(pd.concat(held, ignore_index=True))) is not None:
+            yield out
+
+    keyed = daily.select(F.xxhash64("series_id", "source").alias("series"), "series_id", "source", "frequency", F.unix_date("observation_date").alias("day"), "mean", "n")
+    arranged = keyed.repartition(python_tasks(spark), "series_id", "source").sortWithinPartitions("series", "series_id", "source", "day")
+    return arranged.mapInPandas(run, GRID_SCHEMA)

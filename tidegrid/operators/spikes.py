@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import lower_key, trim_key, upper_key
 from ..session import python_tasks
 from ..sources.storage import stash
+from .chunks import whole_groups
 from .latest import keep_latest
 
 FIELDS = ("close", "volume")
@@ -223,26 +224,6 @@ def score_forest(model: dict, x: np.ndarray) -> np.ndarray:
     return (2.0 ** (-total / len(model["roots"]) / model["norm"]))[back]
 
 
-def _series_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches cut at series borders; a series is held whole (one row per calendar day)."""
-    rest: list[pd.DataFrame] = []
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        key = pdf["series"].to_numpy()
-        cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-        if rest and rest[-1]["series"].iloc[-1] != key[0] and cut == 0:
-            yield pd.concat(rest, ignore_index=True)
-            rest = [pdf]
-        elif cut:
-            yield pd.concat([*rest, pdf.iloc[:cut]], ignore_index=True)
-            rest = [pdf.iloc[cut:]]
-        else:
-            rest.append(pdf)
-    if rest:
-        yield pd.concat(rest, ignore_index=True)
-
-
 def _by_series(readings: DataFrame) -> DataFrame:
     return (
         readings.select(F.struct("symbol", "source").alias("k"), F.unix_date("event_date").alias("day"), "close", "volume")
@@ -298,7 +279,7 @@ def train(last: DataFrame) -> dict:
     share = {(r.source, c): DRAWN * most / max(r[c], 1) for r in held for c in FIELDS}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _series_chunks(batches):
+        for pdf in whole_groups(batches, "series"):
             series, source, day = pdf["series"].to_numpy(), pdf["source"].to_numpy(), pdf["day"].to_numpy()
             code, names = pd.factorize(source, use_na_sentinel=False)
             for field, at, f, _ in _per_field(pdf):
@@ -327,7 +308,7 @@ def _scored(last: DataFrame, only_flagged: bool) -> DataFrame:
     models = last.sparkSession.sparkContext.broadcast(train(last))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _series_chunks(batches):
+        for pdf in whole_groups(batches, "series"):
             symbol, source, day = pdf["symbol"].to_numpy(), pdf["source"].to_numpy(), pdf["day"].to_numpy()
             code, names = pd.factorize(source, use_na_sentinel=False)
             for field, at, f, value in _per_field(pdf):
