@@ -48,6 +48,18 @@ def test_a_length_beyond_the_capacity_is_refused():
         packing.best_fit({9: 1}, 8)
 
 
+def test_slices_hold_every_rank_once():
+    random.seed(9)
+    histogram = {x: random.randint(1, 900) for x in range(1, 30)}
+    segments, _ = packing.best_fit(histogram, 64)
+    cut, width = packing.sliced(segments, histogram)
+    assert len(cut) <= 2 * len(segments) + len(histogram)
+    for length, n in histogram.items():
+        mine = [x for x in cut if x[0] == length]
+        assert sorted(r for _, s, a, b, *_ in mine for r in range(a, b)) == list(range(n))
+        assert all(a // width[length] == s == (b - 1) // width[length] for _, s, a, b, *_ in mine)
+
+
 @needs_files
 def test_pack_places_every_token_once(spark, monkeypatch):
     monkeypatch.setattr(packing, "BUCKET_ROWS", 7)
@@ -85,6 +97,10 @@ def test_long_texts_are_counted_whole(monkeypatch):
     whole = tokens.count_tokens(text)
     monkeypatch.setattr(tokens, "PIECE", 100)
     assert tokens.count_tokens(text) == whole
+    giant = "ab" * 700  # no white space: never cut within a word
+    short = tokens.count_tokens(f"{giant} {giant}")
+    monkeypatch.setattr(tokens, "PIECE", 10_000)
+    assert tokens.count_tokens(f"{giant} {giant}") == short
     assert tokens.count_tokens("x" * 1000) > 0 and tokens.count_tokens(None) == tokens.count_tokens("") == 0
     assert tokens.count_tokens("a\ud800b") > 0
     assert tokens.count_tokens("<|endoftext|>") > 1
@@ -137,6 +153,18 @@ def test_better_texts_are_drawn_more_often(spark):
     assert good > 0.75
 
 
+@needs_files
+def test_low_weights_leave_ranges_even(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    docs = [(i, "12 " * 10, "a") for i in range(1000)]  # all at the least weight
+    sizes = []
+    plain = mixing.stash
+    monkeypatch.setattr(mixing, "stash", lambda df, name: sizes.append(plain(df, name)) or sizes[-1])
+    mixture(spark, docs, [("a", 1.0, 1)], 5000)
+    ranged = next(df for df in sizes if "_range" in df.columns and "_key" in df.columns)
+    assert max(r["count"] for r in ranged.groupBy("_range").count().collect()) < 150
+
+
 @needs_files
 def test_empty_mixture(spark):
     assert mixture(spark, [], [("a", 1.0, 1)])[0] == []

@@ -8,8 +8,9 @@ No source is repeated more often than its cap; where that or a lack of texts kee
 it below its target, the report shows the share it really has.
 
 Scale: the running sum of a source is built from key ranges of about BUCKET_ROWS
-documents: sums per range with map-side combine give offsets, and rows are ordered
-only in the one range per source in which the budget ends.
+documents, cut by a sample of the keys themselves, so they are even at any weights:
+sums per range with map-side combine give offsets, and rows are ordered only in the
+one range per source in which the budget ends.
 """
 
 from __future__ import annotations
@@ -27,10 +28,20 @@ LEAST_WEIGHT = 0.05
 
 
 def quality_weight(text: str | Column = "text") -> Column:
-    """A weight in [LEAST_WEIGHT, 1]: the share of letters and white space. 0 never occurs, so every text can be drawn."""
+    """A weight in [LEAST_WEIGHT, 1] by simple rules of published corpora: share of letters, length of words, words that aren't repeats, share of words with a letter.
+
+    0 never occurs, so every text can be drawn; null and empty texts have the least.
+    """
     c = F.col(text) if isinstance(text, str) else text
-    share = F.length(F.regexp_replace(c, r"[^\p{L}\s]", "")) / F.nullif(F.length(c), F.lit(0))
-    return F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(share, F.lit(LEAST_WEIGHT)))
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    n = F.nullif(F.size(words), F.lit(0)).cast("double")
+    visible = F.nullif(F.length(F.regexp_replace(c, r"\s", "")), F.lit(0)).cast("double")
+    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / visible
+    real = F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) / n
+    length = visible / n
+    sane = F.when((length >= 3) & (length <= 10), 1.0).otherwise(F.greatest(F.lit(0.1), 1.0 - F.abs(F.log(length / 5.5)) / 2))
+    fresh = F.least(F.lit(1.0), 0.2 + 2 * F.size(F.array_distinct(words)) / n)
+    return F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(letters * real * sane * fresh, F.lit(LEAST_WEIGHT)))
 
 
 def uniform(*columns: str) -> Column:
@@ -73,14 +84,16 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     """
     docs = stash(prepare(documents, folder, vocabulary), "mixture-documents")
     budgets = _budgets(docs, targets, total_tokens)
-    sides = F.broadcast(budgets)  # one row per target, a small table
+    sides = small_side(stash(budgets.select("source", "epochs", "rest"), "mixture-epochs"))
     key = -F.log(uniform("doc_id")) / F.col("weight")
-    ranges = F.greatest(F.ceil(F.col("documents") / BUCKET_ROWS), F.lit(1))
-    keyed = docs.join(sides.select("source", "epochs", "rest", "documents"), "source").withColumn("_key", key).withColumn("_range", F.least(F.floor((1 - F.exp(-F.col("_key"))) * ranges), ranges - 1).cast("bigint"))
-    per_range = keyed.where("rest > 0").groupBy("source", "_range").agg(F.sum("n_tokens").alias("_sum"))
+    n = budgets.agg(F.sum("documents")).first()[0] or 0
+    keyed = docs.join(sides, "source").withColumn("_key", key)
+    # even ranges of the keys themselves, whatever the weights are: sampled by the range partitioner, each a partition
+    ranged = stash(keyed.repartitionByRange(max(1, -(-n // BUCKET_ROWS)), "source", "_key").withColumn("_range", F.spark_partition_id()), "mixture-keys")
+    per_range = ranged.where("rest > 0").groupBy("source", "_range").agg(F.sum("n_tokens").alias("_sum"))
     w = Window.partitionBy("source").orderBy("_range")
     offsets = small_side(stash(per_range.select("source", "_range", (F.sum("_sum").over(w) - F.col("_sum")).alias("_before"), F.sum("_sum").over(w).alias("_after")), "mixture-ranges"))
-    placed = keyed.join(offsets, ["source", "_range"], "left")
+    placed = ranged.join(offsets, ["source", "_range"], "left")
     own = Window.partitionBy("source", "_range").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     border = F.coalesce((F.col("_before") < F.col("rest")) & (F.col("_after") > F.col("rest")), F.lit(False))
     out = ["doc_id", "source", "n_tokens"]

@@ -9,21 +9,23 @@ whole containers and a rest, no other text is split.
 Scale: a histogram has at most as many rows as the capacity has tokens, so the
 plan is bounded whatever the corpus holds, and is the only thing the driver sees.
 Ranks within a length are built from buckets of about BUCKET_ROWS items with their
-offsets, so a length that a third of all documents share is many small windows.
+offsets, so a length that a third of all documents share is many small windows;
+ranks meet their segment by slices of ranks, of which each holds about one segment.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import small_side, stash
 from .tokens import TOKENIZERS, VOCABULARY, with_tokens
 
 BUCKET_ROWS = 100_000
-SEGMENT = "container_id int, length bigint, rank_from bigint, rank_to bigint, first_container bigint, per_container bigint"
+SEGMENT = "container_id int, length bigint, slice bigint, low bigint, high bigint, rank_from bigint, first_container bigint, per_container bigint"
+LENGTH = "container_id int, length bigint, buckets int, width bigint"
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -78,16 +80,33 @@ def full_length(each: int, length: int) -> int:
     return each * length
 
 
-def _ranked(items: DataFrame) -> DataFrame:
-    """Adds ``rank`` from 0 within (container_id, length), without a window over a whole length."""
-    counted = items.groupBy("container_id", "length").agg(F.count("*").alias("_n"))
-    sizes = small_side(stash(counted.select("container_id", "length", F.ceil(F.col("_n") / BUCKET_ROWS).cast("int").alias("_buckets")), "length-buckets"))
-    placed = items.join(sizes, ["container_id", "length"]).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "chunk_no", "_copy"), F.col("_buckets")).cast("int")).drop("_buckets")
-    w = Window.partitionBy("container_id", "length").orderBy("_bucket")
-    offsets = placed.groupBy("container_id", "length", "_bucket").agg(F.count("*").alias("_n")).select("container_id", "length", "_bucket", (F.sum("_n").over(w) - F.col("_n")).alias("_offset"))
-    own = Window.partitionBy("container_id", "length", "_bucket").orderBy("doc_id", "chunk_no", "_copy")
-    keys = ["container_id", "length", "_bucket"]
-    return placed.withColumn("_r", F.row_number().over(own)).join(small_side(stash(offsets, "rank-offsets")), keys).withColumn("rank", F.col("_offset") + F.col("_r") - 1).drop("_r", "_offset", "_bucket")
+def sliced(segments: list[tuple[int, int, int, int, int]], histogram: dict[int, int]) -> tuple[list[tuple], dict[int, int]]:
+    """Segments cut where slices of ranks end, and the width of a length's slices.
+
+    A length has as many slices as segments, so a rank's slice holds about one segment
+    and the cutting at most doubles their number.
+    """
+    per: dict[int, int] = {}
+    for length, *_ in segments:
+        per[length] = per.get(length, 0) + 1
+    width = {length: max(1, -(-histogram[length] // n)) for length, n in per.items()}
+    out = []
+    for length, a, b, first, each in segments:
+        w = width[length]
+        for s in range(a // w, (b - 1) // w + 1):
+            out.append((length, s, max(a, s * w), min(b, (s + 1) * w), a, first, each))
+    return out, width
+
+
+def _ranked(items: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Adds ``rank`` from 0 within (container_id, length) and its slice, without a window over a whole length."""
+    keys = ["container_id", "length"]
+    placed = items.join(small_side(lengths), keys).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "chunk_no", "_copy"), F.col("buckets")).cast("int")).drop("buckets")
+    w = Window.partitionBy(*keys).orderBy("_bucket")
+    offsets = placed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n")).select(*keys, "_bucket", (F.sum("_n").over(w) - F.col("_n")).alias("_offset"))
+    own = Window.partitionBy(*keys, "_bucket").orderBy("doc_id", "chunk_no", "_copy")
+    numbered = placed.withColumn("_r", F.row_number().over(own)).join(small_side(stash(offsets, "rank-offsets")), [*keys, "_bucket"])
+    return numbered.withColumn("rank", F.col("_offset") + F.col("_r") - 1).withColumn("slice", F.floor(F.col("rank") / F.col("width"))).drop("_r", "_offset", "_bucket", "width")
 
 
 def pack(documents: DataFrame, containers: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -110,20 +129,25 @@ def pack(documents: DataFrame, containers: DataFrame, folder: str = TOKENIZERS,
         (F.col("chunk_no") * c).alias("token_from"),
         F.least(c, F.col("n_tokens") - F.col("chunk_no") * c).alias("length"),
     )
+    pieces = stash(pieces, "pieces")  # read for the histogram, the ranks and both rests
     whole = F.col("length") == c
     rest = pieces.where((F.col("length") > 0) & ~whole)
     capacities = {r.container_id: r.capacity_tokens for r in sizes.collect()}
     histograms: dict[int, dict[int, int]] = {k: {} for k in capacities}
     for r in rest.groupBy("container_id", "length").agg(F.count("*").alias("n")).toLocalIterator():  # at most capacity rows each
         histograms[r.container_id][r.length] = r.n
-    segments = [(k, *s) for k, h in histograms.items() for s in best_fit(h, capacities[k])[0]]
-    plan = small_side(stash(_frame(spark, segments), "packing-plan"))
-    ranked = _ranked(rest)
+    segments, lengths = [], []
+    for k, h in histograms.items():
+        cut, width = sliced(best_fit(h, capacities[k])[0], h)
+        segments += [(k, *x) for x in cut]
+        lengths += [(k, length, -(-n // BUCKET_ROWS), width[length]) for length, n in h.items()]
+    plan = small_side(stash(spark.createDataFrame(segments, SEGMENT), "packing-plan"))
+    ranked = _ranked(rest, stash(spark.createDataFrame(lengths, LENGTH), "packing-lengths"))
     slot = F.col("first_container") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("per_container"))
     out = ["container_id", "capacity_tokens", "container", "doc_id", "chunk_no", "token_from", F.col("length").alias("n_tokens")]
     planned = (
-        ranked.join(plan, ["container_id", "length"])
-        .where((F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")))
+        ranked.join(plan, ["container_id", "length", "slice"])
+        .where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
         .withColumn("container", F.concat(F.lit("p-"), slot.cast("bigint").cast("string")))
         .select(*out)
     )
@@ -132,10 +156,6 @@ def pack(documents: DataFrame, containers: DataFrame, folder: str = TOKENIZERS,
     return planned.unionByName(alone).unionByName(empty)
 
 
-def _frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, SEGMENT) if rows else spark.createDataFrame([], SEGMENT)
-
-
 def report(packed: DataFrame) -> DataFrame:
     """Per capacity: items, tokens, containers, the least number possible, the share of space used and the fullest container."""
     per = packed.where("container is not null").groupBy("container_id", "capacity_tokens", "container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))

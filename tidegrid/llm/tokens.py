@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Where the vocabulary files are and which one is used; both are parameters.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Characters one call to the tokenizer gets; longer texts go in pieces cut at white space, which a token of this vocabulary only starts with.
+#: Characters of a piece; longer texts are counted in pieces cut before white space, with which a token of this vocabulary only starts, and never in a word.
 PIECE = 200_000
 
 
@@ -27,35 +28,52 @@ def _encoder(folder: str, vocabulary: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str | None, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> int:
-    """Tokens of a text; 0 for null and empty texts. Lone surrogates count as replacement characters."""
-    if not text:
-        return 0
-    encoder, total, at = _encoder(folder, vocabulary), 0, 0
+def _pieces(text: str) -> list[str]:
+    """The text cut before white space into pieces of about PIECE characters; a word of any length stays whole."""
+    out, at = [], 0
     while at < len(text):
-        end = min(len(text), at + PIECE)
+        end = at + PIECE
         if end < len(text):
             cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            while cut > at + 1 and text[cut - 1].isspace():
+            if cut <= at:
+                ahead = [x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0]
+                cut = min(ahead) if ahead else len(text)
+            while at + 1 < cut < len(text) and text[cut - 1].isspace():
                 cut -= 1
-            end = cut if cut > at else end
-        piece = text[at:end]
-        try:
-            total += len(encoder.encode_ordinary(piece))
-        except UnicodeEncodeError:
-            total += len(encoder.encode_ordinary(piece.encode("utf-8", "replace").decode()))
+            end = cut
+        out.append(text[at:end])
         at = end
-    return total
+    return out
+
+
+def count_many(texts: Sequence[str | None], folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> list[int]:
+    """Tokens of each text; 0 for null and empty texts. Lone surrogates count as replacement characters."""
+    encoder = _encoder(folder, vocabulary)
+    parts, owner = [], []
+    for i, t in enumerate(texts):
+        for piece in _pieces(t) if t else ():
+            parts.append(piece)
+            owner.append(i)
+    try:
+        encoded = encoder.encode_ordinary_batch(parts, num_threads=1)
+    except UnicodeEncodeError:
+        encoded = encoder.encode_ordinary_batch([p.encode("utf-8", "replace").decode() for p in parts], num_threads=1)
+    counts = [0] * len(texts)
+    for i, e in zip(owner, encoded):
+        counts[i] += len(e)
+    return counts
+
+
+def count_tokens(text: str | None, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> int:
+    """``count_many`` of one text."""
+    return count_many([text], folder, vocabulary)[0]
 
 
 def with_tokens(documents: DataFrame, columns: list[str], text_col: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """The given columns and n_tokens, the texts left behind. Every text is read whole."""
-    narrow = documents.select(*columns, F.col(text_col).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields if f.name != "_text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            counts = [count_tokens(t, folder, vocabulary) for t in pdf["_text"]]
-            yield pdf.drop(columns="_text").assign(n_tokens=pd.Series(counts, index=pdf.index, dtype="int64"))
+    @F.pandas_udf(LongType())
+    def tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series(count_many(texts.tolist(), folder, vocabulary), dtype="int64")
 
-    return narrow.mapInPandas(run, f"{fields}, n_tokens bigint")
+    return documents.select(*columns, tokens(F.col(text_col)).alias("n_tokens"))
