@@ -134,6 +134,27 @@ def series(n=120, seed=0, scale=0.02):
     return np.exp(np.cumsum(rng.normal(0, scale, n)) + 4)
 
 
+def test_store_appends_and_reaches_later_periods(spark, tmp_path):
+    """Several loads, and events beyond the snapshots written, equal one load of all versions."""
+    random.seed(11)
+    schema = "k string, known_day int, version struct<v:int>"
+    data = [(random.choice("ab"), random.randint(0, 60), (random.randint(0, 99),)) for _ in range(60)]
+    events = spark.createDataFrame([(k, d) for k in ("a", "b", "c", None) for d in (0, 7, 25, 59, 90, None)], "k string, event_day int")
+    store = asknown.AsKnownStore(spark, f"file://{tmp_path}/known", ["k"], 10)
+    for part, through in ((data[:20], 2), (data[20:50], 1), (data[50:], 4)):
+        store.append(spark.createDataFrame(part, schema), through)
+
+    def best(k, d):
+        return max((v for kk, known, (v,) in data if kk == k and d is not None and known <= d), default=None)
+
+    for _ in range(2):
+        got = {(r.k, r.event_day): r.known and r.known.v for r in store.lookup(events).collect()}
+        assert got == {(r.k, r.event_day): best(r.k, r.event_day) for r in events.collect()}
+    assert store.snapshots(F.col("period") == 9).count() == 2
+    none = asknown.AsKnownStore(spark, f"file://{tmp_path}/none", ["k"], 10)
+    assert none.lookup(events).where("known is not null").count() == 0
+
+
 def test_spikes_stuck_and_impossible(spark):
     days = weekdays(120)
     data, want = [], set()

@@ -3,7 +3,8 @@
 Method: materialised periodic as-known snapshots plus a change log. Per key the
 versions known in a snapshot period are folded to that period's best one; a
 running maximum over the periods (at most as many as the calendar has) gives the
-snapshot at the start of each period. An event joins the snapshot of the period
+snapshot at the start of each period. Both are written once, in folders by load and
+period, and later loads append theirs. An event joins the snapshot of the period
 it lies in by equality, and replays only the changes of that same period known
 by its day.
 
@@ -15,12 +16,15 @@ whole history and no as-of window over raw versions is used.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import epoch_day, lower_key, trim_key, upper_key
+from ..sources.storage import HadoopFiles, Versions, scratch, stash
 from .latest import keep_latest
 
 #: Days between two snapshots; about one change per key and period keeps both sides small.
@@ -61,27 +65,98 @@ def snapshots(changes: DataFrame, keys: Sequence[str], last_period: int | None =
     )
 
 
+class AsKnownStore:
+    """Change log and snapshots under ``root``, both in folders by load and period, with versions of one manifest.
+
+    Each ``append`` writes the changes of its own versions, and their snapshots for the
+    periods up to ``through``; nothing written before is touched, as the best of several
+    loads is the greatest of their bests. ``reach`` adds snapshots of later periods.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], every: int = SNAPSHOT_DAYS):
+        self.spark, self.root, self.keys, self.every = spark, root.rstrip("/"), list(keys), every
+        self.manifest = Versions(HadoopFiles(spark, root), f"{self.root}/manifest")
+
+    def _state(self) -> tuple[int, dict]:
+        number, held = self.manifest.read()
+        return number, held or {"loads": [], "through": None, "kinds": None}
+
+    def _write(self, df: DataFrame, kind: str, load: str) -> None:
+        # a period's rows lie together; AQE splits a period that is large
+        df.hint("rebalance", "period").write.partitionBy("period").option("compression", "zstd").parquet(f"{self.root}/{kind}/load={load}")
+
+    def _read(self, kind: str, column: str, periods: Column | None = None) -> DataFrame | None:
+        _, held = self._state()
+        if not held["loads"]:
+            return None
+        reader = self.spark.read.option("basePath", f"{self.root}/{kind}").schema(f"{held['kinds'][column]}, load string, period int")
+        rows = reader.parquet(*[f"{self.root}/{kind}/load={x}" for x in held["loads"]]).drop("load")
+        return rows if periods is None else rows.where(periods)
+
+    def changes(self, periods: Column | None = None) -> DataFrame | None:
+        """keys, known_day, version, period: one row per key, known day and load."""
+        return self._read("changes", "changes", periods)
+
+    def snapshots(self, periods: Column | None = None) -> DataFrame | None:
+        """keys, snapshot, period: the best of each load known before the period's first day."""
+        return self._read("snapshots", "snapshots", periods)
+
+    def append(self, versions: DataFrame, through: int) -> None:
+        """Add a load of versions (keys, known_day, version struct); snapshots go to period ``through``, or as far as they went before."""
+        number, held = self._state()
+        last = max(through, held["through"]) if held["through"] is not None else through
+        load = f"{number + 1:06d}-{uuid.uuid4().hex[:8]}"
+        changes = change_log(versions, self.keys, self.every)
+        self._write(changes, "changes", load)
+        kinds = {"changes": StructType([f for f in changes.schema.fields if f.name != "period"]).toDDL()}
+        written = self.spark.read.option("basePath", f"{self.root}/changes").schema(f"{kinds['changes']}, load string, period int").parquet(f"{self.root}/changes/load={load}").drop("load")
+        taken = snapshots(written.where(F.col("period") <= last), self.keys, last)
+        self._write(taken, "snapshots", load)
+        kinds["snapshots"] = StructType([f for f in taken.schema.fields if f.name != "period"]).toDDL()
+        self.manifest.replace(number, {"loads": [*held["loads"], load], "through": last, "kinds": kinds})
+
+    def reach(self, period: int) -> None:
+        """Materialise the snapshots of the periods that are missing up to ``period``."""
+        number, held = self._state()
+        if not held["loads"] or period <= held["through"]:
+            return
+        load = f"{number + 1:06d}-{uuid.uuid4().hex[:8]}"
+        later = snapshots(self.changes(F.col("period") <= period), self.keys, period).where(F.col("period") > held["through"])
+        self._write(later, "snapshots", load)
+        empty = self.changes(F.lit(False))
+        self._write(empty, "changes", load)
+        self.manifest.replace(number, {**held, "loads": [*held["loads"], load], "through": period})
+
+    def lookup(self, events: DataFrame) -> DataFrame:
+        """``as_known`` of events against the store; only the periods that events lie in are read."""
+        keys = self.keys
+        asked = stash(events.where(F.col("event_day").isNotNull()).select(*keys, "event_day").distinct().withColumn("period", period_of(F.col("event_day"), self.every)), "asked")
+        span = asked.agg(F.min("period").alias("a"), F.max("period").alias("b")).first()
+        _, held = self._state()
+        if span.a is None or not held["loads"]:
+            kind = StructType.fromDDL(held["kinds"]["changes"])["version"].dataType if held["kinds"] else None
+            return events.withColumn("known", F.lit(None).cast(kind) if kind else F.lit(None))
+        self.reach(span.b)
+        inside = F.col("period").between(span.a, span.b)
+        replayed = asked.join(self.changes(inside).withColumnRenamed("version", "change"), [*keys, "period"]).where(F.col("known_day") <= F.col("event_day")).select(*keys, "event_day", F.col("change").alias("known"))
+        before = asked.join(self.snapshots(inside), [*keys, "period"]).select(*keys, "event_day", F.col("snapshot").alias("known"))
+        best = replayed.unionByName(before).groupBy(*keys, "event_day").agg(F.max("known").alias("known"))
+        return events.join(best, [*keys, "event_day"], "left")
+
+
 def as_known(events: DataFrame, versions: DataFrame, keys: Sequence[str], every: int = SNAPSHOT_DAYS) -> DataFrame:
     """events: keys, event_day int. Adds ``known``: the best version known on that day, or null.
 
     Never uses a version whose known_day is after event_day. Null keys match
     nothing; events without a day get null; repeated events stay repeated; an
-    empty side gives nulls or no rows.
+    empty side gives nulls or no rows. Change log and snapshots are written to a store
+    in the shared folder first; a pipeline keeps one and appends.
     """
-    asked = events.where(F.col("event_day").isNotNull()).select(*keys, "event_day").distinct().withColumn("period", period_of(F.col("event_day"), every))
-    last = asked.agg(F.max("period")).first()[0]
-    if last is None:
-        last = 0
-    changes = change_log(versions, keys, every)
-    known_before = snapshots(changes.where(F.col("period") <= last), keys, last)
-    replayed = (
-        asked.join(changes.withColumnRenamed("version", "change"), [*keys, "period"])
-        .where(F.col("known_day") <= F.col("event_day"))
-        .select(*keys, "event_day", F.col("change").alias("known"))
-    )
-    held = asked.join(known_before, [*keys, "period"]).select(*keys, "event_day", F.col("snapshot").alias("known"))
-    best = replayed.unionByName(held).groupBy(*keys, "event_day").agg(F.max("known").alias("known"))
-    return events.join(best, [*keys, "event_day"], "left")
+    spark = events.sparkSession
+    last = events.agg(F.max(period_of(F.col("event_day"), every))).first()[0]
+    store = AsKnownStore(spark, scratch(spark, "as-known"), keys, every)
+    store.append(versions, last if last is not None else 0)
+    return store.lookup(events)
 
 
 def clean_fundamentals(raw: DataFrame) -> DataFrame:
