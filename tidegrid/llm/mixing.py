@@ -28,20 +28,25 @@ LEAST_WEIGHT = 0.05
 
 
 def quality_weight(text: str | Column = "text") -> Column:
-    """A weight in [LEAST_WEIGHT, 1] by simple rules of published corpora: share of letters, length of words, words that aren't repeats, share of words with a letter.
+    """A weight in [LEAST_WEIGHT, 1] by simple rules of published corpora: share of letters, length of words, share of words that aren't repeats.
 
     0 never occurs, so every text can be drawn; null and empty texts have the least.
+    The text is taken apart once: its words are bound to a variable.
     """
     c = F.col(text) if isinstance(text, str) else text
-    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    n = F.nullif(F.size(words), F.lit(0)).cast("double")
-    visible = F.nullif(F.length(F.regexp_replace(c, r"\s", "")), F.lit(0)).cast("double")
-    letters = F.length(F.regexp_replace(c, r"[^\p{L}]", "")) / visible
-    real = F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) / n
-    length = visible / n
-    sane = F.when((length >= 3) & (length <= 10), 1.0).otherwise(F.greatest(F.lit(0.1), 1.0 - F.abs(F.log(length / 5.5)) / 2))
-    fresh = F.least(F.lit(1.0), 0.2 + 2 * F.size(F.array_distinct(words)) / n)
-    return F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(letters * real * sane * fresh, F.lit(LEAST_WEIGHT)))
+    words = F.split(F.trim(F.translate(c, "\n\r\t", "   ")), " ")
+    letters = F.length(F.regexp_replace(c, r"\P{L}+", ""))
+    visible = F.nullif(F.length(F.translate(c, " \n\r\t", "")), F.lit(0)).cast("double")
+
+    def weigh(x: Column) -> Column:
+        n = F.size(x["w"]).cast("double")
+        length = x["v"] / n
+        sane = F.when((length >= 3) & (length <= 10), 1.0).otherwise(F.greatest(F.lit(0.1), 1.0 - F.abs(F.log(length / 5.5)) / 2))
+        fresh = F.least(F.lit(1.0), 0.2 + 2 * F.size(F.array_distinct(x["w"])) / n)
+        return x["l"] / x["v"] * sane * fresh
+
+    bound = F.transform(F.array(F.struct(words.alias("w"), letters.alias("l"), visible.alias("v"))), weigh)
+    return F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.get(bound, F.lit(0)), F.lit(LEAST_WEIGHT)))
 
 
 def uniform(*columns: str) -> Column:
