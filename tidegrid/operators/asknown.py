@@ -53,7 +53,8 @@ def snapshots(changes: DataFrame, keys: Sequence[str], last_period: int | None =
     """
     w = Window.partitionBy(*keys).orderBy("period")
     folded = (
-        changes.groupBy(*keys, "period")
+        changes.repartition(*keys)  # one row a key and day by now; the fold and the window share this partitioning
+        .groupBy(*keys, "period")
         .agg(F.max("version").alias("version"))
         .withColumn("until", F.lead("period").over(w))
         .withColumn("snapshot", F.max("version").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -138,9 +139,12 @@ class AsKnownStore:
             return events.withColumn("known", F.lit(None).cast(kind) if kind else F.lit(None))
         self.reach(span.b)
         inside = F.col("period").between(span.a, span.b)
-        replayed = asked.join(self.changes(inside).withColumnRenamed("version", "change"), [*keys, "period"]).where(F.col("known_day") <= F.col("event_day")).select(*keys, "event_day", F.col("change").alias("known"))
-        before = asked.join(self.snapshots(inside), [*keys, "period"]).select(*keys, "event_day", F.col("snapshot").alias("known"))
-        best = replayed.unionByName(before).groupBy(*keys, "event_day").agg(F.max("known").alias("known"))
+        # one relation of what may be known in a period: its snapshot, known before its first day, and its changes
+        held_then = self.snapshots(inside).select(*keys, "period", F.lit(None).cast("int").alias("known_day"), F.col("snapshot").alias("version"))
+        candidates = held_then.unionByName(self.changes(inside).select(*keys, "period", "known_day", "version"))
+        known = asked.join(candidates, [*keys, "period"]).where(F.col("known_day").isNull() | (F.col("known_day") <= F.col("event_day")))
+        # grouped by what it is partitioned by already (a day has one period)
+        best = known.groupBy(*keys, "period", "event_day").agg(F.max("version").alias("known")).drop("period")
         return events.join(best, [*keys, "event_day"], "left")
 
 
