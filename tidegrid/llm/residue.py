@@ -519,8 +519,11 @@ def _verdict(texts: pd.Series) -> pd.DataFrame:
 
 
 def verdict(text_col: str = "text") -> Column:
-    """struct<residue, coverage> of a text column; residue is null for real content."""
-    return _verdict(F.col(text_col))
+    """struct<residue, coverage> of a text column; residue is null for real content.
+
+    Declared as not deterministic, so that a filter on it isn't pushed below it and judges every text again.
+    """
+    return _verdict.asNondeterministic()(F.col(text_col))
 
 
 def judge(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,4 +76,5 @@ def with_tokens(documents: DataFrame, columns: list[str], text_col: str = "text"
     def tokens(texts: pd.Series) -> pd.Series:
         return pd.Series(count_many(texts.tolist(), folder, vocabulary), dtype="int64")
 
-    return documents.select(*columns, tokens(F.col(text_col)).alias("n_tokens"))
+    # declared as not deterministic: a filter on the counts would otherwise be pushed below them and count everything twice
+    return documents.select(*columns, tokens.asNondeterministic()(F.col(text_col)).alias("n_tokens"))
