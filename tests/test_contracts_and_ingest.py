@@ -359,6 +359,35 @@ def test_file_formats(spark, tmp_path):
     assert readers.month_predicate(D(2024, 12, 5), D(2025, 1, 2)) == "(year = '2024' and month = '12') or (year = '2025' and month = '01')"
 
 
+def test_fetched_files_are_bounded_and_retried(spark):
+    import gzip
+
+    calls = []
+
+    class Packed(io.BytesIO):
+        headers = {"Content-Encoding": "gzip"}
+
+    def opener(request, timeout):
+        calls.append(request.full_url)
+        if len(calls) == 1:
+            raise urllib.error.HTTPError(request.full_url, 503, "x", {}, None)
+        return Packed(gzip.compress(b'[{"symbol":"A"}, {"symbol":"B"}]'))
+
+    at = readers._fetched(spark, "http://x/a.json", opener, sleep=lambda _: None)
+    assert [json.loads(r.payload)["symbol"] for r in readers.read_payloads(spark, at).orderBy("position").collect()] == ["A", "B"]
+    with pytest.raises(ValueError):
+        readers._fetched(spark, "http://x/a.json", opener, most=10)
+
+
+def test_record_ids_are_those_of_canonical_json(spark):
+    import hashlib
+
+    items = [{"b": 1.50, "a": "Zürich", "n": None, "l": [1, {"y": 2, "x": 1e3}]}, {"a": 1, "source": "given"}, {"a": 1, "source_record_id": "mine"}]
+    out = [json.loads(r.payload) for r in with_defaults(payload_rows(spark, items), "test", NOW.isoformat()).orderBy("position").collect()]
+    want = [hashlib.sha256(json.dumps({"source": "test", **i}, sort_keys=True, separators=(",", ":")).encode()).hexdigest() for i in items[:2]]
+    assert [o["source_record_id"] for o in out] == [*want, "mine"] and out[1]["source"] == "given"
+
+
 def test_http_client_retries():
     waits, calls = [], []
 

@@ -198,7 +198,25 @@ def test_small_driver_utilities():
     with pytest.raises(ValueError):
         quality.read_universe(["# none"])
     assert quality.assess_storage(0, 100, 100)["status"] == "blocked" and quality.assess_storage(0, 10, 100)["status"] == "safe"
-    assert quality.recovery_record({"a": True, "b": False}, {})["recovered"] is False
+    drill = quality.recovery_record({"a": True, "b": False}, {"id": 1}, "crash", failure="kill")
+    assert drill["recovered"] is False and drill["injected_failure"] == "kill" and drill["recorded_at"]
+    with pytest.raises(ValueError):
+        quality.recovery_record({}, {})
+
+
+@pytest.mark.parametrize("dataset,event,check,status", [
+    ("prices", "2024-01-05", None, "HEALTHY"), ("prices", "2024-01-04", None, "DEGRADED"), ("prices", "2024-01-03", None, "FAILED"), ("prices", None, "2024-01-08T00:00:00Z", "UNKNOWN"),
+    ("macro", None, "2024-01-07T00:00:00Z", "HEALTHY"), ("macro", "2024-01-08", "2024-01-05T00:00:00Z", "DEGRADED"), ("macro", None, "2023-12-01T00:00:00Z", "FAILED"), ("macro", "2024-01-08", None, "UNKNOWN"),
+    ("news", "2024-01-08T00:00:00Z", None, "HEALTHY"), ("news", "2024-01-07T12:00:00+00:00", None, "DEGRADED"), ("news", "2024-01-06T21:00:00+00:00", None, "FAILED"), ("news", D(2024, 1, 1), None, "FAILED"),
+])
+def test_freshness_by_policy(dataset, event, check, status):
+    """Monday, before the day's close is published: the last expected close is Friday's."""
+    got = quality.assess_freshness(dataset, event, check, dt.datetime(2024, 1, 8, 21, tzinfo=dt.timezone.utc))
+    assert got["status"] == status and (got["lag_seconds"] is None) == (status == "UNKNOWN") and (got["expected_event_time"] is not None) == (dataset == "prices")
+    with pytest.raises(ValueError):
+        quality.assess_freshness("news", dt.datetime(2024, 1, 1), None, dt.datetime.now(dt.timezone.utc))
+    with pytest.raises(KeyError):
+        quality.assess_freshness("weather", None, None, dt.datetime.now(dt.timezone.utc))
 
 
 def test_unknown_symbols(spark):

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def _bucket(time: Column, days: int) -> Column:
@@ -81,21 +82,26 @@ def asof_join(
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: Sequence[str], time: str, start: str, end: str, bucket_days: int = 366) -> DataFrame:
-    """Inner join to the right rows of the same keys with start <= time < end (null end: open).
+    """Inner join to the right rows of the same keys with start <= time < end (null end: open); times are dates, timestamps or numbers.
 
     Intervals are entered into each bucket of bucket_days they reach into, up to the
     last one the left side has; rows meet by key and bucket, so a hot key's versions
     aren't all tried for each of its rows.
     """
     kept = [F.col(f"r.{c}") for c in right.columns if c not in on]
-    last = left.agg(F.max(_bucket(F.col(time), bucket_days))).first()[0]
+
+    def bucket(c: str) -> Column:
+        """Days are counted by bucket_days, plain numbers as they are."""
+        return F.floor(F.col(c) / F.lit(bucket_days)) if isinstance(left.schema[time].dataType, NumericType) else _bucket(F.col(c), bucket_days)
+
+    last = left.agg(F.max(bucket(time))).first()[0]
     if last is None:
         return left.alias("l").join(right.alias("r").limit(0), F.lit(False)).select("l.*", *kept)
-    first, until = _bucket(F.col(start), bucket_days), F.least(F.coalesce(_bucket(F.col(end), bucket_days), F.lit(last)), F.lit(last))
+    first, until = bucket(start), F.least(F.coalesce(bucket(end), F.lit(last)), F.lit(last))
     spread = right.where(first <= until).withColumn("_bucket", F.explode(F.sequence(first, until)))
     cond = F.col("l._bucket") == F.col("r._bucket")
     for k in on:
         cond = cond & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     t = F.col(f"l.{time}")
     cond = cond & (t >= F.col(f"r.{start}")) & (F.col(f"r.{end}").isNull() | (t < F.col(f"r.{end}")))
-    return left.withColumn("_bucket", _bucket(F.col(time), bucket_days)).alias("l").join(spread.alias("r"), cond).select(*[F.col(f"l.{c}") for c in left.columns], *kept)
+    return left.withColumn("_bucket", bucket(time)).alias("l").join(spread.alias("r"), cond).select(*[F.col(f"l.{c}") for c in left.columns], *kept)

@@ -131,6 +131,25 @@ def build(spark: SparkSession, models_: Mapping[str, Model], sources: Mapping[st
     return report
 
 
+#: Selectors of the jobs one runs by name; None builds everything.
+JOBS: Mapping[str, str | None] = {
+    "daily_incremental": None,
+    "historical_backfill": None,
+    "rebuild_marts": "mart_security_daily mart_market_daily mart_sector_daily mart_company_snapshot mart_pipeline_dataset_health mart_stream_anomalies",
+    "quality_validation": "mart_pipeline_dataset_health+",
+    **{f"{name}_ingestion": f"source:raw_{name}+" for name in ("prices", "macro", "fundamentals", "earnings", "news")},
+}
+
+
+def run_job(spark: SparkSession, job: str, models_: Mapping[str, Model], sources: Mapping[str, DataFrame], target: str, before: Callable[[], object] | None = None) -> dict[str, dict]:
+    """Build what a job selects; ``before`` (ingestion, say) runs first, and its failure keeps the build from starting."""
+    if job not in JOBS:
+        raise ValueError(f"unknown job {job!r}; choose from {sorted(JOBS)}")
+    if before:
+        before()
+    return build(spark, models_, sources, target, JOBS[job])
+
+
 def _hold(name: str, m: Model, df: DataFrame, frames: Mapping[str, DataFrame]) -> None:
     for label, check in m.checks.items():
         if check(df, frames).limit(1).count():

@@ -24,7 +24,8 @@ from ..sources.readers import read_dataset
 from ..sources.storage import ConcurrentWriteError, HadoopFiles, Versions, stash
 from .quality import reconcile
 
-RUN_ID = re.compile(r"^[A-Za-z0-9._-]+$")
+# Fixed value: what a run may be called.
+RUN_ID = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$")
 Hook = Callable[[str, str], None]
 
 
@@ -135,8 +136,8 @@ def backfill(
     if dataset not in CONTRACTS:
         raise ValueError(f"unknown dataset {dataset!r}; choose from {sorted(CONTRACTS)}")
     contract, run_id = CONTRACTS[dataset], run_id or str(uuid.uuid4())
-    if not RUN_ID.match(run_id):
-        raise ValueError("run_id may hold letters, digits, dot, underscore and hyphen")
+    if not RUN_ID.fullmatch(run_id):
+        raise ValueError("run_id: at most 128 letters, digits, dots, underscores and hyphens, a letter or digit first")
     if requested and requested[1] < requested[0] and run_type != "incremental":
         raise ValueError("the requested end precedes the start")
     now = now or dt.datetime.now(dt.timezone.utc)

@@ -202,6 +202,51 @@ def freshness(observed: dt.datetime | None, now: dt.datetime, allowed: dt.timede
     return {"status": "fresh" if lag <= allowed.total_seconds() else "stale", "lag_seconds": lag}
 
 
+@dataclass(frozen=True)
+class FreshnessPolicy:
+    """basis: ``expected_market_event`` (newest event against the last expected close), ``source_check`` (last look at the source) or ``event_age`` (newest event), against now."""
+
+    basis: str
+    degraded: dt.timedelta
+    failed: dt.timedelta
+
+
+# What each dataset's freshness rests on, and after how many hours it degrades and fails.
+POLICIES = {
+    "prices": FreshnessPolicy("expected_market_event", dt.timedelta(hours=24), dt.timedelta(hours=48)),
+    "fundamentals": FreshnessPolicy("source_check", dt.timedelta(days=7), dt.timedelta(days=14)),
+    "earnings": FreshnessPolicy("source_check", dt.timedelta(days=1), dt.timedelta(days=2)),
+    "macro": FreshnessPolicy("source_check", dt.timedelta(days=2), dt.timedelta(days=7)),
+    "news": FreshnessPolicy("event_age", dt.timedelta(hours=24), dt.timedelta(hours=48)),
+}
+
+
+def _instant(value: dt.datetime | dt.date | str | None, market: bool) -> dt.datetime | None:
+    """An instant in UTC; a day is its market close where the market's events are meant, else its first instant. A time without a zone is an error."""
+    if value is None:
+        return None
+    if isinstance(value, str):
+        value = dt.date.fromisoformat(value) if len(value) == 10 else dt.datetime.fromisoformat(value.replace("Z", "+00:00"))
+    if not isinstance(value, dt.datetime):
+        value = dt.datetime.combine(value, CLOSE, MARKET_ZONE) if market else dt.datetime.combine(value, dt.time(), dt.timezone.utc)
+    if value.tzinfo is None:
+        raise ValueError("a time must carry a time zone")
+    return value.astimezone(dt.timezone.utc)
+
+
+def assess_freshness(dataset: str, latest_event: dt.datetime | dt.date | str | None, last_check: dt.datetime | str | None, now: dt.datetime) -> dict:
+    """HEALTHY, DEGRADED, FAILED or (without evidence) UNKNOWN by the dataset's policy, with what it rests on; JSON-ready, for the audit."""
+    policy = POLICIES[dataset]
+    market = policy.basis == "expected_market_event"
+    at = _instant(now, False)
+    expected = expected_close(at) if market else None
+    seen = _instant(last_check, False) if policy.basis == "source_check" else _instant(latest_event, market)
+    lag = None if seen is None else max((expected or at) - seen, dt.timedelta())
+    status = "UNKNOWN" if lag is None else "FAILED" if lag >= policy.failed else "DEGRADED" if lag >= policy.degraded else "HEALTHY"
+    reason = f"nothing to judge the {policy.basis} by" if lag is None else f"{policy.basis} lies {lag.total_seconds() / 3600:.1f} h back, {policy.degraded.total_seconds() / 3600:.0f} h degrade, {policy.failed.total_seconds() / 3600:.0f} h fail"
+    return {"dataset": dataset, "status": status, "basis": policy.basis, "lag_seconds": None if lag is None else lag.total_seconds(), "expected_event_time": expected.isoformat() if expected else None, "reason": reason, "evaluated_at": at.isoformat()}
+
+
 ESTIMATE_FACTOR = 1.25
 
 
@@ -211,9 +256,12 @@ def assess_storage(used: int, incoming_json_bytes: int, budget: int, warn_share:
     return {"status": status, "projected_bytes": projected, "budget_bytes": budget}
 
 
-def recovery_record(checks: Mapping[str, bool], run: Mapping) -> dict:
-    """What a recovery proved: every invariant by name, and whether all hold."""
-    return {"run": dict(run), "invariants": dict(checks), "recovered": all(checks.values())}
+def recovery_record(checks: Mapping[str, bool], run: Mapping, scenario: str = "", before: Mapping | None = None, failure: str = "", observed: Mapping | None = None, retry: str = "", now: dt.datetime | None = None) -> dict:
+    """What a recovery drill did and proved: every invariant by name, and whether all hold. A drill without invariants proves nothing and is an error."""
+    if not checks:
+        raise ValueError("a recovery is judged by one invariant or more")
+    at = (now or dt.datetime.now(dt.timezone.utc)).isoformat()
+    return {"scenario": scenario, "initial_state": dict(before or {}), "injected_failure": failure, "observed_behavior": dict(observed or {}), "retry_action": retry, "run": dict(run), "invariants": dict(checks), "recovered": all(checks.values()), "recorded_at": at}
 
 
 def as_dict(r: Reconciliation) -> dict:

@@ -8,11 +8,15 @@ later stage only speaks where the earlier ones were silent.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.columns import strip_all
 from .storage import stash
@@ -174,16 +178,32 @@ def quarantined(validated: DataFrame, source: str, run_id: str, received_at: str
     )
 
 
+@F.pandas_udf(StringType())
+def _record_id(payloads: pd.Series, sources: pd.Series) -> pd.Series:
+    def one(payload: str | None, source: str) -> str | None:
+        if payload is None:
+            return None
+        try:
+            row = json.loads(payload)
+        except ValueError:
+            return None
+        if not isinstance(row, dict):
+            return None
+        row.setdefault("source", source)
+        return hashlib.sha256(json.dumps(row, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    return pd.Series([one(p, s) for p, s in zip(payloads, sources)], dtype="object")
+
+
 def with_defaults(payloads: DataFrame, source: str, ingested_at: str) -> DataFrame:
     """Add source, source_record_id and ingested_at to payloads that lack the key; a key that is there, null or not, stays.
 
-    The record id is the SHA-256 of the payload's keys and values in key order, so
-    it doesn't depend on how the object was written down.
+    The record id is the SHA-256 of the payload, with its source, as JSON with sorted
+    keys and without blanks, so it doesn't depend on how the object was written down.
     """
     keys = F.json_object_keys("payload")
-    fields = F.from_json("payload", "map<string,string>")
-    pairs = F.array_sort(F.map_entries(F.map_concat(F.map_filter(fields, lambda k, v: ~k.isin("source", "ingested_at")), F.create_map(F.lit("source"), F.coalesce(fields["source"], F.lit(source))))))
-    identity = F.sha2(F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("\u0001"), F.coalesce(e["value"], F.lit("\u0002")))), "\u0003"), 256)
+    # only payloads without an id leave the JVM: their ids must equal those of Python's own JSON writer
+    identity = _record_id(F.when(~F.array_contains(keys, "source_record_id"), F.col("payload")), F.lit(source))
     for name, value in (("source", F.lit(source)), ("source_record_id", identity), ("ingested_at", F.lit(ingested_at))):
         lacks = ~F.coalesce(F.array_contains(keys, name), F.lit(True))
         addition = F.concat(F.lit(f',"{name}":"'), value, F.lit('"'))

@@ -14,7 +14,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import HadoopFiles, PartitionLog, scratch
+from .storage import HadoopFiles, PartitionLog, arrow_fs, scratch
 
 
 class MissingDatasetError(FileNotFoundError):
@@ -41,6 +41,7 @@ def read_payloads(spark: SparkSession, location: str) -> DataFrame:
         rows = spark.read.option("header", True).csv(location)
         return _numbered(rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload")))
     if suffix == ".json":
+        # an array can't be split, so a file is one task; large feeds come as JSONL
         whole = spark.read.option("wholetext", True).text(location)
         items = whole.select(F.from_json("value", "array<variant>").alias("a"))
         bad = items.where(F.col("a").isNull() | F.exists("a", lambda x: ~F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))).limit(1).count()
@@ -50,12 +51,33 @@ def read_payloads(spark: SparkSession, location: str) -> DataFrame:
     raise ValueError(f"unsupported file type {suffix!r}; use .csv, .json or .jsonl")
 
 
-def _fetched(spark: SparkSession, url: str) -> str:
-    with urllib.request.urlopen(url, timeout=60) as r:
-        data = r.read()
+#: Bytes a fetched file may have, and of one piece of it.
+FETCH_BYTES, FETCH_PIECE = 4 << 30, 8 << 20
+
+
+def _fetched(spark: SparkSession, url: str, opener: Callable = urllib.request.urlopen, retries: int = 2, most: int = FETCH_BYTES, sleep: Callable[[float], None] = time.sleep) -> str:
+    """Copy a remote file to the shared folder piece by piece, unpacked if it comes gzipped; the copy is a file Spark can split."""
     target = f"{scratch(spark, 'fetched')}{PurePosixPath(urllib.parse.urlparse(url).path).suffix}"
-    HadoopFiles(spark, target).write_text(target, data.decode("utf-8"))
-    return target
+    fs, at = arrow_fs(target)
+    for attempt in range(retries + 1):
+        try:
+            with opener(urllib.request.Request(url, headers={"Accept-Encoding": "gzip"}), timeout=60) as r, fs.open_output_stream(at) as out:
+                source = gzip.GzipFile(fileobj=r) if (r.headers.get("Content-Encoding") or "").lower() == "gzip" else r
+                size = 0
+                while piece := source.read(FETCH_PIECE):
+                    size += len(piece)
+                    if size > most:
+                        raise ValueError(f"{url} has more than {most} bytes")
+                    out.write(piece)
+            return target
+        except urllib.error.HTTPError as e:
+            if e.code not in RETRY_STATUS or attempt == retries:
+                raise
+        except urllib.error.URLError:
+            if attempt == retries:
+                raise
+        sleep(min(2.0, 0.25 * 2**attempt))
+    raise AssertionError("not reached")
 
 
 def partition_files(spark: SparkSession, root: str, dataset: str, partition: str) -> list[str]:

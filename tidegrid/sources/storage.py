@@ -117,6 +117,13 @@ class HadoopFiles:
     def delete(self, path: str) -> bool:
         return bool(self._fs.delete(self._path(path), True))
 
+    def delete_empty(self, path: str) -> None:
+        """Delete a folder that holds nothing; leave it otherwise."""
+        try:
+            self._fs.delete(self._path(path), False)
+        except Exception:
+            pass
+
     def list(self, path: str, recursive: bool = False) -> list[tuple[str, int, int]]:
         """(path, bytes, modification time in ms) of files below path."""
         if not self.exists(path):
@@ -202,6 +209,7 @@ def publish_table(df: DataFrame, path: str, check: Callable[[DataFrame], None] |
         versions.replace(number, {"folders": kept[:keep]})
     except BaseException:
         files.delete(f"{path}/{name}")
+        files.delete_empty(path)
         raise
     for gone in kept[keep:]:
         files.delete(f"{path}/{gone}")
