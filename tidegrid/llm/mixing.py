@@ -31,22 +31,24 @@ def quality_weight(text: str | Column = "text") -> Column:
     """A weight in [LEAST_WEIGHT, 1] by simple rules of published corpora: share of letters, length of words, share of words that aren't repeats.
 
     0 never occurs, so every text can be drawn; null and empty texts have the least.
-    The text is taken apart once: its words are bound to a variable.
+    Words are what blanks separate. The text is taken apart once: its parts are bound
+    to a variable.
     """
     c = F.col(text) if isinstance(text, str) else text
-    words = F.split(F.trim(F.translate(c, "\n\r\t", "   ")), " ")
-    letters = F.length(F.regexp_replace(c, r"\P{L}+", ""))
-    visible = F.nullif(F.length(F.translate(c, " \n\r\t", "")), F.lit(0)).cast("double")
+    plain = F.length(F.regexp_replace(c, r"[^\p{L}\s]+", ""))
+    parts = F.struct(F.split(c, " ").alias("w"), plain.alias("p"), F.length(c).alias("c"))
 
     def weigh(x: Column) -> Column:
         n = F.size(x["w"]).cast("double")
-        length = x["v"] / n
+        blanks = n - 1
+        visible = F.nullif(x["c"] - blanks, F.lit(0.0))
+        length = visible / n
         sane = F.when((length >= 3) & (length <= 10), 1.0).otherwise(F.greatest(F.lit(0.1), 1.0 - F.abs(F.log(length / 5.5)) / 2))
         fresh = F.least(F.lit(1.0), 0.2 + 2 * F.size(F.array_distinct(x["w"])) / n)
-        return x["l"] / x["v"] * sane * fresh
+        return F.greatest(F.lit(0.0), x["p"] - blanks) / visible * sane * fresh
 
-    bound = F.transform(F.array(F.struct(words.alias("w"), letters.alias("l"), visible.alias("v"))), weigh)
-    return F.greatest(F.lit(LEAST_WEIGHT), F.coalesce(F.get(bound, F.lit(0)), F.lit(LEAST_WEIGHT)))
+    bound = F.get(F.transform(F.array(parts), weigh), F.lit(0))
+    return F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), F.coalesce(bound, F.lit(LEAST_WEIGHT))))
 
 
 def uniform(*columns: str) -> Column:
